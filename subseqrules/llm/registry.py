@@ -1,6 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
+from .bpe import op8_bpe
 from .mixing import OP1_SQL, op1_mixing
 
-QUERIES = {"op1_mixing": op1_mixing}
+QUERIES = {"op1_mixing": op1_mixing, "op8_bpe": op8_bpe}
 ORACLE = {"op1_mixing": OP1_SQL}
