@@ -2,6 +2,7 @@
 
 from .bpe import op8_bpe
 from .mixing import OP1_SQL, op1_mixing
+from .simhash import op2_simhash
 
-QUERIES = {"op1_mixing": op1_mixing, "op8_bpe": op8_bpe}
+QUERIES = {"op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op8_bpe": op8_bpe}
 ORACLE = {"op1_mixing": OP1_SQL}
