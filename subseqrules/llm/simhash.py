@@ -4,7 +4,8 @@ Distinct fingerprints only take part in the search. The top of the tree is built
 fingerprints (SAMPLE, a parameter): each inner node holds a vantage point and the median distance to it. Every
 fingerprint goes to the leaf where it belongs; as a query it also goes to each later leaf that the triangle inequality
 cannot rule out, that is, to both sides of a node wherever its distance to the vantage point is within `radius` of the
-border. So each pair meets in exactly one leaf, the later of its two. Leaves are cut into blocks of bounded size, each
+border. So each pair meets in exactly one leaf, the later of its two. In 64 dimensions a query visits most of a deep tree, so
+the shared tree has about the square root of n / LEAF leaves, which keeps the copies few. Leaves are cut into blocks of bounded size, each
 pair of a data and a query block is a task's unit, and inside it a smaller tree of the same kind prunes before distances
 are compared. A leaf with very many near copies thus becomes many block pairs, not one large task.
 
@@ -16,6 +17,7 @@ of fewer than four words are one shingle; equal ids give a row each; an empty ta
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import durable, partitions_of, read_table
 from .components import components
 
-SHINGLE, RADIUS, SAMPLE, LEAF, BLOCK = 4, 4, 1 << 15, 1500, 2048
+SHINGLE, RADIUS, SAMPLE, LEAF, BLOCK = 4, 4, 1 << 15, 1500, 8192
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BREAKS = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -138,7 +140,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links(fps: DataFrame, *, radius=RADIUS, sample=SAMPLE, leaf=LEAF, block=BLOCK) -> DataFrame:
     """Forest edges (a, b) between distinct fingerprints (column fp) within radius of each other."""
     spark, n = fps.sparkSession, fps.count()
-    leaves = min(max(1, n // leaf), sample // 8)
+    leaves = min(math.isqrt(n // leaf) + 1, sample // 8)
     share = min(1.0, 2.0 * sample / max(1, n))
     picked = [r.fp for r in fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(sample).collect()]
     tree = VantageTree(np.array(picked, np.int64).view(np.uint64), leaves)
@@ -158,7 +160,7 @@ def links(fps: DataFrame, *, radius=RADIUS, sample=SAMPLE, leaf=LEAF, block=BLOC
 
     routed = durable(fps.select("fp").mapInPandas(route, "leaf long, query boolean, fp long"), "simhash-leaves")
     sizes = routed.groupBy("leaf", "query").agg(F.count("*").alias("n"))  # at most two rows for each leaf of the tree
-    cut = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / (block // 2)))
+    cut = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / block))
     blocks = routed.join(F.broadcast(sizes), ["leaf", "query"]).groupBy("leaf", "query", cut.alias("cut")).agg(F.collect_list("fp").alias("fps"))
     blocks = durable(blocks, "simhash-blocks")
     data = blocks.where("not query").select("leaf", F.col("fps").alias("data"))
