@@ -100,6 +100,17 @@ def schedule(src: DataFrame, n: int) -> DataFrame:
     return slots.select("sid", "slot", rank.alias("rank"))
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The documents of the mix with the columns they have: a row for each turn a document is taken in, its text cut after
+    the words taken where the source's target ends inside it. docs has columns doc_id (unique), text, source, n_chars."""
+    mix = mix_sources(docs, **how).where("slot is not null")
+    taken = mix.groupBy("doc_id", "turn").agg(F.sum("words").alias("words_"), F.max("size").alias("size_"))
+    out = docs.join(taken, "doc_id")
+    first = F.array_join(F.slice(F.split(F.ltrim("text"), r"[\x20\x09-\x0D]+"), 1, F.col("words_").cast("int")), " ")
+    out = out.withColumn("text", F.when(F.col("words_") < F.col("size_"), first).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
 def op1_mixing(spark, sf_dir):
     mix = mix_sources(read_table(spark, sf_dir, "documents"))
     taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0))

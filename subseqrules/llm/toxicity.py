@@ -234,6 +234,18 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "score double, offending array<struct<start: int, end: int>>, doc_id long")
 
 
+def reject(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with a score below the threshold, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for pdf in batches:
+            yield pdf[[m.score_of(*m.active(t)) < threshold for t in pdf["text"]]]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
