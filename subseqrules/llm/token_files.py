@@ -18,8 +18,10 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
+from string import punctuation as MARKS
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, partitions_of, read_table, scratch_path
 
-MAGIC, BLOCK, FILE_IDS, MEMO = b"DACIDS01", 512, 1 << 22, 1 << 20
+MAGIC, BLOCK, FILE_IDS, MEMO, CHARS = b"DACIDS01", 512, 1 << 21, 1 << 19, 1 << 20
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -96,36 +98,70 @@ class WordEncoder:
     """Ids by the `tokenizers` library, which each distinct word goes through once while it is remembered.
 
     The vocabulary's tokens never hold white space, so a text's ids are those of its parts between spaces and line ends,
-    and of a part of letters with one mark at its end, those of the letters and of the mark."""
+    case aside, and of letters with marks
+    behind them, those of the letters and those of the marks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.lib, self.memo = Tokenizer.from_file(path), {}
+        self.lib = Tokenizer.from_file(path)
+        self.memo: dict[str, bytes] = {}  # of words as they stand between spaces
+        self.parts: dict[str, bytes] = {}  # of their letters in lower case, and of what isn't letters and marks
+        vocab = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.lib.no_truncation()
         self.lib.no_padding()
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        memo, marks = self.memo, ".,!?;:"
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {w for ws in split for w in ws if w not in memo}
-        if new:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = {w for ws in split for w in ws}
-            cut = {w: (w[:-1], w[-1]) if w[-1:] in marks and w[:-1].lower().isalpha() else (w,) for w in new if w}
-            own = list({p for ps in cut.values() for p in ps if p not in memo})
-            ids = {}
-            for k in range(0, len(own), 20000):
-                part = own[k : k + 20000]
-                ids.update(zip(part, (tuple(e.ids) for e in self.lib.encode_batch_fast(part, add_special_tokens=False))))
-            memo.update(ids)
-            memo[""] = ()
-            for w, ps in cut.items():
-                if len(ps) == 2:
-                    memo[w] = memo[ps[0]] + memo[ps[1]]
-        for ws in split:
-            yield list(chain.from_iterable(map(memo.__getitem__, ws)))
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; CHARS characters of texts at a time."""
+        part, size = [], 0
+        for t in texts:
+            part.append(t or "")
+            size += len(part[-1])
+            if size > CHARS:
+                yield from self.encode_some(part)
+                part, size = [], 0
+        yield from self.encode_some(part)
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        memo, parts = self.memo, self.parts
+        new = set(chain.from_iterable(split)).difference(memo)
+        cut = []
+        for w in new:  # (word, its letters in lower case, its marks)
+            core = w.rstrip(MARKS)
+            low = core.lower()
+            # a capital sigma becomes another letter at a word's end here, but not in the library
+            cut.append((w, low, w[len(core) :]) if low.isalpha() and "\u03a3" not in core else (w, None, w))
+        if len(parts) > 2 * MEMO:
+            parts.clear()
+        parts[""] = b""
+        self.learn_letters([x for x in {low for _, low, _ in cut if low} if x not in parts])
+        self.learn([x for x in {rest for _, _, rest in cut} if x not in parts])
+        memo.update((w, parts[low] + parts[rest] if low else parts[rest]) for w, low, rest in cut)
+        return [b"".join(map(memo.__getitem__, ws)) for ws in split]
+
+    def learn(self, own: list[str]) -> None:
+        for k in range(0, len(own), 4096):
+            some = own[k : k + 4096]
+            self.parts.update(zip(some, (array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(some, add_special_tokens=False))))
+
+    def learn_letters(self, own: list[str]) -> None:
+        """Words of letters go through together: each ends with the first token that ends a word."""
+        for k in range(0, len(own), 4096):
+            some = own[k : k + 4096]
+            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):  # a letter that the library takes for none
+                self.learn(some)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, end in zip(some, (4 * ends).tolist()):
+                self.parts[w] = data[at:end]
+                at = end
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -140,7 +176,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, *, end_id: int =
         enc = _ENCODERS.setdefault(path, None) or WordEncoder(path)
         _ENCODERS[path] = enc
         fs, base = arrow_fs.FileSystem.from_uri(folder)
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, end = TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
         held: list[tuple[int, np.ndarray]] = []
 
         def save():
@@ -159,11 +195,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, *, end_id: int =
         size = 0
         for pdf in batches:
             for i, ids in zip(pdf["doc_id"].tolist(), enc.encode(pdf["text"].tolist())):
-                ids.append(end_id)
+                ids = np.frombuffer(ids + end, "<u4")
                 if held and size + len(ids) > file_ids:
                     yield save()
                     size = 0
-                held.append((i, np.array(ids, np.uint32)))
+                held.append((i, ids))
                 size += len(ids)
         if held:
             yield save()
