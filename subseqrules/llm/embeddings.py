@@ -25,7 +25,7 @@ from .common import durable, partitions_of, read_table
 from .components import components
 from .simhash import forest
 
-COSINE, PIVOTS, BLOCK = 0.9, 24, 1024
+COSINE, PIVOTS, BLOCK = 0.9, 8, 4096
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ def links(vectors: DataFrame, *, cosine=COSINE, pivots=PIVOTS, block=BLOCK) -> D
 
     routed = durable(vectors.mapInPandas(route, "dim int, node long, copies long, vec binary, cell int, role int"), "vector-cells")
     sizes = routed.groupBy("dim", "cell", "role").agg(F.count("*").alias("n"))  # at most 3 rows for each pivot
-    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (block // 2))).alias("cut")
+    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)).alias("cut")
     packed = [F.collect_list(c).alias(c) for c in ("node", "copies", "vec")]
     blocks = routed.join(F.broadcast(sizes), ["dim", "cell", "role"]).groupBy("dim", "cell", "role", cut).agg(*packed)
     blocks = durable(blocks, "vector-blocks")
