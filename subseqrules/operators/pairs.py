@@ -81,7 +81,7 @@ def multi_output_lstsq(rows: DataFrame, keys: list[str], features: list[str], ta
     """(keys, coef): for each target its intercept and the weights of the features, of minimum norm."""
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         c = K.least_squares(pdf[features].to_numpy(float), pdf[targets].to_numpy(float))
         return pd.DataFrame([[*key, c.T.tolist()]], columns=[*keys, "coef"])
 
@@ -92,7 +92,7 @@ def poly_fit(rows: DataFrame, keys: list[str], degree: int = 3, y: str = "y", x:
     """(keys, coef): least squares of y on the powers of x, lowest first."""
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.vander(pdf[x].to_numpy(float), degree + 1, increasing=True)
         return pd.DataFrame([[*key, np.linalg.lstsq(v, pdf[y].to_numpy(float), rcond=None)[0].tolist()]], columns=[*keys, "coef"])
 
@@ -111,9 +111,9 @@ def with_sides(todo: DataFrame, occ: DataFrame, classes: DataFrame, packed: Data
     left = left.groupBy("series_id", "lhs", "rhs").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "occ"))), lambda x: x["occ"]).alias("lhs_occ"))
     right = arrays.select("series_id", F.col("side").alias("rhs"), F.col("occ").alias("rhs_occ"))
     shape = classes.select("series_id", F.struct("attr_id", "class_id").alias("rhs"), "breaks", "slopes", "intercepts")
-    vals = packed.select("series_id", F.col("attr_id").alias("_attr"), "vals")
+    vals = packed.select(F.col("series_id").alias("_sid"), F.col("attr_id").alias("_attr"), "vals")
     out = todo.join(left, ["series_id", "lhs", "rhs"]).join(right, ["series_id", "rhs"]).join(shape, ["series_id", "rhs"])
-    return out.join(vals, (out.series_id == vals.series_id) & (F.col("rhs.attr_id") == F.col("_attr"))).drop(vals.series_id).drop("_attr")
+    return out.join(vals, (F.col("series_id") == F.col("_sid")) & (F.col("rhs.attr_id") == F.col("_attr"))).drop("_sid", "_attr")
 
 
 HYPS = PAIRS.replace("lhs struct<attr_id: int, class_id: int>", "lhs array<struct<attr_id: int, class_id: int>>") + ", score int, combos int, hyp_id long"

@@ -23,7 +23,7 @@ def melt_wide(df: DataFrame, *, order_col: str | None = None, series_id: str = "
     the order is that of the rows as read. Unparsable and NaN values become `fill` (None: NULL)."""
     cols = [c for c in df.columns if c != order_col]
     values = [F.coalesce(number(c), F.lit(fill)).alias(str(i)) if fill is not None else number(c).alias(str(i)) for i, c in enumerate(cols)]
-    key = F.col(f"`{order_col}`") if order_col else F.monotonically_increasing_id()
+    key = F.struct(number(order_col), F.col(f"`{order_col}`")) if order_col else F.monotonically_increasing_id()
     rows = df.select(key.alias("_at"), *values)
     rows = rows.withColumn("t", F.row_number().over(Window.orderBy("_at")).cast("long") - 1).drop("_at")
     long = rows.unpivot("t", [str(i) for i in range(len(cols))], "attr_id", "v")
