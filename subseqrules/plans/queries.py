@@ -421,9 +421,9 @@ def a12_eps_rate_stats(spark, sf):
     return rounded(P.eps_rate_stats(li, ["key"]).select("key", "max_rate", F.col("rates")[0].alias("q9"), F.col("rates")[4].alias("q5")), "max_rate", "q9", "q5")
 
 
-@query("SELECT o_custkey AS key, CASE WHEN count(*) >= 4 THEN round(max(o_totalprice), 4) END AS epsilon, CASE WHEN count(*) >= 4 THEN round(sum(o_totalprice * (1 + o_orderkey % 7)) / sum(1 + o_orderkey % 7), 4) END AS avg_err FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS key, CASE WHEN count(*) >= 4 THEN round(max(o_totalprice), 4) END AS epsilon, CASE WHEN count(*) >= 4 THEN round(sum(sqrt(o_totalprice) * (1 + o_orderkey % 7)) / sum(1 + o_orderkey % 7), 4) END AS avg_err FROM orders GROUP BY 1")
 def a13_rule_error_totals(spark, sf):
-    o = fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("max_err"), F.col("o_totalprice").alias("mean_err"), (1 + F.col("o_orderkey") % 7).alias("len"))
+    o = fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("max_err"), F.sqrt("o_totalprice").alias("mean_err"), (1 + F.col("o_orderkey") % 7).alias("len"))
     return rounded(P.rule_error_totals(o, ["key"], F.lit(4), F.lit(1.0), 0.5), "epsilon", "avg_err", n=4)
 
 
@@ -782,7 +782,7 @@ def f4_local_align_error_norm(spark, sf):
 
 
 def scalar(expr: str) -> str:
-    return f"SELECT p_partkey, round({expr}, 6) + 0.0 AS y FROM (SELECT *, p_size / 50.0 AS x FROM part)"
+    return f"SELECT p_partkey, round(CAST({expr} AS DOUBLE), 6) + 0.0 AS y FROM (SELECT *, p_size / 50.0 AS x FROM part)"
 
 
 def _scalar(f):
