@@ -21,16 +21,17 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import read_table
+from .common import read_table, slices
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
-MEMO = 1 << 28
+MEMO = 1 << 27
 NAMED = regex.compile(r"[\p{L}\p{N}]")
 
 
@@ -208,9 +209,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path, pattern)
-        for pdf in batches:
+        for pdf in chain.from_iterable(map(slices, batches)):
             ids = [np.array(bpe.encode(t), dtype="<u4") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "decoded": [bpe.decode(x.tolist()) for x in ids]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].values, "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "decoded": [bpe.decode(x.tolist()) for x in ids]})
 
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
 

@@ -50,3 +50,15 @@ def running_start(df: DataFrame, key: str, part: str, value: str, out: str) -> D
     """Exclusive running sum of `value` over the parts of a key. df has one row for each (key, part)."""
     w = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
+
+
+def slices(pdf, column: str = "text", chars: int = 1 << 21):
+    """A batch in runs of rows with about `chars` characters each, so that what is made from a run stays small."""
+    start, size = 0, 0
+    for i, t in enumerate(pdf[column]):
+        size += len(t or "")
+        if size > chars:
+            yield pdf.iloc[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(pdf):
+        yield pdf.iloc[start:]
