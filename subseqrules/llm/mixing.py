@@ -83,7 +83,7 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share=SHARE, repeats=REPEAT
     pieces = pieces.select(
         "doc_id", "source", "size", "source_size", "target", "sid", "bucket", "seq", "rank", F.col("p.turn").alias("turn"),
         (lo - F.col("p.at")).alias("from_word"), (F.least(F.col("p.to"), (F.col("rank") + 1) * block) - lo).alias("words"))
-    return pieces.join(schedule(src, n), ["sid", "rank"], "left").drop("sid", "rank")
+    return pieces.join(schedule(src, n).hint("merge"), ["sid", "rank"], "left").drop("sid", "rank")
 
 
 def schedule(src: DataFrame, n: int) -> DataFrame:
