@@ -190,6 +190,31 @@ def fit_motif_class(packed: DataFrame, motifs: DataFrame, cfg: MiningConfig) ->
     return packed.join(motifs, WK).select(*WK, "class_id", "m", "members", "vals").mapInPandas(run, f"{CLASSES}, {own}")
 
 
+def piecewise_fits(packed: DataFrame, segments: int = 10, window: int = 5) -> DataFrame:
+    """(keys, breaks, slopes, intercepts): the best segmentation of each packed row, x running from 0 to 1."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                v = np.asarray(r.vals, float)
+                out.append((r.series_id, r.attr_id, *K.piecewise_fit(np.linspace(0, 1, len(v)), v, segments, window)))
+            yield pd.DataFrame(out, columns=[*WK, "breaks", "slopes", "intercepts"])
+
+    return packed.select(*WK, "vals").where(F.size("vals") > 0).mapInPandas(run, "series_id string, attr_id int, breaks array<double>, slopes array<double>, intercepts array<double>")
+
+
+def trim_motifs(packed: DataFrame, epsilon: float, delta_lo: int) -> DataFrame:
+    """(keys, a, b): what of each packed row is left after its flat ends are cut."""
+
+    def run(batches):
+        for pdf in batches:
+            out = [(r.series_id, r.attr_id, *K.trim_flat_ends(np.asarray(r.vals, float), epsilon, delta_lo)) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=[*WK, "a", "b"])
+
+    return packed.select(*WK, "vals").where(F.size("vals") > 0).mapInPandas(run, "series_id string, attr_id int, a long, b long")
+
+
 def prune_small_classes(occ: DataFrame, classes: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
     """Classes with fewer occurrences go; the others are numbered from 0 in each attribute."""
     big = occ.groupBy(*WK, "class_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)

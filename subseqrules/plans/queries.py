@@ -981,17 +981,94 @@ def q21_forecast_violations(spark, sf):
     return D.forecast_violations(rules, occ, classes, fx.event_series(spark, sf), 25.0, 5)
 
 
+def _weeks(spark, sf):
+    """Runs of 128 events as rows of their own."""
+    ev = fx.event_series(spark, sf).withColumn("series_id", F.concat_ws("/", "series_id", F.floor(F.col("t") / 128).cast("string")))
+    return S.pack(ev)
+
+
+@query()
+def a7_piecewise_fit(spark, sf):
+    return M.piecewise_fits(_weeks(spark, sf)).select("series_id", *[F.transform(c, lambda x: F.round(x, 3)).alias(c) for c in ("breaks", "slopes", "intercepts")])
+
+
+@query()
+def f19_trim_flat_ends(spark, sf):
+    return M.trim_motifs(_weeks(spark, sf), 120.0, 16)
+
+
+@query(f"WITH {FORECAST}, ac AS (SELECT CAST(key % 20 AS VARCHAR) AS series_id, CAST(id % 3 AS INTEGER) AS attr_id, a AS t, max(b) AS actual FROM oi GROUP BY ALL) SELECT fc.series_id, fc.attr_id, fc.t, fc.rule_id, fc.pred, ac.actual FROM fc JOIN ac ON fc.series_id = ac.series_id AND fc.attr_id = ac.attr_id AND fc.t = ac.t")
+def j12_prediction_actual_join(spark, sf):
+    from ..operators.rules import prediction_actual
+
+    o = fx.order_intervals(spark, sf).groupBy((F.col("key") % 20).cast("string").alias("series_id"), (F.col("id") % 3).cast("int").alias("attr_id"), F.col("a").alias("t")).agg(F.max("b").alias("v"))
+    return prediction_actual(_forecasts(spark, sf).where("t < 2600"), o).select("series_id", "attr_id", "t", "rule_id", "pred", "actual")
+
+
+def _daily(spark, sf):
+    from ..config import MiningConfig
+
+    cfg = MiningConfig(epsilon_m=0.3, delta_lo=28, delta_hi=60, double_step=8, gamma_penalty=0.0, k_max=6, error_kind="mean", max_iter=500, supp=0.1, min_count=3)
+    return fx.daily(spark, sf).withColumn("v", F.coalesce("v", F.lit(0.0))), cfg
+
+
 @query()
 def r1_mine_rules(spark, sf):
     """Rules between the daily quantities of the return flags."""
-    from ..config import MiningConfig
     from .jobs import mine_rules
 
-    cfg = MiningConfig(epsilon_m=0.3, delta_lo=28, delta_hi=60, double_step=8, gamma_penalty=0.0, k_max=6, error_kind="mean", max_iter=500, supp=0.1, min_count=3)
-    series = fx.daily(spark, sf).withColumn("v", F.coalesce("v", F.lit(0.0)))
+    series, cfg = _daily(spark, sf)
     return rounded(mine_rules(series, cfg, m=28, max_rounds=2)["summary"], "avg_err", n=4)
 
 
+def _sample_rules(spark, sf):
+    from ..config import MiningConfig
+    from .jobs import mine_sample_rules
+
+    cfg = MiningConfig(epsilon_m=0.5, delta_lo=6, delta_hi=12, double_step=2, gamma_penalty=0.0, k_max=5, error_kind="mean", max_iter=64, supp=0.5, min_count=2, n_segments=4)
+    train = fx.samples(spark, sf).where("split = 'train'")
+    return mine_sample_rules(train, cfg, m=8, max_rounds=2, sampling=0.2), train, cfg
+
+
+@query()
+def r2_mine_sample_rules(spark, sf):
+    """Rules inside a stratified sample of the labelled vectors, each a series."""
+    out, _, _ = _sample_rules(spark, sf)
+    return out["motif_classes"].groupBy("series_id").agg(F.count("*").alias("classes")).join(out["rules"].groupBy("series_id").agg(F.count("*").alias("rules")), "series_id", "left").fillna(0)
+
+
+@query()
+def r3_boost_classification(spark, sf):
+    """Predicted label of every test vector."""
+    from .jobs import boost_classification
+
+    out, train, cfg = _sample_rules(spark, sf)
+    return boost_classification(out["rules"], out["motif_classes"], train, fx.samples(spark, sf).where("split = 'test'"), cfg)["predicted"]
+
+
+@query()
+def r4_detect_anomalies(spark, sf):
+    """Days on which a rule's forecast misses by more than 250; the metrics against days with a quantity over its 0.95 quantile."""
+    from .jobs import detect_anomalies, mine_rules
+
+    series, cfg = _daily(spark, sf)
+    out = mine_rules(series, cfg, m=28, max_rounds=1)
+    high = F.col("v") > F.percentile("v", F.lit(0.95)).over(Window.partitionBy("attr_id"))
+    labels = series.select("t", high.cast("int").alias("h")).groupBy("t").agg(F.max("h").alias("label"))
+    return rounded(detect_anomalies(out["rules"], out["occurrences"], out["motif_classes"], series, labels, epsilon=250.0)["rule"], "precision", "recall", "f1")
+
+
+@query()
+def r5_impute_and_correct(spark, sf):
+    """Every 50 days 10 are taken out and filled."""
+    from .jobs import impute_and_correct, mine_rules
+
+    series, cfg = _daily(spark, sf)
+    out = mine_rules(series, cfg, m=28, max_rounds=1)
+    gappy = series.withColumn("v", F.when(F.col("t") % 50 >= 10, F.col("v")))
+    return rounded(impute_and_correct(gappy, out["rules"], out["occurrences"], out["motif_classes"], truth=series)["corrected"].drop("series_id"), "v", n=4)
+
+
 def flagship(spark, sf):
     """Which shape repeats in each event type, and where."""
     return q3_scan_occurrences(spark, sf)
