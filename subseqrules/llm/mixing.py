@@ -48,12 +48,12 @@ def source_targets(parts: DataFrame, *, weights=WEIGHTS, share=SHARE, repeats=RE
     return src.select("source", "sid", "source_size", "weight", F.least("most", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share=SHARE, repeats=REPEATS, block=BLOCK, bucket_rows=BUCKET_ROWS) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share=SHARE, repeats=REPEATS, block=BLOCK, bucket_rows=BUCKET_ROWS, carry=()) -> DataFrame:
     """The mix: a row for each piece of a document in the schedule, and one with null slot for a document left out.
 
     Columns: doc_id, source, size, source_size, target, bucket, seq (these two tell rows with equal ids apart), turn
-    (0: first time through the source), slot (place in the mix), from_word, words."""
-    base = durable(docs.select("doc_id", "source", word_count("text").alias("size")), "mix-sizes")
+    (0: first time through the source), slot (place in the mix), from_word, words, and those named in carry."""
+    base = durable(docs.select("doc_id", "source", word_count("text").alias("size"), *carry), "mix-sizes")
     n_docs, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(block, math.ceil(total * share / 2**30))
     buckets = max(1, -(-n_docs // bucket_rows))
@@ -70,7 +70,7 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share=SHARE, repeats=REPEAT
     parts = running_start(parts, "sid", "bucket", "part_size", "part_start")
     same = base.source.eqNullSafe(parts.source) & (base.bucket == parts.bucket)
     docs = base.join(parts, same).drop(parts.source).drop(parts.bucket)
-    within = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")
+    within = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", *carry)
     docs = docs.withColumn("seq", F.row_number().over(within))
     docs = docs.withColumn("start", F.col("part_start") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
@@ -81,7 +81,7 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share=SHARE, repeats=REPEAT
     pieces = pieces.withColumn("rank", F.explode_outer(F.when(F.col("p").isNotNull(), F.sequence(F.floor(F.col("p.at") / block), F.floor((F.col("p.to") - 1) / block)))))
     lo = F.greatest(F.col("p.at"), F.col("rank") * block)
     pieces = pieces.select(
-        "doc_id", "source", "size", "source_size", "target", "sid", "bucket", "seq", "rank", F.col("p.turn").alias("turn"),
+        "doc_id", "source", "size", "source_size", "target", "sid", "bucket", "seq", *carry, "rank", F.col("p.turn").alias("turn"),
         (lo - F.col("p.at")).alias("from_word"), (F.least(F.col("p.to"), (F.col("rank") + 1) * block) - lo).alias("words"))
     return pieces.join(schedule(src, n).hint("merge"), ["sid", "rank"], "left").drop("sid", "rank")
 
@@ -102,13 +102,15 @@ def schedule(src: DataFrame, n: int) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix with the columns they have: a row for each turn a document is taken in, its text cut after
-    the words taken where the source's target ends inside it. docs has columns doc_id (unique), text, source, n_chars."""
-    mix = mix_sources(docs, **how).where("slot is not null")
-    taken = mix.groupBy("doc_id", "turn").agg(F.sum("words").alias("words_"), F.max("size").alias("size_"))
-    out = docs.join(taken, "doc_id")
+    the words taken where the source's target ends inside it. docs has columns doc_id, text, source, n_chars; rows with null or equal ids are rows of their own."""
+    columns = docs.columns
+    docs = durable(docs.withColumn("row", F.monotonically_increasing_id()), "mix-rows")  # written: the numbers stay
+    mix = mix_sources(docs, carry=["row"], **how).where("slot is not null")
+    taken = mix.groupBy("row", "turn").agg(F.sum("words").alias("words_"), F.max("size").alias("size_"))
+    out = docs.join(taken, "row")
     first = F.array_join(F.slice(F.split(F.ltrim("text"), r"[\x20\x09-\x0D]+"), 1, F.col("words_").cast("int")), " ")
     out = out.withColumn("text", F.when(F.col("words_") < F.col("size_"), first).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
 
 
 def op1_mixing(spark, sf_dir):
