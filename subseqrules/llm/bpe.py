@@ -11,7 +11,7 @@ parameter. Texts are cut into pre-tokens first; pre-tokens repeat, so each worke
 (forgetting all when the memory holds MEMO characters; results don't depend on it).
 
 Defined results: null is encoded as the empty text, the empty text has no ids; extra columns are not carried; rows with
-equal ids give a row each; strings of special tokens in a text become their ids, as the library does by default.
+equal or null ids give a row each, ids as they are; an empty table gives an empty result; strings of special tokens in a text become their ids, as the library does by default.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import beside, read_table, text_slices, values
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
-MEMO = 1 << 27
+MEMO, PAIRS = 1 << 27, 1 << 19
 NAMED = regex.compile(r"[\p{L}\p{N}]")
 
 
@@ -117,6 +118,8 @@ class PrefixBPE:
                 before = last[start]
                 ok = fit.get((before, token))
                 if ok is None:
+                    if len(fit) > PAIRS:
+                        fit.clear()
                     ok = fit[before, token] = self.compatible(before, token)
             else:
                 ok = self.whole(token)
@@ -207,13 +210,13 @@ def loaded(path: str, pattern: str) -> PrefixBPE:
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded: each text encoded, and its ids decoded again."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        for pdf in chain.from_iterable(map(slices, batches)):
-            ids = [np.array(bpe.encode(t), dtype="<u4") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].values, "n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "decoded": [bpe.decode(x.tolist()) for x in ids]})
+        for batch in chain.from_iterable(map(text_slices, batches)):
+            ids = [np.array(bpe.encode(t), dtype="<u4") for t in values(batch["text"])]
+            yield beside(batch, ["doc_id"], n_tokens=[len(x) for x in ids], ids=[x.tobytes() for x in ids], decoded=[bpe.decode(x.tolist()) for x in ids])
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -221,14 +224,15 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         bpe = loaded(path, pattern)
-        for pdf in batches:
+        for batch in chain.from_iterable(map(text_slices, batches)):
             rows = []
-            for t in pdf["text"]:
+            for t in values(batch["text"]):
                 ids = bpe.encode(t)
                 rows.append((len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=pdf["doc_id"].values)
+            yield beside(batch, ["doc_id"], **dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), zip(*rows))))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "n_tokens long, ids_sha256 string, decoded_sha256 string, doc_id long").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark, sf_dir):

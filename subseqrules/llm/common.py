@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -52,13 +58,20 @@ def running_start(df: DataFrame, key: str, part: str, value: str, out: str) -> D
     return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
-def slices(pdf, column: str = "text", chars: int = 1 << 21):
-    """A batch in runs of rows with about `chars` characters each, so that what is made from a run stays small."""
-    start, size = 0, 0
-    for i, t in enumerate(pdf[column]):
-        size += len(t or "")
-        if size > chars:
-            yield pdf.iloc[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(pdf):
-        yield pdf.iloc[start:]
+def text_slices(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about `size` bytes of text each, so that what is made from a run stays small."""
+    n = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // size)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def values(column: pa.Array) -> list:
+    """Strings or binaries of a column, None where null."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def beside(batch: pa.RecordBatch, keep: list[str], **columns) -> pa.RecordBatch:
+    """The columns `keep` of a batch as they are, ids exact and nulls null, and new ones beside them."""
+    return pa.RecordBatch.from_arrays([*[batch[c] for c in keep], *map(pa.array, columns.values())], [*keep, *columns])

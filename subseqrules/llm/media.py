@@ -18,10 +18,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path
+from .common import beside, read_table, scratch_path, values
 
 UNIT, RATE = 576, 8000
 # Fixed values of the formats: magic bytes and media types.
@@ -216,10 +217,10 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 def media_features(stored: DataFrame) -> DataFrame:
     """What the stored bytes hold, read back through the sniffer and the validators."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for i, n, b in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"]):
+            for i, n, b in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), values(batch["media"])):
                 found = media_in(b)
                 if not found or found[0][:2] != ("audio/wav", 0):
                     raise ValueError(f"the stored medium of document {i} is damaged")
@@ -229,9 +230,10 @@ def media_features(stored: DataFrame) -> DataFrame:
                 crossings = int(np.count_nonzero(np.diff(x >= 128)))
                 text = f"{found[0][0]};rate={RATE};samples={size};sum={int(x.sum(dtype=np.int64))};crossings={crossings};embedded={len(found) - 1}"
                 rows.append((i, n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(b), hashlib.sha256(b).hexdigest(), text))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
+            names = [c.split()[0] for c in FEATURES.split(", ")][2:]
+            yield beside(batch, ["doc_id", "n_bytes"], **dict(zip(names, zip(*[r[2:] for r in rows]))))
 
-    return stored.select("doc_id", "n_bytes", "media").mapInPandas(run, FEATURES)
+    return stored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "media").mapInArrow(run, FEATURES)
 
 
 def op3_media(spark, sf_dir):

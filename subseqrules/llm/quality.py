@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, read_table
+from .common import beside, durable, read_table, values
 from .toxicity import fit_logistic
 
 FIT_ROWS = 8000
@@ -50,13 +51,13 @@ def evidence(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame
     """The columns `keep` and evidence, the log odds that the classifier gives."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array([features(t) for t in pdf["text"]]).reshape(-1, COLUMNS)
-            yield pdf[keep].assign(evidence=np.clip(x @ shared.value, -12, 12))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t) for t in values(batch["text"])]).reshape(-1, COLUMNS)
+            yield beside(batch, keep, evidence=np.clip(x @ shared.value, -12, 12))
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInPandas(run, f"{kinds}, evidence double")
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, evidence double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:

@@ -12,7 +12,8 @@ are compared. A leaf with very many near copies thus becomes many block pairs, n
 Only a forest of the links found leaves a block pair (no link between different fingerprints is lost for the components).
 
 Defined results: null and empty texts and texts without words have fingerprint 0 and are linked like any other; texts
-of fewer than four words are one shingle; equal ids give a row each; an empty table gives an empty result.
+of fewer than four words are one shingle; equal ids give a row each, null ids too; component_id is the smallest id that is
+not null, null only if all of the component are; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions_of, read_table
+from .common import beside, durable, partitions_of, read_table, values
 from .components import components
 
 SHINGLE, RADIUS, SAMPLE, LEAF, BLOCK = 4, 4, 1 << 15, 1500, 8192
@@ -57,12 +59,12 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.fromiter((fingerprint(t, size) for t in pdf["text"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.fromiter((fingerprint(t, size) for t in values(batch["text"])), np.uint64, batch.num_rows)
+            yield beside(batch, ["doc_id"], fp=fp.view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:

@@ -3,14 +3,15 @@
 A file holds the ids of a run of documents in ascending doc_id order. Ids are split into chunks of 8 bits: level 0 has
 the lowest chunk of every id, level k + 1 the next chunk of those ids of level k whose continuation bit is set. A rank
 directory counts the set bits before every block of 512, so any token is reached without decoding another: its place in
-the next level is the rank of its bit. Layout (little-endian): magic, documents, ids, levels; doc_ids; first id of each
-document; then for each level its length, chunks, packed continuation bits, rank directory.
+the next level is the rank of its bit. Layout (little-endian): magic, documents, ids, levels; doc_ids; a bit for each
+document, 0 where its id is null; first id of each document; then for each level its length, chunks, packed continuation
+bits, rank directory.
 
-Texts are dealt by ranges of doc_id, so files follow each other by (partition, number). A file is written under another
+Texts are dealt by ranges of (doc_id, hash of the text), so files follow each other by (partition, number). A file is written under another
 name and moved, so a task that runs again leaves one whole file. Reading goes through Spark's binaryFile source.
 
-Defined results: null is the empty text, which is its end id alone; rows with equal ids follow each other by text; a
-document longer than a file's size has a file of its own; an empty table gives no file and no rows.
+Defined results: null is the empty text, which is its end id alone; null ids come first and stay null; rows with equal ids
+(null ones too) are rows of their own and follow each other by hash of the text; extra columns are ignored; a document longer than a file's size has a file of its own; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
@@ -18,20 +19,20 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 from string import punctuation as MARKS
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, partitions_of, read_table, scratch_path
+from .common import durable, partitions_of, read_table, scratch_path, text_slices
 
-MAGIC, BLOCK, FILE_IDS, MEMO, CHARS = b"DACIDS01", 512, 1 << 21, 1 << 19, 1 << 20
+MAGIC, BLOCK, FILE_IDS, MEMO, CHARS = b"DACIDS02", 512, 1 << 21, 1 << 20, 1 << 23
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -48,10 +49,12 @@ def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndar
     return levels
 
 
-def pack_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+def pack_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     levels = encode_levels(ids)
     first = np.cumsum(counts) - counts
-    parts = [MAGIC, struct.pack("<QQQ", len(doc_ids), len(ids), len(levels)), doc_ids.astype("<i8").tobytes(), first.astype("<u8").tobytes()]
+    known = np.array([i is not None for i in doc_ids], bool)
+    numbers = np.array([0 if i is None else int(i) for i in doc_ids], "<i8")
+    parts = [MAGIC, struct.pack("<QQQ", len(numbers), len(ids), len(levels)), numbers.tobytes(), np.packbits(known, bitorder="little").tobytes(), first.astype("<u8").tobytes()]
     for chunks, bits, ranks in levels:
         parts += [struct.pack("<Q", len(chunks)), chunks.tobytes(), bits.tobytes(), ranks.tobytes()]
     return b"".join(parts)
@@ -66,8 +69,11 @@ class TokenFile:
         docs, self.n, levels = struct.unpack_from("<QQQ", data, 8)
         at = 32
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
-        self.first = np.frombuffer(data, "<u8", docs, at + 8 * docs).astype(np.int64)
-        at, self.levels = at + 16 * docs, []
+        at += 8 * docs
+        self.known = np.unpackbits(np.frombuffer(data, np.uint8, -(-docs // 8), at), count=docs, bitorder="little").astype(bool)
+        at += -(-docs // 8)
+        self.first = np.frombuffer(data, "<u8", docs, at).astype(np.int64)
+        at, self.levels = at + 8 * docs, []
         for _ in range(levels):
             n = struct.unpack_from("<Q", data, at)[0]
             b, r = -(-n // 8), -(-n // BLOCK)
@@ -94,74 +100,106 @@ class TokenFile:
         return out
 
 
+class Ragged:
+    """Words and the ids of each, as Arrow strings and one flat array; looked up in bulk."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.flat, self.first = pa.array([""], pa.large_string()), np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 if it isn't there."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, words: pa.Array, sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words.cast(pa.large_string())])
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each place, all their ids one after another)."""
+        start, sizes = self.first[at], self.first[at + 1] - self.first[at]
+        ends = np.cumsum(sizes)
+        at = np.repeat((start - (ends - sizes)).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return sizes, self.flat[at]
+
+
 class WordEncoder:
     """Ids by the `tokenizers` library, which each distinct word goes through once while it is remembered.
 
-    The vocabulary's tokens never hold white space, so a text's ids are those of its parts between spaces and line ends,
-    case aside, and of letters with marks
-    behind them, those of the letters and those of the marks."""
+    The vocabulary's tokens never hold white space, so a text's ids are those of its parts between white space,
+    case aside, and of letters with marks behind them, those of the letters and those of the marks. Texts are split and
+    words told apart in Arrow; only words that are new are Python strings."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}  # of words as they stand between spaces
-        self.parts: dict[str, bytes] = {}  # of their letters in lower case, and of what isn't letters and marks
+        self.whole, self.parts = Ragged(), Ragged()  # words as they stand in the text; letters in lower case, and what isn't
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.lib.no_truncation()
         self.lib.no_padding()
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; CHARS characters of texts at a time."""
-        part, size = [], 0
-        for t in texts:
-            part.append(t or "")
-            size += len(part[-1])
-            if size > CHARS:
-                yield from self.encode_some(part)
-                part, size = [], 0
-        yield from self.encode_some(part)
-
-    def encode_some(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, parts = self.memo, self.parts
-        new = set(chain.from_iterable(split)).difference(memo)
-        cut = []
-        for w in new:  # (word, its letters in lower case, its marks)
-            core = w.rstrip(MARKS)
-            low = core.lower()
-            # a capital sigma becomes another letter at a word's end here, but not in the library
-            cut.append((w, low, w[len(core) :]) if low.isalpha() and "\u03a3" not in core else (w, None, w))
-        if len(parts) > 2 * MEMO:
-            parts.clear()
-        parts[""] = b""
-        self.learn_letters([x for x in {low for _, low, _ in cut if low} if x not in parts])
-        self.learn([x for x in {rest for _, _, rest in cut} if x not in parts])
-        memo.update((w, parts[low] + parts[rest] if low else parts[rest]) for w, low, rest in cut)
-        return [b"".join(map(memo.__getitem__, ws)) for ws in split]
-
-    def learn(self, own: list[str]) -> None:
-        for k in range(0, len(own), 4096):
-            some = own[k : k + 4096]
-            self.parts.update(zip(some, (array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(some, add_special_tokens=False))))
-
-    def learn_letters(self, own: list[str]) -> None:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids one after another); null is the empty text."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = split.flatten().dictionary_encode()
+        if len(self.whole.words) > MEMO:
+            self.whole.clear()
+        if len(self.parts.words) > MEMO:
+            self.parts.clear()
+        at = self.whole.find(words.dictionary)
+        if len(new := np.flatnonzero(at < 0)):
+            at[new] = len(self.whole.words) + np.arange(len(new))
+            self.learn(words.dictionary.take(pa.array(new)))
+        sizes, ids = self.whole.gather(at[words.indices.to_numpy(zero_copy_only=False)])
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return np.diff(upto), ids
+
+    def learn(self, words: pa.Array) -> None:
+        """Add words that aren't known."""
+        cores = pc.utf8_rtrim(words, MARKS)
+        joined = "\n".join(cores.to_numpy(zero_copy_only=False))
+        low = joined.lower().split("\n")
+        plain = np.fromiter(map(str.isalpha, low), bool, len(low))
+        if "\u03a3" in joined:  # a capital sigma becomes another letter at a word's end here, but not in the library
+            plain &= np.array(["\u03a3" not in c for c in joined.split("\n")])
+        rest = np.flatnonzero(~plain | (pc.binary_length(words).to_numpy() > pc.binary_length(cores).to_numpy()))
+        tail = np.full(len(low), "", object)
+        some = words.take(pa.array(rest)).to_numpy(zero_copy_only=False)
+        sizes = pc.utf8_length(cores).to_numpy()[rest] * plain[rest]
+        tail[rest] = [w[n:] for w, n in zip(some.tolist(), sizes.tolist())]
+        head = pc.if_else(pa.array(plain), pa.array(low, pa.large_string()), "").dictionary_encode()
+        tail = pa.array(tail, pa.large_string()).dictionary_encode()
+        at = self.parts.find(pa.concat_arrays([head.dictionary, tail.dictionary]))
+        n = len(head.dictionary)
+        for kind, lo, hi, learn in ((head.dictionary, 0, n, self.letters), (tail.dictionary, n, len(at), self.others)):
+            new = np.flatnonzero(at[lo:hi] < 0)
+            at[lo + new] = len(self.parts.words) + np.arange(len(new))
+            missing = kind.take(pa.array(new))
+            found = [learn(missing.slice(k, 4096).to_numpy(zero_copy_only=False).tolist()) for k in range(0, len(missing), 4096)]
+            if found:
+                self.parts.add(missing, *map(np.concatenate, zip(*found)))
+        both = np.stack((at[:n][head.indices.to_numpy()], at[n:][tail.indices.to_numpy()]), axis=1).reshape(-1)
+        sizes, ids = self.parts.gather(both)
+        self.whole.add(words, sizes.reshape(-1, 2).sum(axis=1), ids)
+
+    def others(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.lib.encode_batch_fast(own, add_special_tokens=False)]
+        return np.array(list(map(len, ids)), np.int64), np.fromiter(chain.from_iterable(ids), np.uint32)
+
+    def letters(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters go through together: each ends with the first token that ends a word."""
-        for k in range(0, len(own), 4096):
-            some = own[k : k + 4096]
-            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):  # a letter that the library takes for none
-                self.learn(some)
-                continue
-            data, at = ids.tobytes(), 0
-            for w, end in zip(some, (4 * ends).tolist()):
-                self.parts[w] = data[at:end]
-                at = end
+        ids = np.array(self.lib.encode(" ".join(own), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(own):  # a letter that the library takes for none
+            return self.others(own)
+        return np.diff(ends, prepend=0), ids
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -173,16 +211,17 @@ def write_token_files(docs: DataFrame, folder: str, path: str, *, end_id: int =
     def run(batches):
         from pyarrow import fs as arrow_fs
 
-        enc = _ENCODERS.setdefault(path, None) or WordEncoder(path)
-        _ENCODERS[path] = enc
+        if path not in _ENCODERS:
+            _ENCODERS[path] = WordEncoder(path)
+        enc = _ENCODERS[path]
         fs, base = arrow_fs.FileSystem.from_uri(folder)
-        part, number, end = TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
-        held: list[tuple[int, np.ndarray]] = []
+        part, number = TaskContext.get().partitionId(), 0
+        held: list[tuple[int | None, np.ndarray]] = []
 
         def save():
             nonlocal number
             name = f"{base}/part-{part:06d}-{number:06d}.dac"
-            data = pack_file(np.array([i for i, _ in held], np.int64), np.array([len(x) for _, x in held], np.int64), np.concatenate([x for _, x in held]))
+            data = pack_file([i for i, _ in held], np.array([len(x) for _, x in held], np.int64), np.concatenate([x for _, x in held]))
             fs.create_dir(base, recursive=True)
             with fs.open_output_stream(tmp := f"{base}/.{uuid.uuid4().hex}") as f:
                 f.write(data)
@@ -190,40 +229,46 @@ def write_token_files(docs: DataFrame, folder: str, path: str, *, end_id: int =
             row = (name.rsplit("/", 1)[1], part, number, len(held), sum(len(x) for _, x in held))
             number += 1
             held.clear()
-            return pd.DataFrame([row], columns=["file", "part", "number", "n_docs", "n_ids"])
+            return pa.RecordBatch.from_pylist([dict(zip(("file", "part", "number", "n_docs", "n_ids"), row))])
 
         size = 0
-        for pdf in batches:
-            for i, ids in zip(pdf["doc_id"].tolist(), enc.encode(pdf["text"].tolist())):
-                ids = np.frombuffer(ids + end, "<u4")
-                if held and size + len(ids) > file_ids:
+        for batch in chain.from_iterable(text_slices(b, CHARS) for b in batches):
+            counts, ids = enc.encode(batch["text"])
+            ends = np.cumsum(counts)
+            ids = np.insert(ids, ends, np.uint32(end_id))
+            ends = ends + np.arange(1, len(ends) + 1)
+            for i, a, b in zip(batch["doc_id"].to_pylist(), (ends - counts - 1).tolist(), ends.tolist()):
+                if held and size + b - a > file_ids:
                     yield save()
                     size = 0
-                held.append((i, ids))
-                size += len(ids)
+                held.append((i, ids[a:b]))
+                size += b - a
         if held:
             yield save()
 
     n = max(partitions_of(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return durable(dealt.mapInPandas(run, "file string, part long, number long, n_docs long, n_ids long"), "token-manifest")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    dealt = own.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    return durable(dealt.mapInArrow(run, "file string, part long, number long, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the folder's files."""
 
     def run(batches):
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"]):
-                f = TokenFile(data)
+        for batch in batches:
+            for name, data in zip(batch["path"].to_pylist(), batch["content"]):
+                f = TokenFile(data.as_py())
                 ids = f.ids()
                 ends = np.append(f.first[1:], f.n)
                 part, number = name.rsplit("/", 1)[1].removesuffix(".dac").split("-")[1:]
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(f.first.tolist(), ends.tolist())]
-                yield pd.DataFrame({"part": int(part), "number": int(number), "doc_id": f.doc_ids, "at": f.first, "n_tokens": ends - f.first, "ids_crc32": crc})
+                n = len(crc)
+                columns = {"part": np.full(n, int(part)), "number": np.full(n, int(number)), "doc_id": pa.array(f.doc_ids, mask=~f.known), "at": f.first, "n_tokens": ends - f.first, "ids_crc32": np.array(crc, np.int64)}
+                yield pa.RecordBatch.from_pydict(columns)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder).select("path", "content")
-    rows = durable(files.mapInPandas(run, "part long, number long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
+    rows = durable(files.mapInArrow(run, "part long, number long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
     sizes = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).withColumn("part_start", before(Window.orderBy("part"))).drop("n")

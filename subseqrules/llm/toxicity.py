@@ -2,17 +2,19 @@
 
 Labels are of documents. A word or word beginning (the first 5 or 4 letters) is evidence if the documents labelled toxic
 have it far more often; tokens of toxic documents with evidence get label 1, all other tokens 0, and these labelled tokens
-train the chain: two states, weights for the evidence of a token, a bias and the four transitions, fitted by gradient
-steps whose gradients are forward-backward expectations. A document's marginals are then summed up: the expected number of
+train the chain: two states, weights for the evidence of a token, a bias and the four transitions, fitted by quasi-Newton
+steps on the likelihood of every token of every fitted row. A document's marginals are then summed up: the expected number of
 toxic tokens, its density and the largest marginal are the inputs of a logistic score; tokens with a marginal of a half or
 more are the offending spans.
 
 Tokens without evidence all emit the same, so only tokens with evidence are visited: the run of plain tokens between two
 of them is a power of one 2x2 matrix, by its two eigenvalues. That is exact, and a text costs what its evidence costs.
 
-It is fitted on at most FIT_ROWS labelled rows (a parameter; those with the smallest hash of doc_id), scores cover all
-rows. Defined results: null and empty texts and texts without words get the score of no evidence; equal texts get equal
-scores; rows with equal ids a row each; without any labelled row, or with labels of one kind only, all scores are that
+It is fitted on at most FIT_ROWS labelled rows (a parameter; those with the smallest hash of doc_id) and at most `keys`
+words and beginnings (a parameter; those in most toxic rows). Of these rows the positions of evidence come to the driver,
+whole texts do not; scores cover all rows. Defined results: null and empty texts and texts without words get the score of no evidence; equal texts get equal
+scores; rows with equal or null ids a row each, ids as they are; labels with a null id or a null label are not used, nor are
+texts with a null id in fitting; extra columns are ignored; without any labelled row, or with labels of one kind only, all scores are that
 share of toxic rows (0 without rows).
 """
 
@@ -25,12 +27,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import beside, durable, read_table, values
 
-FIT_ROWS, THRESHOLD, STEPS = 12_000, 0.3, 300
+FIT_ROWS, THRESHOLD, STEPS = 12_000, 0.3, 40
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -90,57 +93,98 @@ class ToxicModel:
                 after = after / after.sum()
         return np.clip(out, 0, 1)
 
-    def features(self, at, x, n) -> np.ndarray:
-        m = self.marginals(at, x, n)
+    def features(self, m: np.ndarray, n: int) -> np.ndarray:
         return np.array([1.0, np.log1p(m.sum()), m.max(initial=0.0), 100 * m.sum() / max(50, n)])
 
+    def score_from(self, m: np.ndarray, n: int) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.features(m, n) @ self.score, -30, 30))))
+
     def score_of(self, at, x, n) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.features(at, x, n) @ self.score, -30, 30))))
+        return self.score_from(self.marginals(at, x, n), n)
 
-    def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int]]:
-        """(start, end) characters of the offending tokens."""
+    def judge(self, text: str | None, least: float = 0.5) -> tuple[float, list[tuple[int, int]]]:
+        """(score, (start, end) characters of the offending tokens), from one forward-backward."""
         at, x, n = self.active(text)
         m = self.marginals(at, x, n)
         bad = set(at[m >= least].tolist())
-        return [w.span() for i, w in enumerate(WORDS.finditer(text or "")) if i in bad]
-
-
-def expectations(chain: np.ndarray, x: np.ndarray, ok: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Log likelihood and gradient of padded token rows: x evidence, ok whether a token is there, y its label."""
-    bias, scale, up, down, stay = chain
-    move = np.array([[0.0, up], [down, stay]])
-    emit = np.stack((np.zeros_like(x), bias + scale * x), axis=2)
-    rows, length = x.shape
-    alpha, beta = np.zeros((rows, length, 2)), np.zeros((rows, length, 2))
-    lse = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
-    alpha[:, 0] = np.array([0.0, up]) + emit[:, 0]
-    for t in range(1, length):
-        step = lse(alpha[:, t - 1, :, None] + move[None], 1) + emit[:, t]
-        alpha[:, t] = np.where(ok[:, t, None], step, alpha[:, t - 1])
-    for t in range(length - 2, -1, -1):
-        step = lse(move[None] + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-        beta[:, t] = np.where(ok[:, t + 1, None], step, 0.0)
-    z = lse(alpha[:, -1], 1)
-    p1 = np.exp(np.minimum(0, alpha[..., 1] + beta[..., 1] - z[:, None])) * ok
-    pair = np.exp(np.minimum(0, alpha[:, :-1, :, None] + move + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])) * ok[:, 1:, None, None]
-    yy = (y * ok).astype(float)
-    seen = lambda a, b: (yy[:, :-1] == a) * (yy[:, 1:] == b) * ok[:, 1:]
-    first = yy[:, 0] - p1[:, 0]
-    grad = np.array([
-        (yy - p1).sum(), (x * (yy - p1)).sum(), first.sum() + (seen(0, 1) - pair[..., 0, 1]).sum(),
-        (seen(1, 0) - pair[..., 1, 0]).sum(), (seen(1, 1) - pair[..., 1, 1]).sum()])
-    gold = (yy * emit[..., 1]).sum() + up * yy[:, 0].sum() + up * seen(0, 1).sum() + down * seen(1, 0).sum() + stay * seen(1, 1).sum()
-    return float(gold - z.sum()), grad
-
-
-def fit_chain(x: np.ndarray, ok: np.ndarray, y: np.ndarray, steps: int) -> np.ndarray:
-    """Gradient steps of per-weight size (Adam) on the mean log likelihood, with a small pull to zero."""
-    chain, m, v, n = np.array([-3.0, 1.0, 0.0, 0.0, 0.0]), np.zeros(5), np.zeros(5), max(1, ok.sum())
-    for t in range(1, steps + 1):
-        g = expectations(chain, x, ok, y)[1] / n - 1e-4 * chain
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        chain = chain + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return chain
+        return self.score_from(m, n), [w.span() for i, w in enumerate(WORDS.finditer(text or "")) if i in bad] if bad else []
+
+
+@dataclass
+class TokenRows:
+    """Labelled token rows, by falling number of evidence tokens: plain tokens are known by their number only."""
+
+    gap: np.ndarray  # (rows, most): plain tokens between an evidence token and the one before it
+    x: np.ndarray  # (rows, most): evidence
+    count: np.ndarray  # evidence tokens of a row
+    rest: np.ndarray  # plain tokens after the last one
+    toxic: np.ndarray  # whether the row's evidence tokens have label 1; all other tokens have 0
+
+    @classmethod
+    def of(cls, tokens: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -> TokenRows:
+        order = sorted(range(len(tokens)), key=lambda i: -len(tokens[i][0]))
+        most = max(1, len(tokens[order[0]][0])) if order else 1
+        gap, x = np.zeros((len(order), most)), np.zeros((len(order), most))
+        count, rest = np.zeros(len(order), np.int64), np.zeros(len(order))
+        for r, i in enumerate(order):
+            at, own, n = tokens[i]
+            count[r], rest[r] = len(at), n - 1 - at[-1] if len(at) else n
+            gap[r, : len(at)], x[r, : len(at)] = np.diff(at, prepend=-1) - 1, own
+        return cls(gap, x, count, rest, np.asarray(toxic, bool)[order])
+
+    def likelihood(self, chain: np.ndarray) -> float:
+        """Log likelihood of the labels of all tokens of all rows."""
+        bias, scale, up, down, stay = chain
+        move = np.array([[1.0, np.exp(up)], [np.exp(down), np.exp(stay)]])
+        values, vectors = np.linalg.eig(move * np.array([1.0, np.exp(bias)])[None, :])
+        inverse, top = np.linalg.inv(vectors), np.abs(values).max()
+        ratio, deep = values / top, np.log(top)
+        ahead, z = np.tile([1.0, 0.0], (len(self.count), 1)), np.zeros(len(self.count))
+        for k in range(self.x.shape[1]):
+            n = int(np.searchsorted(-self.count, -k))  # rows with more than k evidence tokens stand in front
+            step = ((ahead[:n] @ vectors) * ratio[None, :] ** self.gap[:n, k, None]) @ inverse @ move
+            step[:, 1] *= np.exp(bias + scale * self.x[:n, k])
+            total = step.sum(axis=1)
+            ahead[:n], z[:n] = step / total[:, None], z[:n] + np.log(total) + self.gap[:n, k] * deep
+        last = (((ahead @ vectors) * ratio[None, :] ** self.rest[:, None]) @ inverse).sum(axis=1)
+        z += np.log(last) + self.rest * deep
+        own = (np.arange(self.x.shape[1])[None, :] < self.count[:, None]) & self.toxic[:, None]
+        follows = own & (self.gap == 0)
+        follows[:, :1] = False  # before the first token the state is plain
+        leaves = own & ~np.pad(follows[:, 1:], ((0, 0), (0, 1)))
+        leaves[np.arange(len(leaves)), np.maximum(self.count - 1, 0)] &= self.rest > 0
+        gold = (own * (bias + scale * self.x)).sum() + up * (own & ~follows).sum() + stay * follows.sum() + down * leaves.sum()
+        return float(gold - z.sum())
+
+
+def fit_chain(rows: TokenRows, steps: int) -> np.ndarray:
+    """Quasi-Newton steps on the mean log likelihood of a token, with a small pull to zero."""
+    n = max(1.0, rows.count.sum() + rows.rest.sum() + rows.gap.sum())
+
+    def loss(c: np.ndarray) -> float:
+        return -rows.likelihood(c) / n + 0.5e-6 * c @ c
+
+    def slope(c: np.ndarray) -> np.ndarray:
+        return np.array([loss(c + d) - loss(c - d) for d in np.eye(5) * 1e-4]) / 2e-4
+
+    c, inverse = np.array([-3.0, 1.0, 0.0, 0.0, 0.0]), np.eye(5)
+    now, g = loss(c), slope(c)
+    for _ in range(steps):
+        move, width = -inverse @ g, 1.0
+        if move @ g >= 0:
+            move, inverse = -g, np.eye(5)
+        move = np.clip(move, -2, 2)
+        while not (after := loss(np.clip(c + width * move, -20, 20))) < now and width > 1e-6:
+            width /= 2
+        new = np.clip(c + width * move, -20, 20)
+        if not after < now or now - after < 1e-12:
+            break
+        s, y = new - c, (h := slope(new)) - g
+        if (sy := s @ y) > 1e-14:
+            a = np.eye(5) - np.outer(s, y) / sy
+            inverse = a @ inverse @ a.T + np.outer(s, s) / sy
+        c, now, g = new, after, h
+    return c
 
 
 def fit_logistic(f: np.ndarray, y: np.ndarray, pull: float = 1e-2) -> np.ndarray:
@@ -179,8 +223,6 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, least_docs: int = 3, lift: float = 5.0, keys: int = 4096, steps: int = STEPS) -> ToxicModel:
     """Learn evidence, chain and score from labelled rows."""
-    from .common import durable
-
     train = durable(training_rows(docs, labels, rows), "toxic-train")
     counts = {int(r.toxic > 0): r.n for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
@@ -198,22 +240,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, least_docs:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": [a for a, _, _ in out], "x": [x for _, x, _ in out], "n": [n for _, _, n in out]})
 
     data = train.select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic int, at array<long>, x array<double>, n long").toPandas()
-    data = data.sort_values(["doc_id", "toxic", "n"]).reset_index(drop=True)
+    data = data.sort_values(["doc_id", "toxic", "n"], kind="stable").reset_index(drop=True)
     y = (data["toxic"] > 0).to_numpy(float)
     tokens = [(np.asarray(a, int), np.asarray(x, float), n) for a, x, n in zip(data["at"], data["x"], data["n"])]
-    # chain: the first 256 tokens around evidence of toxic rows, and as many clean rows
-    pick = [*np.nonzero(y)[0][:1500], *np.nonzero(y == 0)[0][:1500]]
-    width = 64
-    X, OK, Y = np.zeros((len(pick), width)), np.zeros((len(pick), width), bool), np.zeros((len(pick), width))
-    for r, i in enumerate(pick):
-        at, x, n = tokens[i]
-        lo = max(0, int(at[0]) - 8) if len(at) else 0
-        keep = (at >= lo) & (at < lo + width)
-        OK[r, : max(1, min(width, n - lo))] = True
-        X[r, at[keep] - lo] = x[keep]
-        Y[r, at[keep] - lo] = y[i]
-    model.chain = fit_chain(X, OK, Y, steps)
-    f = np.array([model.features(*t) for t in tokens])
+    model.chain = fit_chain(TokenRows.of(tokens, y), steps)
+    f = np.array([model.features(model.marginals(*t), t[2]) for t in tokens])
     model.score = fit_logistic(f, y)
     return model
 
@@ -222,16 +253,17 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id, score, offending (array of start, end) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: at most `keys` weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for pdf in batches:
-            rows = []
-            for t in pdf["text"]:
-                own = m.active(t)
-                rows.append((m.score_of(*own), [{"start": a, "end": b} for a, b in m.spans(t)] if len(own[0]) else []))
-            yield pd.DataFrame(rows, columns=["score", "offending"]).assign(doc_id=pdf["doc_id"].values)
+        for batch in batches:
+            rows = [m.judge(t) for t in values(batch["text"])]
+            spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in rows], kind)
+            yield beside(batch, ["doc_id"], score=np.array([x for x, _ in rows], float), offending=spans)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "score double, offending array<struct<start: int, end: int>>, doc_id long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.mapInArrow(run, "doc_id long, score double, offending array<struct<start: int, end: int>>")
 
 
 def reject(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -240,10 +272,10 @@ def reject(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) ->
 
     def run(batches):
         m = shared.value
-        for pdf in batches:
-            yield pdf[[m.score_of(*m.active(t)) < threshold for t in pdf["text"]]]
+        for batch in batches:
+            yield batch.filter(pa.array([m.score_of(*m.active(t)) < threshold for t in values(batch["text"])], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark, sf_dir):
