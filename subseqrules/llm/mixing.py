@@ -52,13 +52,15 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share=SHARE, repeats=REPEAT
     """The mix: a row for each piece of a document in the schedule, and one with null slot for a document left out.
 
     Columns: doc_id, source, size, source_size, target, bucket, seq (these two tell rows with equal ids apart), turn
-    (0: first time through the source), slot (place in the mix), from_word, words, and those named in carry."""
-    base = durable(docs.select("doc_id", "source", word_count("text").alias("size"), *carry), "mix-sizes")
+    (0: first time through the source), slot (place in the mix), from_word, words, and those named in carry. A block has
+    `block` words, more where the mix would have over 2^30 blocks, so that places fit 64 bits when they are multiplied."""
+    h = (F.col("doc_id") % 2147483647 * 1103515245 + 12345) % 2147483648
+    h = F.pmod(F.coalesce(h, F.xxhash64("text")), F.lit(2147483648))  # null ids are spread by their texts
+    base = durable(docs.select("doc_id", "source", word_count("text").alias("size"), h.alias("h"), *carry), "mix-sizes")
     n_docs, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(block, math.ceil(total * share / 2**30))
     buckets = max(1, -(-n_docs // bucket_rows))
-    h = (F.coalesce("doc_id", F.lit(0)) % 2147483647 * 1103515245 + 12345) % 2147483648
-    base = base.withColumn("h", F.pmod(h, F.lit(2147483648))).withColumn("bucket", F.col("h") % buckets)
+    base = base.withColumn("bucket", F.col("h") % buckets)
 
     parts = durable(base.groupBy("source", "bucket").agg(F.sum("size").alias("part_size")), "mix-parts")
     src = source_targets(parts, weights=weights, share=share, repeats=repeats)
@@ -69,7 +71,7 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share=SHARE, repeats=REPEAT
     parts = parts.join(src, parts.source.eqNullSafe(src.source)).drop(src.source)
     parts = running_start(parts, "sid", "bucket", "part_size", "part_start")
     same = base.source.eqNullSafe(parts.source) & (base.bucket == parts.bucket)
-    docs = base.join(parts, same).drop(parts.source).drop(parts.bucket)
+    docs = base.join(parts.hint("merge"), same).drop(parts.source).drop(parts.bucket)
     within = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", *carry)
     docs = docs.withColumn("seq", F.row_number().over(within))
     docs = docs.withColumn("start", F.col("part_start") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -108,7 +110,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     mix = mix_sources(docs, carry=["row"], **how).where("slot is not null")
     taken = mix.groupBy("row", "turn").agg(F.sum("words").alias("words_"), F.max("size").alias("size_"))
     out = docs.join(taken, "row")
-    first = F.array_join(F.slice(F.split(F.ltrim("text"), r"[\x20\x09-\x0D]+"), 1, F.col("words_").cast("int")), " ")
+    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # each a word and the white space behind it
+    lead = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
+    first = F.array_join(F.slice(pieces, 1, F.col("words_").cast("int") + lead), "")
     out = out.withColumn("text", F.when(F.col("words_") < F.col("size_"), first).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
 
