@@ -5,11 +5,13 @@ cells of the nearest pivot. A vector belongs to its home cell and is sent as a q
 hold something within r: by the triangle inequality d(x, pivot) - d(x, home) <= 2r, and its distance to the plane between
 the two pivots must be <= r. Each pair so meets once, in the later of its two cells. Cells are cut into blocks of bounded
 size that join independently; inside a block pair, rows are ordered by distance to the pivot and only rings within r
-are multiplied. Equal vectors are one row with a count.
+are multiplied. Equal vectors are one row with a count and a number of its own, by which links are known; vec_id only
+comes back at the end.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing and are
-their own component; vectors of different lengths don't link; rows with equal ids are rows of their own that count as
-others. Where vectors spread evenly over many dimensions, r reaches into most cells and the join nears all pairs of blocks.
+their own component; vectors of different lengths don't link; rows with equal or null ids are rows of their own that count
+as others; component_id is the smallest id that is not null, null if all are, and kept means equal to it, null to null;
+extra columns are ignored; an empty table gives an empty result. Where vectors spread evenly over many dimensions, r reaches into most cells and the join nears all pairs of blocks.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions_of, read_table
+from .common import beside, durable, partitions_of, read_table
 from .components import components
 from .simhash import forest
 
-COSINE, PIVOTS, BLOCK = 0.9, 8, 4096
+COSINE, PIVOTS, BLOCK = 0.9, 8, 1 << 14
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -121,24 +123,26 @@ def embedding_links(rows: DataFrame, *, cosine=COSINE, **how) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding)."""
     value = F.col("embedding").cast("array<double>")
     usable = (F.size(value) > 0) & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(value, lambda x: x != 0)
-    rows = rows.select("vec_id", F.when(F.coalesce(usable, F.lit(False)), value).alias("v"))
-    some = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), value).alias("v"))
+    some = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
 
     def scale(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "copies": pdf["copies"], "dim": [len(v) for v in pdf["v"]], "vec": [unit(np.array([v], np.float64))[0].tobytes() for v in pdf["v"]], "v": pdf["v"]})
+        for batch in batches:
+            own = [np.asarray(v, np.float64) for v in batch["v"].to_numpy(zero_copy_only=False)]
+            yield beside(batch, ["least", "copies", "v"], dim=np.array(list(map(len, own)), np.int32), vec=[unit(v[None])[0].tobytes() for v in own])
 
-    some = durable(some.mapInPandas(scale, "node long, copies long, dim int, vec binary, v array<double>"), "vectors")
-    found = durable(links(some.drop("v"), cosine=cosine, **how), "vector-links")
+    some = some.mapInArrow(scale, "least long, copies long, v array<double>, dim int, vec binary")
+    some = durable(some.withColumn("node", F.monotonically_increasing_id()), "vectors")  # written: the numbers stay
+    found = durable(links(some.select("node", "copies", "dim", "vec"), cosine=cosine, **how), "vector-links")
     roots = durable(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector-roots")
     sums = found.groupBy("node").agg(F.sum("linked").alias("linked"))
     some = some.join(sums, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    some = some.select("v", "root", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "node")
-    least = some.groupBy("root").agg(F.min("node").alias("component_id"))
+    some = some.select("v", "root", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least")
+    least = some.groupBy("root").agg(F.min("least").alias("component_id"))
     some = some.join(least, "root").select("v", "n_links", "component_id")
     linked = rows.where("v is not null").join(some, "v").select("vec_id", "n_links", "component_id")
     out = linked.unionByName(rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_embeddings(spark, sf_dir):
