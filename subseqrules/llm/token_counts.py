@@ -4,16 +4,19 @@ State is a folder of committed batches. A batch is a set of signed changes (+1 i
 delete of the old and an insert of the new), summed by (source, lang, tokenizer version) before it is written, so the
 state grows with batches times groups, never with documents. Totals are additive: the sum over committed batches.
 
-A commit is idempotent. A batch is written once as one Parquet folder named by its id, and counts when Spark's _SUCCESS
-marker is in it; a batch whose folder has the marker is not applied again, one without it is what a lost job left, and is
-overwritten. `compact` folds batches into one and keeps their ids, so a replay stays without effect.
+A commit is idempotent. A batch is written as one Parquet folder named by its id; then a mark, a table of one row, is
+written, and only with its mark a batch counts. A batch with a mark is not applied again; one without is what a lost job
+left, and is overwritten. `compact` writes the sum of batches as a new batch whose mark names them: from then on they count
+through it only, and as their marks stay, a replay of one of them is without effect.
 
 Defined results: null texts count 0 tokens and 1 document; null source or lang is a group of its own; an empty change set
-commits an empty batch; groups whose documents all went stay with zero totals; extra columns are ignored.
+commits an empty batch; groups whose documents all went stay with zero totals; null and repeated doc_ids count a row each;
+extra columns are ignored; batches that are named but not committed count nothing.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +25,15 @@ from .common import read_table, scratch_path, word_count
 KEYS = ("source", "lang", "tokenizer")
 
 
-def committed(spark: SparkSession, folder: str, batch: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={batch}/_SUCCESS")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+MARK, STATE = "batch string, folded array<string>", "source string, lang string, tokenizer string, docs long, tokens long"
+
+
+def marks(spark: SparkSession, folder: str, batch: str = "*") -> list:
+    """The marks (batch, folded) of committed batches, one small row for each."""
+    try:
+        return spark.read.schema(MARK).parquet(f"{folder}/marks/{batch}").distinct().collect()
+    except AnalysisException:  # no such path: nothing is committed
+        return []
 
 
 def changes(docs: DataFrame, tokenizer: str, tokens, sign: int = 1) -> DataFrame:
@@ -33,27 +42,31 @@ def changes(docs: DataFrame, tokenizer: str, tokens, sign: int = 1) -> DataFrame
     return docs.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(sign).cast("long").alias("docs"), (n * sign).alias("tokens"))
 
 
-def commit(folder: str, batch: str, delta: DataFrame) -> bool:
+def commit(folder: str, batch: str, delta: DataFrame, folded: list[str] | None = None) -> bool:
     """Apply a batch once; False if it was there already."""
     spark = delta.sparkSession
-    if committed(spark, folder, batch):
+    if marks(spark, folder, batch):
         return False
     sums = delta.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-    sums.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    sums.write.mode("overwrite").parquet(f"{folder}/batches/{batch}")
+    spark.createDataFrame([(batch, folded or [])], MARK).coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/{batch}")
     return True
 
 
-def totals(spark: SparkSession, folder: str, batches: list[str]) -> DataFrame:
-    """(source, lang, tokenizer, docs, tokens) over the given committed batches."""
-    here = [f"{folder}/batch={b}" for b in dict.fromkeys(batches) if committed(spark, folder, b)]
-    schema = "source string, lang string, tokenizer string, docs long, tokens long"
-    rows = spark.read.schema(schema).parquet(*here) if here else spark.createDataFrame([], schema)
+def totals(spark: SparkSession, folder: str, batches: list[str] | None = None) -> DataFrame:
+    """(source, lang, tokenizer, docs, tokens) over the committed batches, or over those of them that are named. A batch folded
+    into another that counts too counts once."""
+    named = [r for r in marks(spark, folder) if batches is None or r.batch in batches]
+    within = {b for r in named for b in r.folded}
+    here = [f"{folder}/batches/{r.batch}" for r in named if r.batch not in within]
+    rows = spark.read.schema(STATE).parquet(*here) if here else spark.createDataFrame([], STATE)
     return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
 def compact(spark: SparkSession, folder: str, batches: list[str], into: str) -> DataFrame:
-    """Write the sum of the batches as one; readers then name `into` in their place. The old ones stay, so replays of them do nothing."""
-    commit(folder, into, totals(spark, folder, batches))
+    """Write the sum of the batches as the batch `into`, which stands for them from then on."""
+    inner = [b for r in marks(spark, folder) if r.batch in batches for b in r.folded]
+    commit(folder, into, totals(spark, folder, batches), sorted({*batches, *inner}))
     return totals(spark, folder, [into])
 
 
@@ -66,7 +79,7 @@ def op10_token_counts(spark, sf_dir):
     commit(folder, "0002-chars", changes(docs, "chars-1", said))
     commit(folder, "0002-chars", changes(docs, "chars-1", said))
     commit(folder, "0003-revised", changes(docs, "chars-1", said, -1).unionAll(changes(docs, "chars-2", real)))
-    return totals(spark, folder, ["0001-words", "0002-chars", "0003-revised"])
+    return totals(spark, folder)
 
 
 OP10_SQL = """
