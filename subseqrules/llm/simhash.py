@@ -36,6 +36,15 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = re.compile(rb"[\x20\x09-\x0D]+")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 for none."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
+    for k in range(0, n, 1 << 16):  # bit 0 first
+        part = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += part.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """SimHash of the XXH64 hashes of word shingles: a bit is set if over half the shingles have it."""
     import xxhash
@@ -49,11 +58,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     n = max(1, len(words) - size + 1)
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(flat[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist())), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):  # bit 0 first
-        part = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += part.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

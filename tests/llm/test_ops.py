@@ -288,9 +288,10 @@ def test_embeddings(spark):
     for i, j in pairs:
         count[i] += 1
         count[j] += 1
-    want = sorted((rows[i][0], count[i], min(rows[k][0] for k in range(n) if top[k] == top[i])) for i in range(n))
+    least = lambda i: min((rows[k][0] for k in range(n) if top[k] == top[i] and rows[k][0] is not None), default=None)
+    want = sorted(((rows[i][0], count[i], least(i), rows[i][0] == least(i)) for i in range(n)), key=str)
     for how in ({}, {"pivots": 3, "block": 16}):
-        assert sorted((x.vec_id, x.n_links, x.component_id) for x in embeddings.embedding_links(df, **how).collect()) == want
+        assert sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in embeddings.embedding_links(df, **how).collect()), key=str) == want
     assert embeddings.embedding_links(df.limit(0)).count() == 0
 
 
@@ -306,6 +307,14 @@ def test_token_counts(docs, none, spark, tmp_path):
         assert got[key] == (len(own), sum(map(len, own)))
     one = token_counts.compact(spark, folder, ["1", "2", "3"], "all")
     assert {(r.source, r.lang): (r.docs, r.tokens) for r in one.collect()} == got
+    for named in (None, ["1", "2", "3", "all"]):  # what is folded counts once
+        assert {(r.source, r.lang): (r.docs, r.tokens) for r in token_counts.totals(spark, folder, named).collect()} == got
+    assert not token_counts.commit(folder, "2", token_counts.changes(docs, "w", F.char_length("text")))
+    token_counts.commit(folder, "4", token_counts.changes(docs, "w", F.char_length("text")))
+    token_counts.compact(spark, folder, ["all", "4"], "later")
+    both = {(r.source, r.lang): r.docs for r in token_counts.totals(spark, folder).collect()}
+    assert both == {k: v[0] + sum((s, g) == k for _, _, g, s in ROWS) for k, v in got.items()}
+    assert token_counts.totals(spark, f"{folder}-none").count() == 0
 
 
 def test_quality(spark, docs, none):
