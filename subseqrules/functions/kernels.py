@@ -198,36 +198,40 @@ def elbow_points(d: np.ndarray, alpha: float = 2.0, deviation: float = 1.0) -> l
     return sorted(out) or [2]
 
 
-def arma_forecast(y: np.ndarray, steps: int) -> np.ndarray | None:
+class Arma:
     """ARMA(1, 1) by two least squares: a long autoregression for the shocks, then value on last value and last shock."""
-    n, p = len(y), 5
-    if n < 3 * p or np.ptp(y) == 0:
-        return None
-    mean = y.mean()
-    z = y - mean
-    lags = np.stack([z[p - i - 1 : n - i - 1] for i in range(p)], axis=1)
-    shock = np.concatenate((np.zeros(p), z[p:] - lags @ np.linalg.lstsq(lags, z[p:], rcond=None)[0]))
-    x = np.stack((z[p:-1], shock[p:-1]), axis=1)
-    phi, theta = np.linalg.lstsq(x, z[p + 1 :], rcond=None)[0]
-    phi, theta = float(np.clip(phi, -0.99, 0.99)), float(np.clip(theta, -0.99, 0.99))
-    out, last, e = [], z[-1], shock[-1]
-    for _ in range(steps):
-        last, e = phi * last + theta * e, 0.0
-        out.append(last + mean)
-    return np.array(out)
+
+    def __init__(self, y: np.ndarray):
+        n = len(y)
+        p = max(1, min(5, n // 3))
+        self.mean = y.mean()
+        z = y - self.mean
+        lags = np.stack([z[p - i - 1 : n - i - 1] for i in range(p)], axis=1)
+        shock = np.concatenate((np.zeros(p), z[p:] - lags @ np.linalg.lstsq(lags, z[p:], rcond=None)[0]))
+        x = np.stack((z[p:-1], shock[p:-1]), axis=1)
+        self.phi, self.theta = np.clip(np.linalg.lstsq(x, z[p + 1 :], rcond=None)[0], -0.99, 0.99).tolist()
+        self.last, self.shock = z[-1], shock[-1]
+
+    def forecast(self, steps: int) -> np.ndarray:
+        """The values after the last one it was fitted on."""
+        first = self.phi * self.last + self.theta * self.shock
+        return self.mean + first * self.phi ** np.arange(steps)
 
 
 def fill_gaps(y: np.ndarray, max_obs: int = 500, refit_gap: int = 50) -> np.ndarray:
-    """Values for the NaN places: forecasts from at most max_obs values before the gap (they may be filled ones), fitted anew
-    when the gap lies more than refit_gap after the last fit; the mean of the known values where the history is too short."""
-    out, known = y.astype(float).copy(), ~np.isnan(y)
-    if not known.any():
-        return out
-    mean = float(np.nanmean(y))
-    gaps = np.flatnonzero(~known)
+    """Values for the NaN places: forecasts of a model of the known values among the max_obs before the gap, filled ones never
+    count. It is fitted anew only where the gap starts more than refit_gap after the gap of the last fit, else the last model
+    is asked again; the mean of all known values where fewer than four are in reach, 0 where none is known at all."""
+    out, known = y.astype(float).copy(), np.flatnonzero(~np.isnan(y))
+    mean = float(y[known].mean()) if len(known) else 0.0
+    gaps, model, fitted = np.flatnonzero(np.isnan(y)), None, -1
     for run in np.split(gaps, np.flatnonzero(np.diff(gaps) > 1) + 1) if len(gaps) else []:
         a, b = int(run[0]), int(run[-1]) + 1
-        history = out[max(0, a - max_obs) : a]
-        made = arma_forecast(history, b - a) if len(history) and not np.isnan(history).any() else None
-        out[a:b] = mean if made is None else made
+        history = y[known[(known < a) & (known >= a - max_obs)]]
+        if len(history) < 4:
+            out[a:b] = mean
+            continue
+        if model is None or a - fitted > refit_gap:
+            model, fitted = Arma(history), a
+        out[a:b] = model.forecast(b - a)
     return out

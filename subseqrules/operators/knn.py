@@ -1,7 +1,8 @@
 """Nearest subsequences: non-overlapping neighbours, close pairs, and motifs defined by a range.
 
 A series is one packed row; its starts are cut into blocks, and each (series, block) row carries the vector. A task
-multiplies its block against the whole vector, so no pair of windows is ever shuffled. Blocks hold about CELLS window pairs."""
+multiplies its block against the whole vector, so no pair of windows is ever shuffled. Blocks hold about CELLS window pairs,
+and LEAST starts at least: n points are shipped n / LEAST times."""
 
 from __future__ import annotations
 
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..session import durable
 from . import intervals as I
 
-CELLS, TILE = 20_000_000, 256
+CELLS, LEAST, TILE = 20_000_000, 2048, 256
 WK = ["series_id", "attr_id"]
 
 
@@ -23,7 +25,8 @@ def blocks(packed: DataFrame, lengths: list[int] | int, cells: int = CELLS) -> D
     """(series_id, attr_id, vals, m, lo, hi): the runs of starts a task takes on."""
     lengths = [lengths] if isinstance(lengths, int) else lengths
     rows = packed.withColumn("m", F.explode(F.array(*[F.lit(m) for m in lengths]))).withColumn("_starts", F.size("vals") - F.col("m") + 1).where("_starts > 0")
-    rows = rows.withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(cells) / F.col("_starts")).cast("int")))
+    least = min(LEAST, cells)  # so that of a long series few copies of the vector are made
+    rows = rows.withColumn("_step", F.greatest(F.lit(least), F.floor(F.lit(cells) / F.col("_starts")).cast("int")))
     rows = rows.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("_starts") - 1, F.col("_step"))))
     rows = rows.withColumn("hi", F.least(F.col("lo") + F.col("_step"), F.col("_starts")))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -47,8 +50,8 @@ def subsequence_knn(packed: DataFrame, m: list[int] | int, k: int, distance: str
     return blocks(packed, m, cells).mapInPandas(run, "series_id string, attr_id int, m int, start long, rank int, nbr long, dist double")
 
 
-def subsequence_pairs(packed: DataFrame, m: int, max_dist: float, distance: str = "znormed_ed", slack: float = 0.5, cells: int = CELLS) -> DataFrame:
-    """(keys, i, j, dist) of all pairs i < j outside each other's zone with distance <= max_dist."""
+def subsequence_pairs(packed: DataFrame, m: int, max_dist: float, distance: str = "znormed_ed", slack: float = 0.5, cells: int = CELLS, step: int = 1) -> DataFrame:
+    """(keys, i, j, dist) of all pairs i < j of starts at multiples of `step` outside each other's zone with distance <= max_dist."""
 
     def run(batches):
         for pdf in batches:
@@ -57,13 +60,24 @@ def subsequence_pairs(packed: DataFrame, m: int, max_dist: float, distance: str
                 stats = K.window_stats(v, m)
                 for lo in range(r.lo, r.hi, TILE):
                     rows = np.arange(lo, min(lo + TILE, r.hi))
-                    d = K.block_distances(v, m, rows, distance, stats)
-                    i, j = np.nonzero((d <= max_dist) & (np.arange(d.shape[1])[None] >= np.maximum(rows + h, rows + 1)[:, None]))
-                    yield pd.DataFrame({"series_id": r.series_id, "attr_id": r.attr_id, "i": rows[i], "j": j, "dist": d[i, j]})
+                    if not len(rows := rows[rows % step == 0]):
+                        continue
+                    d = K.block_distances(v, m, rows, distance, stats)[:, ::step]
+                    i, j = np.nonzero((d <= max_dist) & (step * np.arange(d.shape[1])[None] >= np.maximum(rows + h, rows + 1)[:, None]))
+                    yield pd.DataFrame({"series_id": r.series_id, "attr_id": r.attr_id, "i": rows[i], "j": step * j, "dist": d[i, j]})
 
     return blocks(packed, m, cells).mapInPandas(run, "series_id string, attr_id int, i long, j long, dist double")
 
 
+def order_by_kth_distance(knn: DataFrame, k: int, bound: float | None = None) -> DataFrame:
+    """(keys, m, start, dist, place): anchors in the order of their (k-1)-th neighbour's distance, the earlier start on ties. With
+    a bound those beyond it stay out: an extent of `bound` found already can't be bettered from there."""
+    kth = knn.where(F.col("rank") == k - 1)
+    kth = kth if bound is None else kth.where(F.col("dist") < bound)
+    w = Window.partitionBy(*WK, "m").orderBy("dist", "start")
+    return kth.select(*WK, "m", "start", "dist", F.row_number().over(w).alias("place"))
+
+
 def similarity_pairs(packed: DataFrame, radius: int, least: float, skip: list[tuple[int, int]] | None = None, cells: int = CELLS) -> DataFrame:
     """(keys, i, j, similarity) of centred windows scaled to their own range: 1 / (1 + distance) >= least, i < j.
 
@@ -111,33 +125,79 @@ def pair_motif(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, [*WK, "dist"]).select(*WK, "i", "j", "dist")
 
 
-def range_motif(pairs: DataFrame, r: float, m: int) -> DataFrame:
-    """(keys, motif, dist): starts within r of either start of the closest pair (the first one on ties), without trivial matches."""
-    w = Window.partitionBy(*WK).orderBy("i", "j")
-    top = pair_motif(pairs).withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*WK, F.col("i").alias("p"), F.col("j").alias("q"), F.col("dist").alias("pair_dist"))
-    near = pairs.where(F.col("dist") <= r).join(top, WK)
-    hit = near.where("i in (p, q) or j in (p, q)").select(*WK, "pair_dist", F.explode(F.array("i", "j")).alias("s"))
-    sets = hit.groupBy(*WK, "pair_dist").agg(F.collect_set("s").alias("s"))
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """(keys, start, o, dist): each pair from either end."""
+    return pairs.select(*WK, F.col("i").alias("start"), F.col("j").alias("o"), "dist").unionByName(pairs.select(*WK, F.col("j").alias("start"), F.col("i").alias("o"), "dist"))
+
+
+def closest_starts(directed: DataFrame) -> DataFrame:
+    """(keys, pair_dist, top): the least distance of each series and the starts that have it, from either end."""
+    least = directed.groupBy(*WK).agg(F.min("dist").alias("pair_dist"))
+    own = directed.join(least, WK).where("dist = pair_dist").select(*WK, "pair_dist", F.explode(F.array("start", "o")).alias("s"))
+    return own.groupBy(*WK, "pair_dist").agg(F.collect_set("s").alias("top"))
+
+
+def _range_sets(directed: DataFrame, top: DataFrame, r: float, m: int) -> DataFrame:
+    near = directed.join(top, WK).where((F.col("dist") <= F.lit(float(r)) - F.col("pair_dist")) & F.array_contains("top", F.col("start")))
+    hits = near.groupBy(*WK).agg(F.collect_set("o").alias("hits"))
+    sets = top.join(hits, WK, "left").withColumn("s", F.array_union("top", F.coalesce("hits", F.slice("top", 1, 0))))
     return sets.select(*WK, I.drop_trivial_matches(F.col("s"), m).alias("motif"), F.col("pair_dist").alias("dist"))
 
 
+def range_motif(pairs: DataFrame, r: float, m: int, closest: DataFrame | None = None) -> DataFrame:
+    """(keys, motif, dist): the starts of the closest pair (or pairs, on ties) and those within r less its distance of any of
+    them, without trivial matches. pairs may be cut at r if closest (keys, i, j, dist) has the closest pairs of all series;
+    a series without a pair has no row."""
+    directed = both_ways(pairs)
+    return _range_sets(directed, closest_starts(directed if closest is None else both_ways(closest)), r, m)
+
+
 def k_motifs(pairs: DataFrame, r: float, m: int) -> DataFrame:
-    """(keys, start, matches, var): the start with most non-trivial matches within r, the least spread of distances on ties."""
-    near = pairs.where(F.col("dist") <= r)
-    both = near.select(*WK, F.col("i").alias("start"), F.col("j").alias("o"), "dist").unionByName(near.select(*WK, F.col("j").alias("start"), F.col("i").alias("o"), "dist"))
-    sets = both.groupBy(*WK, "start").agg(F.collect_set("o").alias("o"), F.var_pop("dist").alias("var"))
-    sets = sets.withColumn("matches", I.drop_trivial_matches(F.col("o"), m))
-    w = Window.partitionBy(*WK).orderBy(F.desc(F.size("matches")), "var", "start")
+    """(keys, start, matches, var): the start with most matches within r, itself counted and trivial matches taken out; on ties
+    the least variance of the distances of its matches, then the first start. Only a start with more matches before trivial
+    ones go than the winning number can win a tie from the first one. A series without a pair within r has no row."""
+    near = both_ways(pairs.where(F.col("dist") <= r))
+    own = near.select(*WK, "start").distinct().select(*WK, "start", F.col("start").alias("o"), F.lit(0.0).alias("dist"))
+    sets = near.unionByName(own).groupBy(*WK, "start").agg(F.collect_list(F.struct("o", "dist")).alias("x"), F.count("*").alias("_all"))
+    sets = sets.withColumn("matches", I.drop_trivial_matches(F.transform("x", lambda e: e["o"]), m))
+    kept = F.transform(F.filter("x", lambda e: F.array_contains("matches", e["o"])), lambda e: e["dist"])
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + f(v)) / F.size(c)
+    sets = sets.withColumn("_d", kept).withColumn("_mean", total(F.col("_d"), lambda v: v)).withColumn("var", total(F.col("_d"), lambda v: (v - F.col("_mean")) ** 2))
+    every = Window.partitionBy(*WK)
+    sets = sets.withColumn("_n", F.size("matches")).withColumn("_most", F.max("_n").over(every)).where("_n = _most")
+    sets = sets.withColumn("_first", F.min("start").over(every)).where("start = _first or _all > _most")
+    w = every.orderBy("var", "start")
     return sets.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*WK, "start", "matches", "var")
 
 
-def ranged_motif_sets(pairs: DataFrame, radii: list[float], m: int, pick=k_motifs) -> DataFrame:
-    """The sets for growing radii, each kept only if larger than all before it (keep_growing)."""
-    out = None
-    for r in radii:
-        one = pick(pairs, r, m).withColumn("r", F.lit(float(r)))
-        out = one if out is None else out.unionByName(one)
-    return keep_growing(out, F.size("matches" if "matches" in out.columns else "motif"), WK, "r")
+def k_motifs_ranged(pairs: DataFrame, max_r: int, m: int) -> DataFrame:
+    """(keys, r, motif): the closest pair (r 0), then for r from 1 by a tenth of max_r the set of k_motifs if it is larger than
+    two and than all before it."""
+    out = closest_starts(both_ways(pairs)).select(*WK, F.lit(0.0).alias("r"), F.array_sort("top").alias("motif"))
+    for r in range(1, max_r + 1, max(1, max_r // 10)):
+        out = out.unionByName(k_motifs(pairs, r, m).select(*WK, F.lit(float(r)).alias("r"), F.col("matches").alias("motif")))
+    first = out.withColumn("_size", F.when(F.col("r") == 0, 2).otherwise(F.size("motif")))
+    return keep_growing(first, F.col("_size"), WK, "r").drop("_size")
+
+
+def range_motif_ranged(pairs: DataFrame, max_r: int, m: int, steps: int = 10) -> DataFrame:
+    """(keys, r, motif): the closest pair (r 0), then for r from 1 in `steps` steps the set of range_motif if it is larger than
+    two and than all before it; what lies within m / 2 of a set found is no neighbour of anything afterwards."""
+    directed, half = durable(both_ways(pairs), "range-pairs"), m // 2
+    out = [closest_starts(directed).select(*WK, F.lit(0.0).alias("r"), F.array_sort("top").alias("motif"), F.lit(2).alias("_n"))]
+    for r in range(1, max_r + 1, max(1, max_r // steps)):
+        most = out[0]
+        for x in out[1:]:
+            most = most.unionByName(x)
+        sets = _range_sets(directed, closest_starts(directed), r, m).withColumn("_n", F.size("motif"))
+        found = sets.join(most.groupBy(*WK).agg(F.max("_n").alias("_most")), WK).where("_n > _most").select(*WK, F.lit(float(r)).alias("r"), "motif", "_n")
+        out.append(durable(found, "range-sets"))
+        zones = out[-1].select(*WK, F.explode("motif").alias("p")).select(*WK, F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - half), F.col("p") + half - 1)).alias("o")).distinct()
+        directed = durable(directed.join(zones, [*WK, "o"], "left_anti").select(*WK, "start", "o", "dist"), "range-pairs")
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every.drop("_n")
 
 
 def keep_growing(sets: DataFrame, size: Column, keys: list[str], order: str) -> DataFrame:

@@ -49,7 +49,8 @@ def k_motiflets(packed: DataFrame, knn: DataFrame, k_max: int, slack: float = 0.
     """(keys, m, k, extent, kth_dist, start, members): for each k the anchor whose first k neighbours have the least extent."""
     own = knn.groupBy(*WK, "m", "start").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr", "dist"))).alias("near"))
     rows = own.groupBy(*WK, "m", F.floor(F.col("start") / block).alias("_b")).agg(F.collect_list(F.struct("start", F.col("near.nbr").alias("nbr"), F.col("near.dist").alias("dist"))).alias("anchors"))
-    rows = rows.join(packed.select(*WK, "vals"), WK)
+    copies = packed.select(*WK, "vals", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size("vals") - 1) / block))).alias("_b"))
+    rows = rows.join(copies.where(F.size("vals") > 0), [*WK, "_b"])  # on the block too: one series is many tasks
 
     def run(batches):
         for pdf in batches:

@@ -16,10 +16,6 @@ def event_series(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_type").alias("series_id"), F.lit(0).alias("attr_id"), (F.row_number().over(w).cast("long") - 1).alias("t"), F.col("value").alias("v"))
 
 
-def short_series(spark, sf, n: int = 200) -> DataFrame:
-    return event_series(spark, sf).where(F.col("t") < n)
-
-
 def hourly(spark, sf) -> DataFrame:
     """720 hours for each event type (attr_id by name from 0), the mean value, NULL where there is no event."""
     ev = table(spark, sf, "events")
@@ -73,7 +69,6 @@ def busy_hours(spark, sf) -> DataFrame:
 
 
 EVENTS = "fx AS (SELECT event_type AS series_id, 0 AS attr_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, value AS v FROM events)"
-SHORT = EVENTS + ", sx AS (SELECT * FROM fx WHERE t < 200)"
 HOUR = "CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000) AS BIGINT)"
 HOURLY = f"""nm AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS attr_id FROM (SELECT DISTINCT event_type FROM events)),
 gr AS (SELECT * FROM nm, range(720) r(t)), mv AS (SELECT event_type, {HOUR} AS t, avg(value) AS v FROM events GROUP BY ALL),

@@ -16,7 +16,7 @@ from ..operators import knn as N
 from ..operators import motifs as M
 from ..operators import pairs as P
 from ..operators import series as S
-from ..session import scratch
+from ..session import durable, scratch
 from ..sources import io
 from . import fixtures as fx
 
@@ -55,9 +55,9 @@ def s1_read_wide_series(spark, sf):
     return rounded(io.read_wide_series(spark, path, order_col="t").select("attr_id", "t", "v"), "v")
 
 
-@query(f"WITH {fx.SAMPLES} SELECT sample_id, label, len(list_filter(vals[1:8], lambda x: x IS NOT NULL)) AS n, round(list_sum(vals[1:8]), 5) AS total FROM sm")
+@query(f"WITH {fx.SAMPLES} SELECT sample_id, label, len(list_filter(vals, lambda x: x IS NOT NULL)) AS n, round(list_sum(vals), 5) AS total FROM sm")
 def s2_read_samples(spark, sf):
-    wide = fx.samples(spark, sf).select("sample_id", "label", *[F.get("vals", F.lit(i)).alias(f"v{i}") for i in range(8)])
+    wide = fx.samples(spark, sf).select("sample_id", "label", *[F.get("vals", F.lit(i)).alias(f"v{i}") for i in range(64)])
     wide.write.option("header", True).csv(path := scratch(spark, "samples"))
     out = io.samples_from(io.read_csv(spark, path), id_col="sample_id")
     total = F.aggregate("vals", F.lit(0.0), lambda s, x: s + x)
@@ -218,25 +218,34 @@ def p12_reject_by_budget(spark, sf):
 # ---- joins
 
 
-def distance_sql(expr: str, m: int = 16) -> str:
-    return f"""WITH {fx.SHORT}, g AS (SELECT series_id, list(v ORDER BY t) AS vals FROM sx GROUP BY 1),
-w AS (SELECT series_id, r.i AS i, vals[r.i + 1 : r.i + {m}] AS x FROM g, range({200 - m + 1}) r(i)),
-s AS (SELECT *, list_avg(x) AS mu, CASE WHEN list_stddev_pop(x) < 1e-4 THEN 0.1 ELSE list_stddev_pop(x) END AS sd, list_dot_product(x, x) AS ss,
-  list_sum([power(x[k + 1] - x[k], 2) FOR k IN range(1, {m})]) AS ce FROM w),
+def windows_sql(m: int = 16, step: int = 1) -> str:
+    """Windows of the event series (x) with their mean, deviation, sum of squares and complexity, and the pairs d that don't overlap."""
+    return f"""WITH {fx.EVENTS}, g AS (SELECT series_id, list(v ORDER BY t) AS vals FROM fx GROUP BY 1),
+r AS (SELECT series_id, vals, unnest(range(len(vals) - {m - 1})) AS i FROM g WHERE len(vals) >= {m}),
+w AS (SELECT series_id, i, CAST(vals[i + 1 : i + {m}] AS DOUBLE[{m}]) AS x FROM r WHERE i % {step} = 0),
+s AS (SELECT *, list_avg(x::DOUBLE[]) AS mu, CASE WHEN list_stddev_pop(x::DOUBLE[]) < 1e-4 THEN 0.1 ELSE list_stddev_pop(x::DOUBLE[]) END AS sd, array_inner_product(x, x) AS ss,
+  list_sum([power(x[k + 1] - x[k], 2) FOR k IN range(1, {m})]) AS ce FROM w)"""
+
+
+def distance_sql(expr: str, m: int = 16, step: int = 1) -> str:
+    return windows_sql(m, step) + f""",
 d AS (SELECT a.series_id, a.i AS i, b.i AS j, {expr} AS dist FROM s a JOIN s b ON a.series_id = b.series_id AND b.i >= a.i + {m // 2})"""
 
 
 EXPR = {
-    "znormed_ed": "greatest(0, 2 * 16 * (1 - (list_dot_product(a.x, b.x) - 16 * a.mu * b.mu) / (16 * a.sd * b.sd)))",
-    "euclidean": "a.ss + b.ss - 2 * list_dot_product(a.x, b.x)",
-    "cosine": "1 - list_dot_product(a.x, b.x) / (a.ss + b.ss)",
-    "cid": "(a.ss + b.ss - 2 * list_dot_product(a.x, b.x)) * greatest(a.ce, b.ce) / least(a.ce, b.ce)",
+    "znormed_ed": "greatest(0, 2 * 16 * (1 - (array_inner_product(a.x, b.x) - 16 * a.mu * b.mu) / (16 * a.sd * b.sd)))",
+    "euclidean": "a.ss + b.ss - 2 * array_inner_product(a.x, b.x)",
+    "cosine": "1 - array_inner_product(a.x, b.x) / (a.ss + b.ss)",
+    "cid": "(a.ss + b.ss - 2 * array_inner_product(a.x, b.x)) * greatest(a.ce, b.ce) / least(a.ce, b.ce)",
 }
 
 
+NEAR = {"znormed_ed": 6.0, "euclidean": 10800.0, "cosine": 0.559, "cid": 14500.0}
+
+
 def _distances(kind, n):
     def run(spark, sf):
-        pairs = N.subsequence_pairs(S.pack(fx.short_series(spark, sf)), 16, float("inf"), kind)
+        pairs = N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, NEAR[kind], kind)
         return rounded(pairs.drop("attr_id"), "dist", n=n)
 
     return run
@@ -244,17 +253,17 @@ def _distances(kind, n):
 
 for _n, _k in (("j3_znormed_ed", "znormed_ed"), ("j4_euclidean", "euclidean"), ("j5_cosine", "cosine"), ("j6_cid", "cid")):
     QUERIES[_n] = _distances(_k, 2 if _k == "cid" else 5)
-    ORACLE[_n] = distance_sql(EXPR[_k]) + f" SELECT series_id, i, j, round(dist, {2 if _k == 'cid' else 5}) + 0.0 AS dist FROM d"
+    ORACLE[_n] = distance_sql(EXPR[_k]) + f" SELECT series_id, i, j, round(dist, {2 if _k == 'cid' else 5}) + 0.0 AS dist FROM d WHERE dist <= {NEAR[_k]}"
 
 
-@query(distance_sql(EXPR["znormed_ed"]) + " SELECT series_id, i, j, round(dist, 4) AS dist FROM d WHERE dist <= 12")
+@query(distance_sql(EXPR["znormed_ed"]) + " SELECT series_id, i, j, round(dist, 4) AS dist FROM d WHERE dist <= 7.5")
 def j2_subsequence_pairs(spark, sf):
-    return rounded(N.subsequence_pairs(S.pack(fx.short_series(spark, sf)), 16, 12.0).drop("attr_id"), "dist", n=4)
+    return rounded(N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 7.5).drop("attr_id"), "dist", n=4)
 
 
 @query(distance_sql(EXPR["znormed_ed"]).replace("b.i >= a.i + 8", "(b.i >= a.i + 8 OR b.i < a.i - 8)") + " SELECT series_id, i AS start, round(min(dist), 4) AS dist FROM d GROUP BY ALL")
 def j1_subsequence_knn_nearest(spark, sf):
-    near = N.subsequence_knn(S.pack(fx.short_series(spark, sf)), 16, 2).where("rank = 1")
+    near = N.subsequence_knn(S.pack(fx.event_series(spark, sf)), 16, 2).where("rank = 1")
     return rounded(near.select("series_id", "start", "dist"), "dist", n=4)
 
 
@@ -281,15 +290,15 @@ def j9_max_overlap_join(spark, sf):
     return I.max_overlap_join(left, right, ["key"])
 
 
-@query(f"""WITH {fx.ORDERS}, f AS (SELECT id AS occ_id, a AS t1 FROM oi WHERE id % 40 = 0), s AS (SELECT CAST(1 + id % 2 AS INTEGER) AS pos, id AS occ_id, a AS t1, b - a AS delta FROM oi WHERE id % 40 IN (7, 9, 12)),
+@query(f"""WITH {fx.ORDERS}, f AS (SELECT id AS occ_id, a AS t1 FROM oi WHERE id % 4 = 0), s AS (SELECT CAST(1 + id % 2 AS INTEGER) AS pos, id AS occ_id, a AS t1, b - a AS delta FROM oi WHERE id % 4 <> 0),
 c AS (SELECT * FROM (VALUES (1, 1.0, 3.0), (2, 1.0, -5.0)) v(pos, slope, intercept)), n AS (SELECT pos, max(delta) AS len FROM s GROUP BY pos),
 p AS (SELECT f.occ_id AS pred_id, c.pos, CAST(slope * t1 + intercept AS BIGINT) AS a, CAST(slope * t1 + intercept AS BIGINT) + len AS b FROM f, c JOIN n ON n.pos = c.pos),
 m AS (SELECT p.pred_id, p.pos, s.occ_id, row_number() OVER (PARTITION BY p.pred_id, p.pos ORDER BY least(p.b, s.t1 + s.delta) - greatest(p.a, s.t1) DESC, s.occ_id) AS k FROM p JOIN s ON s.pos = p.pos AND s.t1 < p.b AND s.t1 + s.delta > p.a)
 SELECT x.pred_id AS occ_id, x.occ_id AS o1, y.occ_id AS o2 FROM m x JOIN m y ON x.pred_id = y.pred_id AND x.pos = 1 AND y.pos = 2 WHERE x.k = 1 AND y.k = 1""")
 def j10_companion_lhs_join(spark, sf):
     o = fx.order_intervals(spark, sf)
-    first = o.where("id % 40 = 0").select(F.col("id").alias("occ_id"), F.col("a").alias("t1"))
-    others = o.where("id % 40 in (7, 9, 12)").select((1 + F.col("id") % 2).cast("int").alias("pos"), F.col("id").alias("occ_id"), F.col("a").alias("t1"), (F.col("b") - F.col("a")).alias("delta"))
+    first = o.where("id % 4 = 0").select(F.col("id").alias("occ_id"), F.col("a").alias("t1"))
+    others = o.where("id % 4 <> 0").select((1 + F.col("id") % 2).cast("int").alias("pos"), F.col("id").alias("occ_id"), F.col("a").alias("t1"), (F.col("b") - F.col("a")).alias("delta"))
     coef = spark.createDataFrame([(1, 1.0, 3.0), (2, 1.0, -5.0)], "pos int, slope double, intercept double")
     out = I.companion_join(first, others, coef)
     return out.select("occ_id", F.get("occs", F.lit(1)).alias("o1"), F.get("occs", F.lit(2)).alias("o2"))
@@ -301,7 +310,7 @@ def j11_rule_series_cross(spark, sf):
     return C.rule_series_cross(rules, fx.samples(spark, sf).where("split = 'test'").select(F.col("sample_id").alias("row_id"), "label"))
 
 
-@query(f"""WITH {fx.ORDERS}, g AS (SELECT attr, a, b FROM (SELECT CAST(key % 5 AS INTEGER) AS attr, a, b, id FROM oi WHERE id % 50 = 0)), r AS (SELECT CAST(key % 5 AS INTEGER) AS attr, id AS cand_id, a AS c, b AS d, (id % 9) / 10.0 AS e FROM oi WHERE id % 50 = 3),
+@query(f"""WITH {fx.ORDERS}, g AS (SELECT attr, a, b FROM (SELECT CAST(key % 5 AS INTEGER) AS attr, a, b, id FROM oi WHERE id % 2 = 0)), r AS (SELECT CAST(key % 5 AS INTEGER) AS attr, id AS cand_id, a AS c, b AS d, (id % 9) / 10.0 AS e FROM oi WHERE id % 2 = 1),
 m AS (SELECT g.attr, a, b, cand_id, c, d, least(b, d) - greatest(a, c) AS o, e FROM g JOIN r ON g.attr = r.attr AND a < d AND c < b)
 SELECT attr AS attr_id, a, b, cand_id, round(2 * (o / (b - a)) * (o / (d - c)) / (o / (b - a) + o / (d - c)) / (e + 1e-7), 4) AS score FROM m""")
 def j13_gap_candidate_join(spark, sf):
@@ -310,11 +319,11 @@ def j13_gap_candidate_join(spark, sf):
 
 def _gap(spark, sf):
     o = fx.order_intervals(spark, sf).withColumn("attr_id", (F.col("key") % 5).cast("int")).withColumn("series_id", F.lit("g"))
-    gaps = o.where("id % 50 = 0").select("series_id", "attr_id", "a", "b")
-    return Q.gap_candidates(gaps, o.where("id % 50 = 3").select("series_id", "attr_id", F.col("id").alias("cand_id"), F.col("a").alias("c"), F.col("b").alias("d"), ((F.col("id") % 9) / 10).alias("epsilon")))
+    gaps = o.where("id % 2 = 0").select("series_id", "attr_id", "a", "b")
+    return Q.gap_candidates(gaps, o.where("id % 2 = 1").select("series_id", "attr_id", F.col("id").alias("cand_id"), F.col("a").alias("c"), F.col("b").alias("d"), ((F.col("id") % 9) / 10).alias("epsilon")))
 
 
-@query(f"""WITH {fx.ORDERS}, g AS (SELECT CAST(key % 5 AS INTEGER) AS attr, a, b FROM oi WHERE id % 50 = 0), r AS (SELECT CAST(key % 5 AS INTEGER) AS attr, id AS cand_id, a AS c, b AS d, (id % 9) / 10.0 AS e FROM oi WHERE id % 50 = 3),
+@query(f"""WITH {fx.ORDERS}, g AS (SELECT CAST(key % 5 AS INTEGER) AS attr, a, b FROM oi WHERE id % 2 = 0), r AS (SELECT CAST(key % 5 AS INTEGER) AS attr, id AS cand_id, a AS c, b AS d, (id % 9) / 10.0 AS e FROM oi WHERE id % 2 = 1),
 m AS (SELECT DISTINCT g.attr, a, b, cand_id, c, d, least(b, d) - greatest(a, c) AS o, e FROM g JOIN r ON g.attr = r.attr AND a < d AND c < b),
 s AS (SELECT *, 2 * (o / (b - a)) * (o / (d - c)) / (o / (b - a) + o / (d - c)) / (e + 1e-7) AS score FROM m)
 SELECT attr AS attr_id, a, b, cand_id FROM s QUALIFY row_number() OVER (PARTITION BY attr, a, b ORDER BY score DESC, cand_id) = 1""")
@@ -377,14 +386,16 @@ def a6_start_col_fit(spark, sf):
 
 
 def _members(spark, sf):
-    pairs = N.subsequence_pairs(S.pack(fx.short_series(spark, sf)), 16, float("inf"))
-    return pairs.where("i % 20 = 0 and j % 20 = 0"), pairs.select("series_id").distinct().withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(180).cast("long"), F.lit(20).cast("long"))))
+    """A set of members for each series: every 20th start."""
+    packed = S.pack(fx.event_series(spark, sf))
+    pairs = N.subsequence_pairs(packed, 16, float("inf"), step=20)
+    return pairs, packed.where("n >= 16").select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 16, F.lit(20).cast("long"))).alias("pos"))
 
 
-MEMBERS = distance_sql(EXPR["znormed_ed"])
+MEMBERS = distance_sql(EXPR["znormed_ed"], step=20)
 
 
-@query(MEMBERS + " SELECT series_id, round(max(dist), 4) AS extent FROM d WHERE i % 20 = 0 AND j % 20 = 0 GROUP BY 1")
+@query(MEMBERS + " SELECT series_id, round(max(dist), 4) AS extent FROM d GROUP BY 1")
 def a8_motif_extent(spark, sf):
     pairs, members = _members(spark, sf)
     members = members.withColumn("key", F.col("series_id"))
@@ -395,7 +406,7 @@ def a8_motif_extent(spark, sf):
     return rounded(out, "extent", n=4)
 
 
-@query(MEMBERS + ", e AS (SELECT series_id, i, j, dist FROM d WHERE i % 20 = 0 AND j % 20 = 0), b AS (SELECT series_id, i, dist FROM e UNION ALL SELECT series_id, j, dist FROM e), f AS (SELECT series_id, i, max(dist) AS far FROM b GROUP BY ALL) SELECT series_id, round(min(far), 4) AS radius FROM f GROUP BY 1")
+@query(MEMBERS + ", e AS (SELECT series_id, i, j, dist FROM d), b AS (SELECT series_id, i, dist FROM e UNION ALL SELECT series_id, j, dist FROM e), f AS (SELECT series_id, i, max(dist) AS far FROM b GROUP BY ALL) SELECT series_id, round(min(far), 4) AS radius FROM f GROUP BY 1")
 def a9_motif_radius(spark, sf):
     pairs, members = _members(spark, sf)
     code = lambda s, p: F.xxhash64(s, p)
@@ -574,24 +585,55 @@ def a25_co_occurrence_sets(spark, sf):
 
 @query(distance_sql(EXPR["znormed_ed"]) + " SELECT series_id, round(min(dist), 4) AS dist FROM d GROUP BY 1")
 def a26_pair_motif(spark, sf):
-    pairs = N.subsequence_pairs(S.pack(fx.short_series(spark, sf)), 16, float("inf"))
-    return rounded(N.pair_motif(pairs).groupBy("series_id").agg(F.min("dist").alias("dist")), "dist", n=4)
+    return rounded(_closest(spark, sf).groupBy("series_id").agg(F.min("dist").alias("dist")), "dist", n=4)
 
 
-def _count_sets(col):
-    return F.size(col).cast("long")
+def _closest(spark, sf):
+    """The closest pair of windows of 16 points in each series, by nearest neighbours."""
+    near = N.subsequence_knn(S.pack(fx.event_series(spark, sf)), 16, 2).where("rank = 1")
+    return N.pair_motif(near.select(*WK, F.least("start", "nbr").alias("i"), F.greatest("start", "nbr").alias("j"), "dist").distinct())
 
 
-@query()
+def kept_sql(source: str, keys: str, m: int = 16) -> str:
+    """Starts (keys, s) without trivial matches: kt, by a recursion from each key's first."""
+    on = " AND ".join(f"k.{c} = {source}.{c}" for c in keys.split(", "))
+    return f"""kt AS (SELECT {keys}, min(s) AS s FROM {source} GROUP BY {keys}
+UNION ALL SELECT {keys}, s FROM (SELECT {', '.join(f'k.{c}' for c in keys.split(', '))}, (SELECT min({source}.s) FROM {source} WHERE {on} AND {source}.s > k.s + {m / 2}) AS s FROM kt k) WHERE s IS NOT NULL)"""
+
+
+@query(distance_sql(EXPR["znormed_ed"]).replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS MATERIALIZED (SELECT series_id, i, j, dist FROM d WHERE dist <= 14), c AS (SELECT series_id, min(dist) AS md FROM d GROUP BY 1),
+tp AS (SELECT o.series_id, unnest([i, j]) AS p FROM o JOIN c ON c.series_id = o.series_id AND o.dist = c.md),
+hs AS (SELECT tp.series_id, p AS s FROM tp UNION SELECT o.series_id, CASE WHEN o.i = tp.p THEN o.j ELSE o.i END FROM o JOIN tp ON tp.series_id = o.series_id AND tp.p IN (o.i, o.j) JOIN c ON c.series_id = o.series_id WHERE o.dist <= 14 - c.md),
+""" + kept_sql("hs", "series_id") + """ SELECT kt.series_id, CAST(s AS BIGINT) AS start, round(c.md, 4) AS dist FROM kt JOIN c ON c.series_id = kt.series_id""")
 def a27_range_motif(spark, sf):
     pairs = N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 14.0)
-    return rounded(N.range_motif(pairs, 14.0, 16), "dist", n=4)
+    out = N.range_motif(pairs, 14.0, 16, _closest(spark, sf))
+    return rounded(out.select("series_id", F.explode("motif").alias("start"), "dist"), "dist", n=4)
+
+
+@query(distance_sql(EXPR["znormed_ed"]).replace("WITH ", "WITH RECURSIVE ", 1) + """, n1 AS MATERIALIZED (SELECT series_id, i, j, dist FROM d WHERE dist <= 6.5),
+b AS MATERIALIZED (SELECT series_id, i AS start, j AS s, dist FROM n1 UNION ALL SELECT series_id, j, i, dist FROM n1 UNION ALL SELECT DISTINCT series_id, unnest([i, j]) AS q, q, 0.0 FROM n1),
+""" + kept_sql("b", "series_id, start") + """,
+n AS (SELECT b.series_id, b.start, count(*) AS n, var_pop(b.dist) AS var FROM kt JOIN b ON b.series_id = kt.series_id AND b.start = kt.start AND b.s = kt.s GROUP BY ALL),
+al AS (SELECT series_id, start, count(*) AS al FROM b GROUP BY ALL),
+t AS (SELECT n.*, al.al, max(n) OVER (PARTITION BY n.series_id) AS most FROM n JOIN al ON al.series_id = n.series_id AND al.start = n.start),
+u AS (SELECT *, min(start) OVER (PARTITION BY series_id) AS first FROM t WHERE n = most)
+SELECT series_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS matches, round(var, 4) AS var FROM u WHERE start = first OR al > most QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY var, start) = 1""")
+def a28_k_motifs(spark, sf):
+    pairs = N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 6.5)
+    return rounded(N.k_motifs(pairs, 6.5, 16).select("series_id", "start", F.size("matches").cast("long").alias("matches"), "var"), "var", n=4)
 
 
 @query()
-def a28_k_motifs(spark, sf):
-    pairs = N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 14.0)
-    return rounded(N.k_motifs(pairs, 14.0, 16), "var", n=4)
+def a27_range_motif_ranged(spark, sf):
+    """Sets for growing ranges, each without what lies near the ones before."""
+    return N.range_motif_ranged(N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 14.0), 14, 16).drop("attr_id")
+
+
+@query()
+def a28_k_motifs_ranged(spark, sf):
+    pairs = N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 7.0)
+    return N.k_motifs_ranged(pairs, 7, 16).drop("attr_id")
 
 
 @query(f"WITH {fx.SAMPLES} SELECT DISTINCT label FROM sm")
@@ -620,17 +662,17 @@ def w3_sliding_complexity(spark, sf):
     return rounded(S.sliding(fx.event_series(spark, sf), 20).select("series_id", "t", "sumsq", "complexity"), "sumsq", "complexity", n=5)
 
 
-FORECAST = f"{fx.ORDERS}, fc AS (SELECT CAST(key % 20 AS VARCHAR) AS series_id, CAST(id % 3 AS INTEGER) AS attr_id, r.t AS t, (id % 13) / 10.0 AS avg_err, id AS rule_id, r.t - a AS pred FROM oi, range(0, 2600) r(t) WHERE id % 25 = 0 AND r.t >= a AND r.t < b)"
+FORECAST = f"{fx.ORDERS}, fc AS (SELECT CAST(key % 20 AS VARCHAR) AS series_id, CAST(id % 3 AS INTEGER) AS attr_id, r.t AS t, (id % 13) / 10.0 AS avg_err, id AS rule_id, r.t - a AS pred FROM (SELECT *, unnest(range(a, b)) AS t FROM oi) r)"
 
 
 def _forecasts(spark, sf):
-    o = fx.order_intervals(spark, sf).where("id % 25 = 0").withColumn("t", F.explode(F.sequence("a", F.col("b") - 1)))
+    o = fx.order_intervals(spark, sf).withColumn("t", F.explode(F.sequence("a", F.col("b") - 1)))
     return o.select((F.col("key") % 20).cast("string").alias("series_id"), (F.col("id") % 3).cast("int").alias("attr_id"), "t", ((F.col("id") % 13) / 10).alias("avg_err"), F.col("id").alias("rule_id"), F.lit(0).alias("combo_id"), (F.col("t") - F.col("a")).alias("pred"))
 
 
-@query(f"WITH {FORECAST} SELECT series_id, attr_id, t, rule_id, pred FROM fc WHERE t < 2600 QUALIFY row_number() OVER (PARTITION BY series_id, attr_id, t ORDER BY avg_err, rule_id) = 1")
+@query(f"WITH {FORECAST} SELECT series_id, attr_id, t, rule_id, pred FROM fc QUALIFY row_number() OVER (PARTITION BY series_id, attr_id, t ORDER BY avg_err, rule_id) = 1")
 def w4_deoverlap_forecasts(spark, sf):
-    return D.deoverlap(_forecasts(spark, sf)).where("t < 2600").select("series_id", "attr_id", "t", "rule_id", "pred")
+    return D.deoverlap(_forecasts(spark, sf)).select("series_id", "attr_id", "t", "rule_id", "pred")
 
 
 @query("SELECT o_custkey AS series_id, CAST(o_orderkey % 3 AS INTEGER) AS attr, o_orderkey AS rule_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_totalprice, o_orderkey) <= 2")
@@ -690,10 +732,10 @@ def w12_longest_free_run(spark, sf):
     return I.longest_free_run(ranges, o, ["key"], 250)
 
 
-@query(f"WITH {fx.ORDERS}, f AS (SELECT key, a, b FROM oi WHERE id % 5 = 0) SELECT key, r.t FROM (SELECT DISTINCT key FROM oi WHERE key % 10 = 0) k, range(0, 400) r(t) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.key = k.key AND r.t >= f.a AND r.t < f.b)")
+@query(f"WITH {fx.ORDERS}, f AS (SELECT key, a, b FROM oi WHERE id % 5 = 0) SELECT DISTINCT key, r.t FROM (SELECT key, unnest(range(a, b)) AS t FROM oi WHERE id % 5 <> 0) r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.key = r.key AND r.t >= f.a AND r.t < f.b)")
 def u3_free_points(spark, sf):
     o = fx.order_intervals(spark, sf)
-    points = o.where("key % 10 = 0").select("key").distinct().withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long"))))
+    points = o.where("id % 5 <> 0").select("key", F.explode(F.sequence("a", F.col("b") - 1)).alias("t")).distinct()
     return I.points_outside(points, o.where("id % 5 = 0"), ["key"])
 
 
@@ -721,9 +763,8 @@ def t1_best_hypothesis(spark, sf):
 
 @query()
 def t3_order_by_kth_distance(spark, sf):
-    near = N.subsequence_knn(S.pack(fx.event_series(spark, sf)), 20, 4).where("rank = 3")
-    w = Window.partitionBy("series_id").orderBy("dist", "start")
-    return near.select("series_id", "start", F.row_number().over(w).alias("place"))
+    near = N.subsequence_knn(S.pack(fx.event_series(spark, sf)), 20, 4)
+    return N.order_by_kth_distance(near, 4, 25.0).select("series_id", "start", "place")
 
 
 @query(PAIR_SQL.replace("AND l.n > 2 AND r.n / l.n >= 0.9", ""))
@@ -829,7 +870,7 @@ def f16_label_token(spark, sf):
 
 @query()
 def f18_similarity(spark, sf):
-    return rounded(N.similarity_pairs(S.pack(fx.short_series(spark, sf, 120)), 5, 0.45).drop("attr_id"), "similarity", n=5)
+    return rounded(N.similarity_pairs(S.pack(fx.event_series(spark, sf)), 5, 0.6).drop("attr_id"), "similarity", n=5)
 
 
 # ---- ordered, greedy and iterative operators
@@ -860,16 +901,16 @@ def q3_sweep(spark, sf):
     return M.sweep(o, ["key"]).select("key", "t1", "delta")
 
 
-def _mined(spark, sf, n: int | None = None):
+def _mined(spark, sf):
     """Fixed classes of the event series: the best three windows of 24 points, fitted."""
     from ..config import MiningConfig
 
     cfg = MiningConfig(epsilon_m=0.3, delta_lo=16, delta_hi=40, gamma_penalty=0.0, double_step=4, k_max=6, error_kind="mean", max_iter=500, supp=0.1)
     ev = fx.event_series(spark, sf)
-    packed = S.pack(ev if n is None else ev.where(F.col("t") < n))
+    packed = durable(S.pack(ev), "mined-series")
     sets = M.k_motiflets(packed, N.subsequence_knn(packed, 24, cfg.k_max), cfg.k_max)
     motif = sets.where("k = 3").select("series_id", "attr_id", "m", "members", F.lit(0).alias("class_id"))
-    return packed, M.fit_motif_class(packed, motif, cfg), cfg
+    return packed, durable(M.fit_motif_class(packed, motif, cfg), "mined-classes"), cfg
 
 
 @query()
@@ -885,11 +926,11 @@ def q4_k_motiflets(spark, sf):
     return rounded(M.k_motiflets(packed, N.subsequence_knn(packed, 24, 6), 6), "extent", "kth_dist", n=4)
 
 
-@query(f"""WITH {fx.ORDERS}, k AS (SELECT CAST(key AS VARCHAR) AS series_id, CAST(id % 4 AS INTEGER) AS k, a FROM oi WHERE key % 10 = 0), n AS (SELECT series_id, k, count(DISTINCT a) AS n FROM k GROUP BY ALL),
+@query(f"""WITH {fx.ORDERS}, k AS (SELECT CAST(key AS VARCHAR) AS series_id, CAST(id % 4 AS INTEGER) AS k, a FROM oi), n AS (SELECT series_id, k, count(DISTINCT a) AS n FROM k GROUP BY ALL),
 x AS (SELECT p.series_id, p.k, q.k AS k2, count(DISTINCT p.a) AS c FROM k p JOIN k q ON p.series_id = q.series_id AND q.k > p.k AND abs(p.a - q.a) <= 20 GROUP BY ALL)
 SELECT n.series_id, n.k FROM n WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.series_id = n.series_id AND x.k = n.k AND 2 * x.c >= n.n)""")
 def q5_filter_unique_sets(spark, sf):
-    o = fx.order_intervals(spark, sf).where("key % 10 = 0")
+    o = fx.order_intervals(spark, sf)
     sets = o.groupBy(F.col("key").cast("string").alias("series_id"), F.lit(0).alias("attr_id"), (F.col("id") % 4).cast("int").alias("k")).agg(F.collect_set("a").alias("members"))
     return M.filter_unique(sets, 80).select("series_id", "k")
 
@@ -915,7 +956,7 @@ def _rule_tables(spark, sf):
     """One rule for each event type: its class's occurrences predict the next, 48 later with the same length and height."""
     packed, classes, cfg = _mined(spark, sf)
     none = spark.createDataFrame([], "series_id string, attr_id int, a long, b long")
-    occ = M.scan_occurrences(packed, classes.drop("own"), none, cfg)
+    occ = durable(M.scan_occurrences(packed, classes.drop("own"), none, cfg), "mined-occurrences")
     side = F.struct(F.lit(0).alias("attr_id"), F.lit(0).alias("class_id"))
     ids = F.transform(F.array_sort(F.collect_list("occ_id")), lambda x: F.array(x))
     num = lambda *x: F.array(*[F.lit(float(v)) for v in x])
@@ -927,12 +968,13 @@ def _rule_tables(spark, sf):
 
 @query()
 def q11_q13_match_all_pairs(spark, sf):
-    """Pairs of two series' classes as attributes of one: click and view."""
-    packed, classes, cfg = _mined(spark, sf, 600)
+    """Pairs of the event types' classes as attributes of one series, by the names' order."""
+    packed, classes, cfg = _mined(spark, sf)
     none = spark.createDataFrame([], "series_id string, attr_id int, a long, b long")
-    two = lambda df: df.where("series_id in ('click', 'view')").withColumn("attr_id", (F.col("series_id") == "view").cast("int")).withColumn("series_id", F.lit("e"))
-    packed, classes = two(packed), two(classes.drop("own"))
-    occ = M.scan_occurrences(packed, classes, none, cfg)
+    names = packed.select("series_id").withColumn("_a", (F.row_number().over(Window.orderBy("series_id")) - 1).cast("int"))  # a row for each event type
+    one = lambda df: df.join(names, "series_id").withColumn("attr_id", F.col("_a")).withColumn("series_id", F.lit("e")).drop("_a").select(*df.columns)
+    packed, classes = one(packed), one(classes.drop("own"))
+    occ = durable(M.scan_occurrences(packed, classes, none, cfg), "mined-occurrences")
     out = P.match_all_pairs(occ, classes, packed, cfg)
     return rounded(out.select("series_id", "lhs", "rhs", "c_phi", "supp", "min_eps_rate"), "supp", "min_eps_rate")
 
@@ -1002,7 +1044,7 @@ def j12_prediction_actual_join(spark, sf):
     from ..operators.rules import prediction_actual
 
     o = fx.order_intervals(spark, sf).groupBy((F.col("key") % 20).cast("string").alias("series_id"), (F.col("id") % 3).cast("int").alias("attr_id"), F.col("a").alias("t")).agg(F.max("b").alias("v"))
-    return prediction_actual(_forecasts(spark, sf).where("t < 2600"), o).select("series_id", "attr_id", "t", "rule_id", "pred", "actual")
+    return prediction_actual(_forecasts(spark, sf), o).select("series_id", "attr_id", "t", "rule_id", "pred", "actual")
 
 
 def _daily(spark, sf):

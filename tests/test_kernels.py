@@ -80,14 +80,6 @@ def test_elbows():
     assert K.elbow_points(np.array([1.0, 1, 1])) == [2]
 
 
-def test_gap_fill_uses_the_mean_without_history():
-    y = np.array([1.0, np.nan, 3.0])
-    assert K.fill_gaps(y).tolist() == [1.0, 2.0, 3.0]
-    long = np.sin(np.arange(200.0))
-    long[150:155] = np.nan
-    assert np.isfinite(K.fill_gaps(long)).all() and np.isnan(K.fill_gaps(np.array([np.nan]))).all()
-
-
 def test_set_extent():
     v = np.random.default_rng(3).normal(size=80)
     s = np.array([3, 20, 41, 60])
