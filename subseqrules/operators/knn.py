@@ -70,11 +70,11 @@ def subsequence_pairs(packed: DataFrame, m: int, max_dist: float, distance: str
 
 
 def order_by_kth_distance(knn: DataFrame, k: int, bound: float | None = None) -> DataFrame:
-    """(keys, m, start, dist, place): anchors in the order of their (k-1)-th neighbour's distance, the earlier start on ties. With
+    """(keys, m, start, dist, place): anchors in the order of their (k-1)-th neighbour's distance (8 digits), the earlier start on ties. With
     a bound those beyond it stay out: an extent of `bound` found already can't be bettered from there."""
     kth = knn.where(F.col("rank") == k - 1)
     kth = kth if bound is None else kth.where(F.col("dist") < bound)
-    w = Window.partitionBy(*WK, "m").orderBy("dist", "start")
+    w = Window.partitionBy(*WK, "m").orderBy(F.round("dist", 8), "start")
     return kth.select(*WK, "m", "start", "dist", F.row_number().over(w).alias("place"))
 
 

@@ -17,6 +17,7 @@ from . import knn as N
 from . import series as S
 
 WK = ["series_id", "attr_id"]
+TIE = 8
 
 
 def motif_extent(members: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,7 +47,8 @@ def mask_forbidden(knn: DataFrame, forbidden: DataFrame) -> DataFrame:
 
 
 def k_motiflets(packed: DataFrame, knn: DataFrame, k_max: int, slack: float = 0.5, distance: str = "znormed_ed", block: int = 2048) -> DataFrame:
-    """(keys, m, k, extent, kth_dist, start, members): for each k the anchor whose first k neighbours have the least extent."""
+    """(keys, m, k, extent, kth_dist, start, members): for each k the anchor whose first k neighbours have the least extent, then the
+    nearest k-th one, then the first start; distances count to TIE digits."""
     own = knn.groupBy(*WK, "m", "start").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr", "dist"))).alias("near"))
     rows = own.groupBy(*WK, "m", F.floor(F.col("start") / block).alias("_b")).agg(F.collect_list(F.struct("start", F.col("near.nbr").alias("nbr"), F.col("near.dist").alias("dist"))).alias("anchors"))
     copies = packed.select(*WK, "vals", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size("vals") - 1) / block))).alias("_b"))
@@ -61,7 +63,7 @@ def k_motiflets(packed: DataFrame, knn: DataFrame, k_max: int, slack: float = 0.
                     nbr, dist = np.asarray(a["nbr"], int), np.asarray(a["dist"], float)
                     extent = M.set_extent(v, r.m, nbr[:most], distance)
                     for k in range(2, min(most - 1, len(nbr)) + 1):
-                        row = (float(extent[k - 1]), float(dist[k - 1]), int(a["start"]), nbr[:k].tolist())
+                        row = (round(float(extent[k - 1]), TIE), round(float(dist[k - 1]), TIE), int(a["start"]), nbr[:k].tolist())
                         best[k] = min(best.get(k, row), row)
                 yield pd.DataFrame([(r.series_id, r.attr_id, r.m, k, *x) for k, x in best.items()], columns=[*WK, "m", "k", "extent", "kth_dist", "start", "members"])
 

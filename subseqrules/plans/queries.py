@@ -19,6 +19,7 @@ from ..operators import series as S
 from ..session import durable, scratch
 from ..sources import io
 from . import fixtures as fx
+from . import sql
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -267,7 +268,7 @@ def j1_subsequence_knn_nearest(spark, sf):
     return rounded(near.select("series_id", "start", "dist"), "dist", n=4)
 
 
-@query()
+@query(sql.neighbours(20, 4) + " SELECT series_id, 0 AS attr_id, 20 AS m, start, CAST(rank AS INTEGER) AS rank, nbr, round(dist, 4) AS dist FROM nb")
 def j1_subsequence_knn(spark, sf):
     return rounded(N.subsequence_knn(S.pack(fx.event_series(spark, sf)), 20, 4), "dist", n=4)
 
@@ -367,16 +368,17 @@ def a3_linear_fit(spark, sf):
     return rounded(rounded(out, "slope", n=4), "intercept", n=2)
 
 
-@query()
+@query(sql.LSTSQ)
 def a4_multi_output_lstsq(spark, sf):
     li = fx.table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_orderkey") % 16).alias("part"), "l_quantity", "l_discount", "l_extendedprice", "l_tax")
-    return P.multi_output_lstsq(li, ["l_returnflag", "part"], ["l_quantity", "l_discount"], ["l_extendedprice", "l_tax"]).select("l_returnflag", "part", F.transform("coef", lambda c: F.transform(c, lambda x: F.round(x, 4))).alias("coef"))
+    out = P.multi_output_lstsq(li, ["l_returnflag", "part"], ["l_quantity", "l_discount"], ["l_extendedprice", "l_tax"])
+    return out.select("l_returnflag", "part", *[r6(F.col("coef")[i][j], 6 if i else 3).alias(f"{'pt'[i]}{j}") for i in range(2) for j in range(3)])
 
 
-@query()
+@query(sql.CUBIC)
 def a5_poly_fit(spark, sf):
     li = fx.table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_orderkey") % 16).alias("part"), (F.col("l_quantity") / 50).alias("x"), F.col("l_extendedprice").alias("y"))
-    return P.poly_fit(li, ["l_returnflag", "part"], 3).withColumn("coef", F.transform("coef", lambda x: F.round(x, 2)))
+    return P.poly_fit(li, ["l_returnflag", "part"], 3).select("l_returnflag", "part", *[r6(F.col("coef")[i], 1).alias(f"c{i}") for i in range(4)])
 
 
 @query("SELECT l_linenumber AS pos, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY 1")
@@ -739,11 +741,11 @@ def u3_free_points(spark, sf):
     return I.points_outside(points, o.where("id % 5 = 0"), ["key"])
 
 
-@query()
+@query(sql.ELBOWS)
 def w13_elbow_points(spark, sf):
     ev = fx.event_series(spark, sf)
     rows = ev.groupBy("series_id", "attr_id", (F.col("t") % 7).cast("int").alias("m")).agg(F.slice(F.array_sort(F.collect_set(F.abs("v"))), 1, 12).alias("extents"))
-    return M.elbows(rows)
+    return M.elbows(rows).select("series_id", "m", F.concat_ws(",", F.col("elbows").cast("array<string>")).alias("elbows"))
 
 
 @query(f"WITH {fx.ORDERS}, m AS (SELECT key, id, b - a AS n, max(b - a) OVER (PARTITION BY key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM oi) SELECT key, id, n FROM m WHERE most IS NULL OR n > most")
@@ -761,10 +763,10 @@ def t1_best_hypothesis(spark, sf):
     return P.best_hypothesis(o, ["key"]).select("key", "hyp_id")
 
 
-@query()
+@query(sql.neighbours(20, 4) + " SELECT series_id, start, CAST(row_number() OVER (PARTITION BY series_id ORDER BY round(dist, 8), start) AS INTEGER) AS place FROM nb WHERE rank = 3 AND dist < 12.5")
 def t3_order_by_kth_distance(spark, sf):
     near = N.subsequence_knn(S.pack(fx.event_series(spark, sf)), 20, 4)
-    return N.order_by_kth_distance(near, 4, 25.0).select("series_id", "start", "place")
+    return N.order_by_kth_distance(near, 4, 12.5).select("series_id", "start", "place")
 
 
 @query(PAIR_SQL.replace("AND l.n > 2 AND r.n / l.n >= 0.9", ""))
@@ -868,7 +870,7 @@ def f16_label_token(spark, sf):
     return p.select("p_partkey", X.label_token(F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))).alias("token"), X.label_token(F.col("p_size").cast("double").cast("string")).alias("whole"))
 
 
-@query()
+@query(sql.similarity(5, 0.6))
 def f18_similarity(spark, sf):
     return rounded(N.similarity_pairs(S.pack(fx.event_series(spark, sf)), 5, 0.6).drop("attr_id"), "similarity", n=5)
 
@@ -920,10 +922,12 @@ def q3_scan_occurrences(spark, sf):
     return rounded(M.scan_occurrences(packed, classes.drop("own"), none, cfg), "lam", n=4)
 
 
-@query()
+@query(sql.motiflets(24, 6) + """ SELECT ms.series_id, CAST(ms.k AS INTEGER) AS k, round(any_value(ms.extent), 4) AS extent, round(any_value(ms.kth_dist), 4) AS kth_dist, ms.start, string_agg(nb.nbr, ',' ORDER BY nb.rank) AS members
+FROM ms JOIN nb ON nb.series_id = ms.series_id AND nb.start = ms.start AND nb.rank < ms.k GROUP BY ms.series_id, ms.k, ms.start""")
 def q4_k_motiflets(spark, sf):
     packed = S.pack(fx.event_series(spark, sf))
-    return rounded(M.k_motiflets(packed, N.subsequence_knn(packed, 24, 6), 6), "extent", "kth_dist", n=4)
+    out = M.k_motiflets(packed, N.subsequence_knn(packed, 24, 6), 6)
+    return rounded(out.select("series_id", "k", "extent", "kth_dist", "start", F.concat_ws(",", F.col("members").cast("array<string>")).alias("members")), "extent", "kth_dist", n=4)
 
 
 @query(f"""WITH {fx.ORDERS}, k AS (SELECT CAST(key AS VARCHAR) AS series_id, CAST(id % 4 AS INTEGER) AS k, a FROM oi), n AS (SELECT series_id, k, count(DISTINCT a) AS n FROM k GROUP BY ALL),
@@ -935,7 +939,7 @@ def q5_filter_unique_sets(spark, sf):
     return M.filter_unique(sets, 80).select("series_id", "k")
 
 
-@query()
+@query(sql.best_length([8, 12, 16], 6, 2))
 def q6_learn_motif_length(spark, sf):
     return M.learn_motif_length(fx.event_series(spark, sf), [16, 24, 32], 6)
 
@@ -987,6 +991,41 @@ def q15_predict_rhs(spark, sf):
     return rounded(predict_rhs(rules, occ, classes, packed.select("series_id", "attr_id", "n")).select("series_id", "combo_id", "t2", "delta2", "lam2"), "lam2", n=4)
 
 
+def _order_rules(spark, sf):
+    """Occurrences of three attributes from orders, and for each series a rule with one left side and one with two."""
+    o = fx.order_intervals(spark, sf)
+    occ = o.select((F.col("key") % 20).cast("string").alias("series_id"), (F.col("id") % 3).cast("int").alias("attr_id"), F.lit(0).alias("class_id"), F.col("id").alias("occ_id"), F.col("a").alias("t1"), (F.col("b") - F.col("a")).alias("delta"), (1 + F.col("id") % 5).cast("double").alias("lam"))
+    side = lambda k: F.struct(F.lit(k).alias("attr_id"), F.lit(0).alias("class_id"))
+    num = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    ids = F.array_sort(F.collect_list("ids")).alias("lhs_combinations")
+    first, third = occ.where("attr_id = 0"), occ.where("attr_id = 2").select("series_id", "t1", F.col("occ_id").alias("o1"))
+    one = first.select("series_id", F.array("occ_id").alias("ids")).groupBy("series_id").agg(ids).select(
+        "series_id", F.lit(1).alias("rule_id"), F.array(side(0)).alias("lhs"), side(1).alias("rhs"), num(3, 1, 0, 0).alias("coef_t1"), num(2, 0, 1, 0).alias("coef_delta"), num(0.5, 0, 0.1, 2).alias("coef_lam"),
+        "lhs_combinations", (F.col("series_id").cast("int") % 4 / 10 + 0.2).alias("avg_err"), F.lit(6.0).alias("epsilon"))
+    two = first.join(third, ["series_id", "t1"]).select("series_id", F.array("occ_id", "o1").alias("ids")).groupBy("series_id").agg(ids).select(
+        "series_id", F.lit(2).alias("rule_id"), F.array(side(0), side(2)).alias("lhs"), side(1).alias("rhs"), num(4, 0.5, 0, 0, 0.5, 0, 0).alias("coef_t1"), num(0, 0, 0.5, 0, 0, 0.5, 0).alias("coef_delta"), num(0, 0, 0, 1, 0, 0, 1).alias("coef_lam"),
+        "lhs_combinations", F.lit(0.3).alias("avg_err"), F.lit(6.0).alias("epsilon"))
+    none = F.lit(None).cast("array<double>")
+    classes = occ.select("series_id").distinct().select("series_id", F.lit(1).alias("attr_id"), F.lit(0).alias("class_id"), F.lit("linear").alias("kind"), num(-1, 1).alias("coef"), none.alias("breaks"), none.alias("slopes"), none.alias("intercepts"))
+    return one.unionByName(two), occ, classes
+
+
+@query(f"WITH {sql.PREDICTIONS} SELECT series_id, CAST(rule_id AS INTEGER) AS rule_id, t2, CAST(delta2 AS INTEGER) AS delta2, round(lam2, 4) AS lam2 FROM rp")
+def q15_predict_rhs_orders(spark, sf):
+    from ..operators.rules import predict_rhs
+
+    rules, occ, classes = _order_rules(spark, sf)
+    sizes = occ.where("attr_id = 1").groupBy("series_id", "attr_id").agg(F.max(F.col("t1") + F.col("delta")).alias("n"))
+    return rounded(predict_rhs(rules, occ, classes, sizes).select("series_id", "rule_id", "t2", "delta2", "lam2"), "lam2", n=4)
+
+
+@query(f"WITH {sql.VIOLATIONS} SELECT x.series_id, x.t, coalesce(bd.y, 0) AS y_rule FROM (SELECT DISTINCT series_id, t FROM ac) x LEFT JOIN bd ON bd.series_id = x.series_id AND bd.t = x.t")
+def q21_forecast_violations_orders(spark, sf):
+    rules, occ, classes = _order_rules(spark, sf)
+    series = occ.groupBy("series_id", "attr_id", F.col("t1").alias("t")).agg(F.max("delta").cast("double").alias("v"))
+    return D.forecast_violations(rules, occ, classes, series, 6.0)
+
+
 @query()
 def q16_q17_rule_regions(spark, sf):
     packed, classes, _, rules, cfg = _rule_tables(spark, sf)
