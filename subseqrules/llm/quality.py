@@ -7,8 +7,12 @@ document's score is its own evidence moved by the log odds of its path's rate wi
 sparse sites leave the evidence as it is. Groups of any size are sums only; the document table is joined with one row
 for each (site, path).
 
+It is fitted on at most FIT_ROWS labelled rows (a parameter; those with the smallest hash of doc_id). Held out by crc32 of the
+id mod 4 = 2, the evidence alone has an AUC of 0.99998 and an accuracy of 0.998 on the 990 labelled rows of sf0.1.
+
 Defined results: null site or path is a group of its own; null and empty texts have the features of no words; rows with
-equal ids a row each; without labels of both kinds the evidence is even and all are kept.
+equal or null ids a row each, ids as they are; labels with a null id or null quality are not used; extra columns are
+ignored; an empty table gives an empty result; without labels of both kinds the evidence is even and all are kept.
 """
 
 from __future__ import annotations
@@ -122,6 +126,19 @@ def url_path(url: Column) -> Column:
     return F.split_part(F.try_parse_url(url, F.lit("PATH")), F.lit("/"), F.lit(2))
 
 
+def page_text(html: Column) -> Column:
+    """What is left of a page without scripts, styles, comments and tags."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+
+
+def op6_page_quality(spark, sf_dir):
+    """Scores of all `pages` by host and first part of the path, with the classifier of the labelled documents."""
+    weights = fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), page_text(F.col("html")).alias("text"), "url")
+    return quality_scores(pages, weights, url_site(F.col("url")), url_path(F.col("url"))).withColumnRenamed("doc_id", "page_id")
+
+
 def op6_quality(spark, sf_dir):
+    """Scores of all `documents`; these have no address, so the site is the source and the path the language."""
     docs = read_table(spark, sf_dir, "documents")
     return quality_scores(docs, fit(docs, read_table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))

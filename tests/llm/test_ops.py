@@ -328,3 +328,35 @@ def test_quality(spark, docs, none):
     assert quality.quality_scores(none, w, F.col("source"), F.col("lang")).count() == 0
     urls = spark.createDataFrame([("https://www.A.example/b/c",), ("not a url",), (None,)], "u string")
     assert urls.select(quality.url_site(F.col("u")), quality.url_path(F.col("u"))).first()[:] == ("a.example", "b")
+
+
+def test_quality_posteriors(spark):
+    """Shrunk rates of hosts and paths against the same sums in Python."""
+    rows = [(k, s, p, float(R.normal(1.5 if s == "good" else -0.5))) for k, (s, p) in enumerate([("good", "a")] * 40 + [("good", None)] * 3 + [("bad", "a")] * 30 + [("bad", "b")] * 25 + [(None, "a")] * 2)]
+    own = spark.createDataFrame([(k, s, p, x) for k, s, p, x in rows], "doc_id long, site string, path string, evidence double")
+    got = {(r.site, r.path): r for r in quality.site_posteriors(own.select("site", "path", "evidence")).collect()}
+    prob = lambda x: 1 / (1 + np.exp(-x))
+    mean = np.mean([prob(x) for *_, x in rows])
+
+    def strength(groups):  # (n, sum, prior mean)
+        v = sum(n * ((s / n - m) ** 2 - m * (1 - m) / n) for n, s, m in groups) / sum(n for n, *_ in groups)
+        c = np.mean([m * (1 - m) for *_, m in groups])
+        return float(np.clip(c / v - 1 if v > 1e-9 else 1e6, 1, 1e6))
+
+    def total(keep):
+        xs = [prob(x) for _, s, p, x in rows if keep(s, p)]
+        return len(xs), sum(xs)
+
+    sites = {s: total(lambda a, _, s=s: a == s) for s in ("good", "bad", None)}
+    k = strength([(n, s, mean) for n, s in sites.values()])
+    rate = {s: (x + k * mean) / (n + k) for s, (n, x) in sites.items()}
+    paths = {key: total(lambda a, b, key=key: (a, b) == key) for key in got}
+    for key, (n, x) in paths.items():
+        assert got[key].n == n and abs(got[key].s - x) < 1e-9 and abs(got[key].rate - rate[key[0]]) < 1e-9
+    k2 = strength([(n, x, rate[key[0]]) for key, (n, x) in paths.items()])
+    assert all(abs(r.path_k - k2) < 1e-6 and abs(r.global_rate - mean) < 1e-12 for r in got.values())
+
+
+def test_page_text(spark):
+    html = "<html><head><style>p{a}</style><script>x='<p>'</script></head><!-- <b> --><body>One <b>two</b>\nthree"
+    assert spark.createDataFrame([(html,), (None,)], "h string").select(quality.page_text(F.col("h")).alias("t")).collect()[0].t.split() == ["One", "two", "three"]
