@@ -51,7 +51,7 @@ class ToxicModel:
     def evidence(self, word: str) -> float:
         x = self.memo.get(word)
         if x is None:
-            if len(self.memo) > 1 << 19:
+            if len(self.memo) > 1 << 18:
                 self.memo.clear()
             x = self.memo[word] = max((self.weights.get(k, 0.0) for k in keys_of(word.lower())), default=0.0)
         return x
