@@ -318,3 +318,33 @@ def test_chain_in_spark(spark):
         own = [(a, b) for g, a, b, _ in rows if g == k]
         best = max(n for n in range(1, 8) for c in itertools.combinations(sorted(set(own)), n) if all(p[0] < q[0] and p[1] < q[1] for p, q in zip(c, c[1:])))
         assert len(got[k]) == best and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got[k], got[k][1:]))
+
+
+def test_two_sided_rule_is_mined(spark):
+    """The right height is the sum of two left ones that vary on their own: no one-sided rule holds, the widened one does."""
+    from subseqrules.config import MiningConfig
+    from subseqrules.operators.rules import mine_valid_rules
+
+    n = 16
+    a, b = R.permutation(np.repeat([1.0, 2, 4, 8], 4)), R.permutation(np.repeat([1.0, 2, 4, 8], 4))
+    sides = {0: (0, 20, a), 1: (10, 20, b), 2: (40, 30, a + b)}  # attr: (start in the period, length, heights)
+    v = {k: np.zeros(100 * n + 50) for k in sides}
+    occ = []
+    for k, (start, size, lam) in sides.items():
+        x = np.arange(size) / (size - 1)
+        shape = np.where(x < 0.5, 2 * x, 2 - 2 * x)
+        for i in range(n):
+            v[k][100 * i + start : 100 * i + start + size] = shape * lam[i]
+            occ.append(("s", k, 0, i, 100 * i + start, size, float(lam[i])))
+    o = spark.createDataFrame(occ, "series_id string, attr_id int, class_id int, occ_id int, t1 long, delta int, lam double")
+    classes = spark.createDataFrame([("s", k, 0, [0.0, 0.5, 1.0], [2.0, -2.0], [0.0, 2.0]) for k in sides], "series_id string, attr_id int, class_id int, breaks array<double>, slopes array<double>, intercepts array<double>")
+    packed = spark.createDataFrame([("s", k, len(x), x.tolist()) for k, x in v.items()], "series_id string, attr_id int, n long, vals array<double>")
+    cfg = MiningConfig(epsilon_rate=0.3, supp=0.9, max_iter=3000, window_rate=0.05, error_kind="max", max_lhs_len=2)
+    pairs = P.match_all_pairs(o, classes, packed, cfg.but(supp=0.3))
+    rules = {(tuple(x.attr_id for x in r.lhs), r.rhs.attr_id): r for r in mine_valid_rules(pairs, o, classes, packed, cfg).collect()}
+    assert ((0,), 2) not in rules and ((1,), 2) not in rules and ((0, 1), 2) in rules
+    r = rules[(0, 1), 2]
+    assert r.supp > 0.95 and np.allclose([r.coef_lam[3], r.coef_lam[6]], [1, 1], atol=1e-6) and len(r.lhs_combinations) >= 15
+    assert all(c[0] == c[1] for c in r.lhs_combinations)
+    narrow = mine_valid_rules(pairs, o, classes, packed, cfg.but(max_lhs_len=1)).collect()
+    assert all(len(x.lhs) == 1 for x in narrow)
