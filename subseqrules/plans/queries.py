@@ -1095,25 +1095,50 @@ def _daily(spark, sf):
 
 @query()
 def r1_mine_rules(spark, sf):
-    """Rules between the daily quantities of the return flags."""
+    """Rules between the daily quantities of the return flags, in rounds until no free run is left."""
     from .jobs import mine_rules
 
     series, cfg = _daily(spark, sf)
-    return rounded(mine_rules(series, cfg, m=28, max_rounds=2)["summary"], "avg_err", n=4)
+    sides = F.concat_ws("+", F.transform("lhs", lambda x: F.concat_ws("/", x["attr_id"].cast("string"), x["class_id"].cast("string")))).alias("lhs")
+    rules = mine_rules(series, cfg)["rules"].select("series_id", sides, F.col("rhs.attr_id").alias("rhs_attr"), F.col("rhs.class_id").alias("rhs_class"), "c_phi", "supp", "avg_err")
+    return rounded(rules, "supp", "avg_err", n=4)
 
 
-def _sample_rules(spark, sf):
+@query()
+def r1_mine_two_sided_rules(spark, sf):
+    """The same with up to two left sides; a row with the number of rules and their mean error."""
+    from .jobs import mine_rules
+
+    series, cfg = _daily(spark, sf)
+    return rounded(mine_rules(series, cfg.but(max_lhs_len=2, supp=0.9))["summary"], "avg_err", n=4)
+
+
+@query()
+def q7_discover_motifs(spark, sf):
+    """Occurrences of the daily quantities' motif classes, of learned lengths."""
+    series, cfg = _daily(spark, sf)
+    return rounded(M.discover_motifs(series, cfg)[1].select("attr_id", "class_id", "occ_id", "t1", "delta", "lam"), "lam", n=4)
+
+
+@query()
+def q9_discover_motifs_per_sample(spark, sf):
+    """Occurrences in each labelled vector of the training half."""
+    _, train, cfg = _sample_rules(spark, sf, mine=False)
+    return rounded(M.discover_motifs_per_sample(train, cfg)[1].select("series_id", "class_id", "occ_id", "t1", "delta", "lam"), "lam", n=4)
+
+
+def _sample_rules(spark, sf, mine=True):
     from ..config import MiningConfig
     from .jobs import mine_sample_rules
 
-    cfg = MiningConfig(epsilon_m=0.5, delta_lo=6, delta_hi=12, double_step=2, gamma_penalty=0.0, k_max=5, error_kind="mean", max_iter=64, supp=0.5, min_count=2, n_segments=4)
+    cfg = MiningConfig(epsilon_m=0.5, delta_lo=6, delta_hi=12, length_step=2, double_step=2, gamma_penalty=0.0, k_max=5, error_kind="mean", max_iter=500, supp=0.5, min_count=2, n_segments=4)
     train = fx.samples(spark, sf).where("split = 'train'")
-    return mine_sample_rules(train, cfg, m=8, max_rounds=2, sampling=0.2), train, cfg
+    return mine_sample_rules(train, cfg) if mine else None, train, cfg
 
 
 @query()
 def r2_mine_sample_rules(spark, sf):
-    """Rules inside a stratified sample of the labelled vectors, each a series."""
+    """Rules inside the labelled vectors of the training half, each a series."""
     out, _, _ = _sample_rules(spark, sf)
     return out["motif_classes"].groupBy("series_id").agg(F.count("*").alias("classes")).join(out["rules"].groupBy("series_id").agg(F.count("*").alias("rules")), "series_id", "left").fillna(0)
 
@@ -1133,7 +1158,7 @@ def r4_detect_anomalies(spark, sf):
     from .jobs import detect_anomalies, mine_rules
 
     series, cfg = _daily(spark, sf)
-    out = mine_rules(series, cfg, m=28, max_rounds=1)
+    out = mine_rules(series, cfg)
     high = F.col("v") > F.percentile("v", F.lit(0.95)).over(Window.partitionBy("attr_id"))
     labels = series.select("t", high.cast("int").alias("h")).groupBy("t").agg(F.max("h").alias("label"))
     return rounded(detect_anomalies(out["rules"], out["occurrences"], out["motif_classes"], series, labels, epsilon=250.0)["rule"], "precision", "recall", "f1")
@@ -1145,7 +1170,7 @@ def r5_impute_and_correct(spark, sf):
     from .jobs import impute_and_correct, mine_rules
 
     series, cfg = _daily(spark, sf)
-    out = mine_rules(series, cfg, m=28, max_rounds=1)
+    out = mine_rules(series, cfg)
     gappy = series.withColumn("v", F.when(F.col("t") % 50 >= 10, F.col("v")))
     return rounded(impute_and_correct(gappy, out["rules"], out["occurrences"], out["motif_classes"], truth=series)["corrected"].drop("series_id"), "v", n=4)
 

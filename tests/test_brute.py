@@ -348,3 +348,18 @@ def test_two_sided_rule_is_mined(spark):
     assert all(c[0] == c[1] for c in r.lhs_combinations)
     narrow = mine_valid_rules(pairs, o, classes, packed, cfg.but(max_lhs_len=1)).collect()
     assert all(len(x.lhs) == 1 for x in narrow)
+
+
+def test_short_series_have_the_same_rounds(spark):
+    """All rounds of a series in one task give what the rounds over all series give."""
+    from subseqrules.config import MiningConfig
+
+    rows = [(k, R.normal(size=40).cumsum().tolist()) for k in range(4)] + [(7, np.tile([0.0, 1, 3, 1, 0, -1], 7).tolist()), (8, [1.0, 2.0]), (9, [])]
+    df = spark.createDataFrame(rows, "sample_id long, vals array<double>")
+    cfg = MiningConfig(epsilon_m=0.5, delta_lo=5, delta_hi=10, length_step=2, gamma_penalty=0.0, k_max=5, error_kind="mean", min_count=1, n_segments=4)
+    for m in (None, 6):
+        one, two = (M.discover_motifs_per_sample(df, cfg, short=s, m=m) for s in (100, 0))
+        plain = lambda r: tuple(np.round(x, 6).tolist() if isinstance(x, (float, list)) else x for x in r)
+        for a, b in zip(one, two):
+            assert sorted(map(plain, a.select(*b.columns).collect()), key=str) == sorted(map(plain, b.collect()), key=str)
+        assert one[1].count() > 5
