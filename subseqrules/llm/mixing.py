@@ -97,7 +97,7 @@ def schedule(src: DataFrame, n: int) -> DataFrame:
     slots = runs.withColumn("j", F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("slots"), (F.col("c") + 1) * CHUNK) - 1)))
     slots = slots.select("sid", ((F.col("first") + F.col("j")) * back % n).alias("slot")).withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     before = running_start(slots.groupBy("sid", "chunk").agg(F.count("*").alias("k")), "sid", "chunk", "k", "ahead")
-    slots = slots.join(before.drop("k"), ["sid", "chunk"])
+    slots = slots.join(before.drop("k").hint("merge"), ["sid", "chunk"])  # sizes are guessed from the sources: it would be broadcast
     rank = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1 + F.col("ahead")
     return slots.select("sid", "slot", rank.alias("rank"))
 
