@@ -15,20 +15,25 @@ from ..functions import mining as M
 def stratified_sample(rows: DataFrame, rate_or_n: float, seed: int = 0, label: str = "label", id_col: str = "sample_id") -> DataFrame:
     """Per class: a rate in (0, 1] takes max(1, ceil(n * rate)), a larger number at most that many; by an integer hash of id and seed."""
     h = F.pmod(F.col(id_col) * F.lit(2654435761) + seed, F.lit(4294967296))
-    w = Window.partitionBy(label).orderBy("_h", id_col)
-    n = F.count("*").over(Window.partitionBy(label))
+    rows = rows.withColumn("_h", h).withColumn("_cell", F.floor(F.col("_h") / 4194304))  # 1024 cells of each class
+    cells = rows.groupBy(F.col(label).alias("_label"), F.col("_cell").alias("_c")).agg(F.count("*").alias("_k"))
+    by = Window.partitionBy("_label").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("_k").over(Window.partitionBy("_label"))
     take = F.greatest(F.lit(1), F.ceil(n * rate_or_n)) if 0 < rate_or_n <= 1 else F.least(F.lit(int(rate_or_n)), n)
-    ranked = rows.withColumn("_h", h).withColumn("_take", take).withColumn("_r", F.row_number().over(w))
-    return ranked.where("_r <= _take").drop("_h", "_take", "_r")
-
-
-def rule_series_cross(rules: DataFrame, samples: DataFrame, rule_rows: int = 100_000) -> DataFrame:
-    """Every rule against every sample, samples staying where they are. Rules are broadcast while there are at most rule_rows of
-    them; beyond that both sides are dealt by a bucket of the rules, so each task meets a bounded part of them."""
-    n = rules.limit(rule_rows + 1).count()
-    if n <= rule_rows:
+    cells = cells.select("_label", "_c", F.coalesce(F.sum("_k").over(by), F.lit(0)).alias("_before"), take.alias("_take")).where("_before < _take")
+    some = rows.join(cells, rows[label].eqNullSafe(cells["_label"]) & (rows["_cell"] == cells["_c"]))
+    some = some.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_h", id_col)))
+    return some.where(F.col("_before") + F.col("_r") <= F.col("_take")).drop("_h", "_cell", "_label", "_c", "_before", "_take", "_r")
+
+
+def rule_series_cross(rules: DataFrame, samples: DataFrame, rule_rows: int = 100_000, rule_bytes: int = 1 << 26) -> DataFrame:
+    """Every rule against every sample, as its contract is, samples staying where they are. Rules are broadcast while they are at
+    most rule_rows and rule_bytes (as JSON); beyond that both sides are dealt by a bucket of the rules, so each task meets a
+    bounded part of them."""
+    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if n <= rule_rows and size <= rule_bytes:
         return samples.join(F.broadcast(rules), F.lit(True))
-    buckets = -(-rules.count() // rule_rows)
+    buckets = max(-(-n // rule_rows), -(-size // rule_bytes))
     some = samples.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return some.join(rules.withColumn("_bucket", F.pmod(F.xxhash64("rule_id"), F.lit(buckets))), "_bucket").drop("_bucket")
 
@@ -112,15 +117,23 @@ def class_order(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.select("label").union(test.select("label")).distinct().orderBy("label")
 
 
+def short_list(classes: DataFrame, most: int = 100_000) -> DataFrame:
+    """The labels, to be broadcast; an error where there are more than `most`."""
+    own = classes.select("label")
+    if own.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} classes")
+    return F.broadcast(own)
+
+
 def class_score_vector(scores: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(row_id, label, score): mean score of each class's rules on each row, 0 where it has none. classes is a short list."""
     per = scores.groupBy("row_id", F.col("rule_label").alias("label")).agg(F.avg("score").alias("score"))
-    return rows.select("row_id").join(F.broadcast(classes.select("label")), F.lit(True)).join(per, ["row_id", "label"], "left").fillna(0.0, ["score"])
+    return rows.select("row_id").join(short_list(classes), F.lit(True)).join(per, ["row_id", "label"], "left").fillna(0.0, ["score"])
 
 
 def align_scores(logits: DataFrame, classes: DataFrame) -> DataFrame:
     """(row_id, label, logit) from one logits array a row: a class's logit stands at int(label); out of range is an error."""
-    rows = logits.join(F.broadcast(classes.select("label")), F.lit(True))
+    rows = logits.join(short_list(classes), F.lit(True))
     at = F.col("label").cast("int")
     odd = F.raise_error(F.lit("a label is out of the logits' range")).cast("double")
     return rows.select("row_id", "label", F.when((at < 0) | (at >= F.size("logits")), odd).otherwise(F.get("logits", at)).alias("logit"))

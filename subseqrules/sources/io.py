@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import series as S
+from ..session import durable
 
 
 def number(c: str) -> Column:
@@ -18,6 +19,17 @@ def read_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     return spark.read.csv(path, header=header)
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """df with t, the row's position in the order of a column, in two levels: ranges of the column are numbered each for itself
+    and start after the rows of the ranges before. They are written once, so that order and ranges stay."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = durable(df.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()), "numbered")
+    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    return parts.withColumn("_r", own).join(counts.select("_p", before.alias("_before")), "_p").withColumn("t", (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_before")
+
+
 def melt_wide(df: DataFrame, *, order_col: str | None = None, series_id: str = "s", fill: float | None = 0.0) -> DataFrame:
     """Wide rows to `series`: a column's position is its attr_id, a row's position by order_col its t. Without order_col
     the order is that of the rows as read. Unparsable and NaN values become `fill` (None: NULL)."""
@@ -25,7 +37,7 @@ def melt_wide(df: DataFrame, *, order_col: str | None = None, series_id: str = "
     values = [F.coalesce(number(c), F.lit(fill)).alias(str(i)) if fill is not None else number(c).alias(str(i)) for i, c in enumerate(cols)]
     key = F.struct(number(order_col), F.col(f"`{order_col}`")) if order_col else F.monotonically_increasing_id()
     rows = df.select(key.alias("_at"), *values)
-    rows = rows.withColumn("t", F.row_number().over(Window.orderBy("_at")).cast("long") - 1).drop("_at")
+    rows = numbered(rows, "_at").drop("_at")
     long = rows.unpivot("t", [str(i) for i in range(len(cols))], "attr_id", "v")
     return long.select(F.lit(series_id).alias("series_id"), F.col("attr_id").cast("int").alias("attr_id"), "t", "v")
 
@@ -68,8 +80,8 @@ def point_labels(df: DataFrame, order_col: str | None = None, count: int | None
     if count is not None and df.count() != count:
         raise ValueError("labels and rows differ in number")
     key = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    t = F.row_number().over(Window.orderBy(key)).cast("long") - 1
-    return df.select(t.alias("t"), (F.coalesce(number(c), F.lit(0.0)) > 0).cast("int").alias("label"))
+    rows = df.select(key.alias("_at"), (F.coalesce(number(c), F.lit(0.0)) > 0).cast("int").alias("label"))
+    return numbered(rows, "_at").select("t", "label")
 
 
 def single_series(df: DataFrame, column: str | int | None = None, order_col: str | None = None) -> DataFrame:
@@ -87,7 +99,7 @@ def single_series(df: DataFrame, column: str | int | None = None, order_col: str
         raise ValueError(f"no column {column}")
     key = F.col(order_col) if order_col else F.monotonically_increasing_id()
     rows = df.select(key.alias("_at"), number(column).alias("v")).where("v is not null")
-    return rows.select((F.row_number().over(Window.orderBy("_at")).cast("long") - 1).alias("t"), "v")
+    return numbered(rows, "_at").select("t", "v")
 
 
 def read_single_series(spark: SparkSession, path: str, column: str | int | None = None) -> DataFrame:
