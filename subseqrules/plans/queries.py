@@ -90,6 +90,23 @@ def s6_baseline_logits(spark, sf):
     return rounded(io.baseline_logits(sparse, rows, 10), "logit")
 
 
+@query(f"WITH {fx.BUSY} SELECT t, y_pred FROM bp")
+def s6_baseline_flags(spark, sf):
+    """Flags of a baseline detector, written and read as CSV, for every hour."""
+    fx.busy_hours(spark, sf).write.option("header", True).csv(path := scratch(spark, "flags"))
+    flags = io.read_csv(spark, path).select(F.col("t").cast("long").alias("t"), F.col("y_pred").cast("int").alias("y_pred"))
+    return io.baseline_flags(flags, fx.point_labels(spark, sf))
+
+
+@query(f"WITH {fx.HOURLY} SELECT attr_id, row_number() OVER (PARTITION BY attr_id ORDER BY t) - 1 AS t, round(coalesce(v, avg(v) OVER (PARTITION BY attr_id)), 5) AS v FROM hx")
+def s6_baseline_filled(spark, sf):
+    """A series that a baseline filled with means, written and read as CSV."""
+    h = fx.hourly(spark, sf).withColumn("v", F.coalesce("v", F.avg("v").over(Window.partitionBy("attr_id"))))
+    names = [r.attr_id for r in h.select("attr_id").distinct().orderBy("attr_id").collect()]  # a row for each attribute
+    h.groupBy("t").pivot("attr_id", names).agg(F.first("v")).write.option("header", True).csv(path := scratch(spark, "filled"))
+    return rounded(io.read_wide_series(spark, path, order_col="t").select("attr_id", "t", "v"), "v", n=5)
+
+
 @query(f"WITH {fx.ORDERS}, g AS (SELECT key, list(id ORDER BY id) AS ids FROM oi WHERE b - a > 15 GROUP BY key) SELECT key, len(ids) AS n FROM g")
 def s7_write_read_artifacts(spark, sf):
     o = fx.order_intervals(spark, sf)
