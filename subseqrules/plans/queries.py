@@ -1052,6 +1052,24 @@ def q16_q17_rule_regions(spark, sf):
     return rounded(out.select("series_id", "lhs_points", "bad_points", "n_l", "n_r", "score", F.size("violation").alias("n_violations")), "score")
 
 
+@query("SELECT o_custkey AS key, round(CASE WHEN count(*) FILTER (o_orderkey % 3 = 0) = 0 THEN 0 ELSE count(*) FILTER (o_orderkey % 3 = 0) / count(*) - count(*) FILTER (o_orderkey % 5 = 0) / count(*) END, 6) + 0.0 AS score FROM orders GROUP BY 1")
+def q17_rule_score(spark, sf):
+    o = fx.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count_if(F.col("o_orderkey") % 3 == 0).alias("lhs_points"), F.count("*").alias("n_l"), F.count_if(F.col("o_orderkey") % 5 == 0).alias("bad_points"), F.count("*").alias("n_r"))
+    return rounded(C.rule_score(o).select("key", "score"), "score")
+
+
+@query(f"""WITH {fx.HOURLY}, f AS (SELECT attr_id, t, v, coalesce(v, avg(v) OVER (PARTITION BY attr_id)) AS w, t - row_number() OVER (PARTITION BY attr_id, v IS NULL ORDER BY t) AS g FROM hx),
+s AS (SELECT *, CASE WHEN v IS NULL THEN (min(t) OVER (PARTITION BY attr_id, v IS NULL, g) % 4) * 9.0 END AS eps FROM f)
+SELECT attr_id, t, round(CASE WHEN abs(w - 90 - t % 17) > eps THEN 90 + t % 17 ELSE w END, 5) AS v, coalesce(abs(w - 90 - t % 17) > eps, false) AS corrected FROM s""")
+def q19_correct_filled(spark, sf):
+    """Hours without an event, filled with means, corrected by a made-up plan of one run for each gap."""
+    h = fx.hourly(spark, sf)
+    gaps = I.missing_segments(h, WK)
+    plan = gaps.select(*WK, "a", "b", (F.col("a") % 4 * 9.0).alias("epsilon"), F.transform(F.sequence("a", F.col("b") - 1), lambda t: (90 + t % 17).cast("double")).alias("vals"))
+    filled = h.withColumn("v", F.coalesce("v", F.avg("v").over(Window.partitionBy("attr_id"))))
+    return rounded(Q.correct_filled(filled, plan, gaps).drop("series_id"), "v", n=5)
+
+
 @query()
 def q18_q19_impute(spark, sf):
     from ..operators.rules import predict_rhs, predicted_points

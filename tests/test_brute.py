@@ -363,3 +363,87 @@ def test_short_series_have_the_same_rounds(spark):
         for a, b in zip(one, two):
             assert sorted(map(plain, a.select(*b.columns).collect()), key=str) == sorted(map(plain, b.collect()), key=str)
         assert one[1].count() > 5
+
+
+def slow_matches(v, free, shape, cfg, row):
+    """For each free start the longest length, in steps from the longest, whose scaled values follow the shape; then an ascending sweep."""
+    out = []
+    for s in free:
+        for delta in range(row["delta_hi"], row["delta_lo"] - 1, -cfg.double_step):
+            if s + delta > len(v):
+                continue
+            own = v[s : s + delta]
+            lam = own.max() - own.min()
+            if lam < row["lam_min_bound"] or lam <= 0:
+                continue
+            t = K.piecewise_predict(np.linspace(0, 1, delta), *shape)
+            t = t / (t.max() - t.min()) if t.max() > t.min() else t * 0
+            x, w = (own - own[0]) / lam, int(cfg.window_rate * delta)
+            e = [max(min(abs(x[i] - t[j]) for j in range(max(0, i - w), min(delta, i + w + 1))), min(abs(t[i] - x[j]) for j in range(max(0, i - w), min(delta, i + w + 1)))) for i in range(delta)]
+            e = max(e) if cfg.error_kind == "max" else sum(e) / delta
+            if cfg.gamma_penalty:
+                q = lam / delta / row["gamma"]
+                e *= max(q, 1 / q) ** cfg.gamma_penalty
+            if e <= row["epsilon"]:
+                out.append((s, delta, round(float(lam), 6)))
+                break
+    kept_ = []
+    for s, d, x in sorted(out):
+        if not kept_ or s >= kept_[-1][0] + int(kept_[-1][1] * cfg.minimum_interval) + 1:
+            kept_.append((s, d, x))
+    return kept_
+
+
+@pytest.mark.parametrize("kind, gamma, step", [("max", 0.0, 1), ("mean", 0.0, 3), ("max", -0.5, 2)])
+def test_scan_occurrences(spark, kind, gamma, step):
+    from subseqrules.config import MiningConfig
+
+    shape = ([0.0, 0.5, 1.0], [2.0, -2.0], [0.0, 2.0])
+    tooth = np.concatenate((np.arange(8.0), np.arange(8.0)[::-1]))
+    v = np.concatenate([np.concatenate((tooth * (1 + i % 3), np.zeros(3 + i))) for i in range(6)]) + R.normal(size=sum(19 + i for i in range(6))) * 0.3
+    cfg = MiningConfig(error_kind=kind, gamma_penalty=gamma, double_step=step, window_rate=0.1)
+    row = {"epsilon": 0.15 if kind == "max" else 0.08, "lam_min_bound": 2.0, "delta_lo": 12, "delta_hi": 20, "gamma": 0.5}
+    packed = S.pack(spark.createDataFrame([("s", 0, t, float(x)) for t, x in enumerate(v)], SERIES))
+    classes = spark.createDataFrame([("s", 0, 0, *shape, row["epsilon"], row["lam_min_bound"], row["delta_lo"], row["delta_hi"], row["gamma"])], "series_id string, attr_id int, class_id int, breaks array<double>, slopes array<double>, intercepts array<double>, epsilon double, lam_min_bound double, delta_lo int, delta_hi int, gamma double")
+    taken = [(20, 31), (60, 61)]
+    forbidden = spark.createDataFrame([("s", 0, a, b) for a, b in taken], "series_id string, attr_id int, a long, b long")
+    free = [t for t in range(len(v)) if not any(a <= t < b for a, b in taken)]
+    want = slow_matches(v, free, shape, cfg, row)
+    assert want
+    for chunk in (4096, 30):
+        got = sorted((r.t1, r.delta, round(r.lam, 6)) for r in M.scan_occurrences(packed, classes, forbidden, cfg, chunk).collect())
+        assert got == want
+
+
+def test_rule_regions_and_score(spark):
+    from subseqrules.config import MiningConfig
+    from subseqrules.operators import classify as C
+
+    shape = ([0.0, 0.5, 1.0], [2.0, -2.0], [0.0, 2.0])
+    tooth = lambda n: np.array([2 * x if x < 0.5 else 2 - 2 * x for x in np.arange(n) / (n - 1)])
+    left, right = np.zeros(200), np.zeros(200)
+    for k, (t, h) in enumerate([(5, 3.0), (50, 2.0), (100, 4.0), (150, 5.0)]):
+        left[t : t + 15] = tooth(15) * h
+        right[t + 20 : t + 35] = tooth(15) * h * 2 if k != 2 else np.arange(15) % 5
+    cfg = MiningConfig(error_kind="max", gamma_penalty=0.0, window_rate=0.1)
+    row = {"epsilon": 0.05, "lam_min_bound": 1.0, "delta_lo": 15, "delta_hi": 15, "gamma": 1.0}
+    rules = spark.createDataFrame(
+        [("x", 1, [(0, 0)], left.tolist(), right.tolist(), *shape, *shape, 0.05, 1.0, 15, 15, 1.0, [20.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 2.0], 0.3), ("none", 1, [(0, 0)], [0.0] * 40, right.tolist(), *shape, *shape, 0.05, 1.0, 15, 15, 1.0, [20.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 2.0], 0.3)],
+        "key string, rule_id long, lhs array<struct<attr_id: int, class_id: int>>, left_vals array<double>, right_vals array<double>, breaks array<double>, slopes array<double>, intercepts array<double>, "
+        "l_breaks array<double>, l_slopes array<double>, l_intercepts array<double>, l_epsilon double, l_bound double, l_lo int, l_hi int, l_gamma double, coef_t1 array<double>, coef_delta array<double>, coef_lam array<double>, epsilon double")
+    got = {r.key: r for r in C.rule_score(C.check_rule_regions(rules, cfg, ["key"])).collect()}
+    found = slow_matches(left, range(200), shape, cfg, row)
+    cover, seen, bad = set(), set(), set()
+    for t, d, lam in found:
+        cover |= set(range(t, t + d))
+        if t + 20 + d > 200:
+            continue
+        actual, base = right[t + 20 : t + 20 + d], right[t + 20]
+        p = K.piecewise_predict(np.arange(d) / (d - 1), *shape) * 2 * lam + base
+        e = K.align_error_norm(p, actual, int(d * 0.1))
+        seen |= set(range(t + 20, t + 20 + d))
+        bad |= {t + 20 + i for i in range(d) if e[i] > 0.3}
+    points = lambda xs: {t for x in xs for t in range(x.a, x.b)}
+    r = got["x"]
+    assert len(found) == 4 and bad and r.lhs_points == len(cover) and points(r.violation) == bad and points(r.satisfaction) == seen - bad and points(r.irrelevant) == set(range(200)) - seen
+    assert abs(r.score - (len(cover) / 200 - len(bad) / 200)) < 1e-12 and got["none"].score == 0

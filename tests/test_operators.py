@@ -96,6 +96,38 @@ def test_planted_rule_is_found(spark):
     gap = series.withColumn("v", F.when((F.col("attr_id") != 1) | ~F.col("t").between(320, 349), F.col("v")))
     fixed = J.impute_and_correct(gap, out["rules"], out["occurrences"], out["motif_classes"], truth=series)
     assert fixed["rmse_corrected"].first()[0] < fixed["rmse_baseline"].first()[0]
+    broken = (F.col("attr_id") == 1) & F.col("t").between(412, 461)
+    test = series.withColumn("v", F.when(broken, 0.0).otherwise(F.col("v")))
+    labels = series.groupBy("t").agg(F.max((broken & (F.col("v") > 0.6)).cast("int")).alias("label"))
+    baseline = labels.select("t", (F.col("t") == 999).cast("int").alias("y_pred"))
+    got = J.detect_anomalies(out["rules"], out["occurrences"], out["motif_classes"], test, labels, epsilon=0.5, rhs_attrs=[1], baseline=baseline)
+    metrics = got["rule"].first()
+    assert metrics.recall > 0.9 and metrics.precision > 0.8
+    assert got["union"].first().fp == metrics.fp + 1 and got["baseline"].first().tp == 0
+
+
+def test_files_of_labelled_samples(spark, tmp_path):
+    """A headerless CSV, the class first, through reading, mining of rules in each sample and classification."""
+    from subseqrules.plans import jobs as J
+    from subseqrules.sources import io
+
+    r = np.random.default_rng(9)
+    tooth = np.concatenate((np.arange(10.0), np.arange(10.0)[::-1]))
+    for name in ("train", "test"):
+        lines = []
+        for k in range(8):
+            v = r.normal(size=140) * 0.01
+            for t in range(2, 110, 34):
+                v[t : t + 20] += tooth * (1 + r.integers(0, 3))
+            lines.append(",".join([str(1 + k % 2), *map(str, (v if k % 2 else -v[::-1]).round(5))]))
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    train, test = (io.read_samples(spark, f"file://{tmp_path}/{n}.csv", header=False, split=n) for n in ("train", "test"))
+    assert rows(train.groupBy("label").count(), "label", "count") == [(1.0, 4), (2.0, 4)] and {len(x.vals) for x in test.collect()} == {140}
+    cfg = preset("Trace").but(delta_lo=10, delta_hi=30, k_max=4, min_count=2, max_iter=64, supp=0.5, error_kind="mean")
+    mined = J.mine_sample_rules(train, cfg)
+    assert mined["motif_classes"].count() > 0 and mined["occurrences"].count() >= 2 * mined["motif_classes"].count()
+    out = J.boost_classification(mined["rules"], mined["motif_classes"], train, test, cfg, sampling=1.0)
+    assert {x.label for x in out["predicted"].collect()} <= {1.0, 2.0} and out["predicted"].count() == 8 and 0 <= out["accuracy"].first()[0] <= 1
 
 
 @pytest.mark.parametrize("make", ["zscore", "pack", "zero_fill", "clean_univariate", "amplitude"])
