@@ -8,7 +8,7 @@ give just these two tokens, which is found by undoing merges from the later rank
 
 The vocabulary is a file of the `tokenizers` library: byte-level BPE with the usual word pattern. Its path is a
 parameter. Texts are cut into pre-tokens first; pre-tokens repeat, so each worker remembers the ids of those it has seen
-(forgetting all when the memory holds MEMO characters; results don't depend on it).
+(forgetting all when the memory holds about MEMO bytes, a parameter; results don't depend on it).
 
 Defined results: null is encoded as the empty text, the empty text has no ids; extra columns are not carried; rows with
 equal or null ids give a row each, ids as they are; an empty table gives an empty result; strings of special tokens in a text become their ids, as the library does by default.
@@ -46,7 +46,7 @@ def byte_letters() -> dict[int, str]:
 class PrefixBPE:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, memory: int = MEMO):
         import ahocorasick
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -81,7 +81,7 @@ class PrefixBPE:
         self.fit: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}  # of a space and letters, by the letters
         self.other: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.held, self.memory = 0, memory
 
     def compatible(self, left: int, right: int) -> bool:
         """Do left and right stay two tokens when their joined string is encoded?
@@ -146,7 +146,7 @@ class PrefixBPE:
 
     def remember(self, memo: dict, key: str, word: str) -> tuple[int, ...]:
         ids = self.word(word.encode().decode("latin-1").translate(self.table))
-        if self.held > MEMO:
+        if self.held > self.memory:
             self.memo.clear()
             self.other.clear()
             self.held = 0
@@ -197,14 +197,14 @@ class PrefixBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[tuple[str, str], PrefixBPE] = {}
+_LOADED: dict[tuple[str, str, int], PrefixBPE] = {}
 
 
-def loaded(path: str, pattern: str) -> PrefixBPE:
+def loaded(path: str, pattern: str, memory: int = MEMO) -> PrefixBPE:
     """One encoder for each worker process."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = PrefixBPE(path, pattern)
-    return _LOADED[path, pattern]
+    if (path, pattern, memory) not in _LOADED:
+        _LOADED[path, pattern, memory] = PrefixBPE(path, pattern, memory)
+    return _LOADED[path, pattern, memory]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -219,11 +219,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, memory: int = 2 * MEMO) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, made where the ids are, so that only digests leave the worker."""
 
     def run(batches):
-        bpe = loaded(path, pattern)
+        bpe = loaded(path, pattern, memory)
         for batch in chain.from_iterable(map(text_slices, batches)):
             rows = []
             for t in values(batch["text"]):
