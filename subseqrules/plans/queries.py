@@ -1189,14 +1189,15 @@ def r3_boost_classification(spark, sf):
 
 @query()
 def r4_detect_anomalies(spark, sf):
-    """Days on which a rule's forecast misses by more than 250; the metrics against days with a quantity over its 0.95 quantile."""
+    """Whether a rule's forecast misses the day by more than 100, next to days with a quantity over its 0.95 quantile."""
     from .jobs import detect_anomalies, mine_rules
 
     series, cfg = _daily(spark, sf)
     out = mine_rules(series, cfg)
     high = F.col("v") > F.percentile("v", F.lit(0.95)).over(Window.partitionBy("attr_id"))
     labels = series.select("t", high.cast("int").alias("h")).groupBy("t").agg(F.max("h").alias("label"))
-    return rounded(detect_anomalies(out["rules"], out["occurrences"], out["motif_classes"], series, labels, epsilon=250.0)["rule"], "precision", "recall", "f1")
+    flags = detect_anomalies(out["rules"], out["occurrences"], out["motif_classes"], series, labels, epsilon=100.0)["flags"]
+    return D.truth_prediction_join(labels, flags).select("t", "label", "y_rule")
 
 
 @query()
