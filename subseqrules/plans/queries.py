@@ -939,7 +939,7 @@ def q3_scan_occurrences(spark, sf):
     return rounded(M.scan_occurrences(packed, classes.drop("own"), none, cfg), "lam", n=4)
 
 
-@query(sql.motiflets(24, 6) + """ SELECT ms.series_id, CAST(ms.k AS INTEGER) AS k, round(any_value(ms.extent), 4) AS extent, round(any_value(ms.kth_dist), 4) AS kth_dist, ms.start, string_agg(nb.nbr, ',' ORDER BY nb.rank) AS members
+@query(sql.closest_sets(24, 6) + """ SELECT ms.series_id, CAST(ms.k AS INTEGER) AS k, round(any_value(ms.extent), 4) AS extent, round(any_value(ms.kth_dist), 4) AS kth_dist, ms.start, string_agg(nb.nbr, ',' ORDER BY nb.rank) AS members
 FROM ms JOIN nb ON nb.series_id = ms.series_id AND nb.start = ms.start AND nb.rank < ms.k GROUP BY ms.series_id, ms.k, ms.start""")
 def q4_k_motiflets(spark, sf):
     packed = S.pack(fx.event_series(spark, sf))

@@ -26,7 +26,7 @@ def neighbours(m: int, k: int, every: int = 1) -> str:
     return ",\n".join(parts)
 
 
-def motiflets(m: int, k_max: int, every: int = 1) -> str:
+def closest_sets(m: int, k_max: int, every: int = 1) -> str:
     """ms: for each size k from 2 to k_max - 1 the start whose first k neighbours lie closest together."""
     dist = ZNORMED.format(m=m)
     return neighbours(m, k_max - 1, every) + f""",
@@ -39,7 +39,7 @@ ms AS (SELECT x.series_id, x.top + 1 AS k, x.extent, nb.dist AS kth_dist, x.star
 
 def best_length(lengths: list[int], k_max: int, every: int) -> str:
     """The length, of points of the whole series, whose scaled extent function has the least mean, the shortest on ties."""
-    one = [f"SELECT series_id, {m * every} AS m, k, extent FROM ({motiflets(m, k_max, every)} SELECT series_id, k, extent FROM ms)" for m in lengths]
+    one = [f"SELECT series_id, {m * every} AS m, k, extent FROM ({closest_sets(m, k_max, every)} SELECT series_id, k, extent FROM ms)" for m in lengths]
     return f"""WITH u AS ({' UNION ALL '.join(one)}), l AS (SELECT series_id, m, list(extent ORDER BY k) AS f FROM u GROUP BY ALL),
 f AS (SELECT series_id, m, list_concat([f[1], f[1]], f) AS f FROM l),
 a AS (SELECT series_id, m, CASE WHEN list_max(f) = list_min(f) THEN 1 ELSE list_avg([(x - list_min(f)) / (list_max(f) - list_min(f)) FOR x IN f]) END AS au FROM f)
