@@ -1108,7 +1108,7 @@ def a7_piecewise_fit(spark, sf):
     return M.piecewise_fits(_weeks(spark, sf)).select("series_id", *[F.transform(c, lambda x: F.round(x, 3)).alias(c) for c in ("breaks", "slopes", "intercepts")])
 
 
-@query()
+@query(sql.trimmed(120.0, 16))
 def f19_trim_flat_ends(spark, sf):
     return M.trim_motifs(_weeks(spark, sf), 120.0, 16)
 

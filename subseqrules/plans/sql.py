@@ -92,3 +92,16 @@ bs AS (SELECT rp.*, coalesce(x.v, y.v) AS base FROM rp JOIN az ON az.series_id =
 pt AS (SELECT series_id, rule_id, o0, o1, avg_err, t2 + i AS t, base + lam2 * (CASE WHEN delta2 > 1 THEN 1 - i / (delta2 - 1)::DOUBLE ELSE 1 END) AS pred FROM (SELECT *, unnest(range(delta2)) AS i FROM bs WHERE base IS NOT NULL)),
 fo AS (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY series_id, t ORDER BY avg_err, rule_id, o0, o1) = 1),
 bd AS (SELECT fo.series_id, fo.t, max(CASE WHEN abs(pred - v) > 6 THEN 1 ELSE 0 END) AS y FROM fo JOIN ac ON ac.series_id = fo.series_id AND ac.attr_id = 1 AND ac.t = fo.t GROUP BY ALL)"""
+
+def trimmed(epsilon: float, least: int, run: int = 128, monotone: int = 4) -> str:
+    """What is left of each run of events after its flat ends are cut; d counts what is given back, in turn from the left."""
+    limit = "coalesce(list_position([abs(list_sum([sign(x[j + 1] - x[j]) FOR j IN range(1, k + 1)])) >= {m} FOR k IN range(1, len(x))], true) - 1, len(x))".replace("{m}", str(monotone))
+    flat = f"coalesce(list_position([list_max(x[1 : k]) - list_min(x[1 : k]) >= {epsilon} FOR k IN range(1, len(x) + 1)], true) - 1, len(x))"
+    return f"""WITH {fx.EVENTS}, g AS (SELECT series_id || '/' || CAST(t // {run} AS VARCHAR) AS series_id, list(v ORDER BY t) AS v FROM fx GROUP BY ALL),
+e AS (SELECT series_id, 0 AS side, v AS x FROM g UNION ALL SELECT series_id, 1, list_reverse(v) FROM g),
+c AS (SELECT series_id, side, len(x) AS n, list_max(x) - list_min(x) AS span, {limit} AS most, {flat} AS flat FROM e),
+s AS (SELECT series_id, any_value(n) AS n, any_value(span) AS span, sum(most) AS ends, max(least(most, flat)) FILTER (side = 0) AS l, max(least(most, flat)) FILTER (side = 1) AS r FROM c GROUP BY 1),
+d AS (SELECT *, least(l + r, greatest(0, {least} - (n - l - r))) AS d FROM s),
+b AS (SELECT *, least(l, greatest(d - d // 2, d - r)) AS dl FROM d)
+SELECT series_id, 0 AS attr_id, CAST(CASE WHEN ends >= n AND span < {epsilon} OR l + r > n THEN 0 ELSE greatest(l - dl - 1, 0) END AS BIGINT) AS a,
+  CAST(CASE WHEN ends >= n AND span < {epsilon} OR l + r > n THEN n ELSE least(n - (r - (d - dl)) + 1, n) END AS BIGINT) AS b FROM b"""
