@@ -58,9 +58,9 @@ def running_start(df: DataFrame, key: str, part: str, value: str, out: str) -> D
     return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
-def text_slices(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, size: int = 1 << 21, column: str = "text") -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows with about `size` bytes of text each, so that what is made from a run stays small."""
-    n = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // size)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:

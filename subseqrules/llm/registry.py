@@ -2,6 +2,7 @@
 
 from .bpe import op8_bpe
 from .embeddings import OP7_SQL, op7_embeddings
+from .fill_middle import OP12_SQL, op12_fill_middle
 from .media import op3_media
 from .mixing import OP1_SQL, op1_mixing
 from .quality import op6_page_quality, op6_quality
@@ -14,5 +15,6 @@ from .toxicity import op9_toxicity
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_simhash": op2_simhash, "op3_media": op3_media, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_files": op5_token_files, "op6_quality": op6_quality,
     "op6_page_quality": op6_page_quality, "op7_embeddings": op7_embeddings, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_token_counts": op10_token_counts,
+    "op12_fill_middle": op12_fill_middle,
 }
-ORACLE = {"op1_mixing": OP1_SQL, "op7_embeddings": OP7_SQL, "op10_token_counts": OP10_SQL}
+ORACLE = {"op1_mixing": OP1_SQL, "op7_embeddings": OP7_SQL, "op10_token_counts": OP10_SQL, "op12_fill_middle": OP12_SQL}
