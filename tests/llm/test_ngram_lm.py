@@ -44,7 +44,7 @@ class Slow:
             self.a[n] = Counter({g: c for g, c in grams[n].items() if g[0] == START})
             self.a[n].update(Counter(g[1:] for g in grams[n + 1]))
         self.d = [[0, 0.5, 1.0, 1.5] for _ in range(order + 1)]
-        self.follow = [defaultdict(dict) for _ in range(order + 1)]
+        self.follow = [defaultdict(dict) for _ in range(order + 1)]  # of a context the words after it
         for n in range(1, order + 1):
             c = Counter(self.a[n].values())
             if c[1] and c[2] and c[3]:
@@ -54,6 +54,7 @@ class Slow:
                     self.d[n] = [0, *own]
             for g, x in self.a[n].items():
                 self.follow[n][g[:-1]][g[-1]] = x
+        self.left = [{h: (sum(f.values()), sum(self.d[n][min(x, 3)] for x in f.values())) for h, f in self.follow[n].items()} for n in range(order + 1)]
 
     def p(self, w, context):
         n = len(context) + 1
@@ -61,10 +62,9 @@ class Slow:
         follow = self.follow[n].get(context)
         if not follow:
             return lower
-        total, d = sum(follow.values()), self.d[n]
-        left = sum(d[min(x, 3)] for x in follow.values()) / total
+        total, left = self.left[n][context]
         x = follow.get(w, 0)
-        return max(x - d[min(x, 3)], 0) / total + left * lower
+        return max(x - self.d[n][min(x, 3)], 0) / total + left / total * lower
 
     def score(self, text):
         own = [START, *words(text)]
