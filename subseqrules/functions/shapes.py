@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,32 +16,42 @@ def zeros(arr: Column) -> Column:
     return F.transform(arr, lambda x: F.lit(0.0))
 
 
+def bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """body over a struct of `values`, each computed once: inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def normalize_by(arr: Column, s0: Column) -> Column:
     """(x - s0) / range; flat arrays give zeros."""
-    r = span(arr)
-    return F.when(r == 0, zeros(arr)).otherwise(F.transform(arr, lambda x: (x - s0) / r))
+    body = lambda e: F.when(e["r"] == 0, zeros(e["x"])).otherwise(F.transform(e["x"], lambda x: (x - e["s"]) / e["r"]))
+    return bound({"x": arr, "s": s0, "r": span(arr)}, body)
 
 
 def normalize_shift_scale(arr: Column, scale: Column | float = 1.0) -> Column:
     """(x - first) / range * scale; flat arrays give zeros."""
-    r, first = span(arr), F.get(arr, F.lit(0))
-    return F.when(r == 0, zeros(arr)).otherwise(F.transform(arr, lambda x: (x - first) / r * scale))
+    body = lambda e: F.when(e["r"] == 0, zeros(e["x"])).otherwise(F.transform(e["x"], lambda x: (x - e["s"]) / e["r"] * e["k"]))
+    return bound({"x": arr, "s": F.get(arr, F.lit(0)), "r": span(arr), "k": F.lit(scale) if isinstance(scale, (int, float)) else scale}, body)
 
 
 def local_align_error(a: Column, b: Column, window: int) -> Column:
     """e[i] = the larger of the smallest |a[j] - b[i]| and the smallest |a[i] - b[j]| for j within the window, over the shorter length."""
-    n = F.least(F.size(a), F.size(b))
-    w = F.greatest(F.lit(0), F.least(F.lit(window), n - 1))
+    size = F.least(F.size(a), F.size(b))
+
+    def errors(e: Column) -> Column:
+        a, b, n = e["a"], e["b"], e["n"]
+        w = F.greatest(F.lit(0), F.least(F.lit(window), n - 1))
+
+        def near(x: Column, i: Column) -> Column:
+            lo = F.greatest(F.lit(0), i - w)
+            return F.slice(x, lo + 1, F.least(n - 1, i + w) - lo + 1)
 
-    def near(x: Column, i: Column) -> Column:
-        lo = F.greatest(F.lit(0), i - w)
-        return F.slice(x, lo + 1, F.least(n - 1, i + w) - lo + 1)
+        def at(i: Column) -> Column:
+            return bound({"p": F.get(a, i), "q": F.get(b, i)}, lambda v: F.greatest(
+                F.array_min(F.transform(near(a, i), lambda x: F.abs(x - v["q"]))), F.array_min(F.transform(near(b, i), lambda x: F.abs(v["p"] - x)))))
 
-    def at(i: Column) -> Column:
-        one = F.array_min(F.transform(near(a, i), lambda x: F.abs(x - F.get(b, i))))
-        return F.greatest(one, F.array_min(F.transform(near(b, i), lambda x: F.abs(F.get(a, i) - x))))
+        return F.when(n == 0, F.slice(a, 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), at))
 
-    return F.when(n == 0, F.slice(a, 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), at))
+    return bound({"a": a, "b": b, "n": size}, errors)
 
 
 def local_align_error_norm(a: Column, b: Column, window: int) -> Column:

@@ -107,8 +107,9 @@ def companion_join(first: DataFrame, others: DataFrame, coef: DataFrame, width:
 def nearest_start(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """For each (keys, id, at) the right (keys, occ_id, t1) nearest in time, the earlier on ties; as-of both ways in one sort."""
     right = right.groupBy(*keys, "t1").agg(F.min("occ_id").alias("occ_id"))
-    rows = left.select(*keys, F.col("at").alias("_t"), F.col("id"), F.lit(None).cast("struct<t: bigint, o: int>").alias("r"), F.lit(1).alias("_q"))
-    occ = right.select(*keys, F.col("t1").alias("_t"), F.lit(None).cast("long").alias("id"), F.struct(F.col("t1").cast("long").alias("t"), F.col("occ_id").cast("int").alias("o")).alias("r"), F.lit(0).alias("_q"))
+    kind = right.schema["occ_id"].dataType.simpleString()
+    rows = left.select(*keys, F.col("at").alias("_t"), F.col("id"), F.lit(None).cast(f"struct<t: bigint, o: {kind}>").alias("r"), F.lit(1).alias("_q"))
+    occ = right.select(*keys, F.col("t1").alias("_t"), F.lit(None).cast(left.schema["id"].dataType).alias("id"), F.struct(F.col("t1").cast("long").alias("t"), F.col("occ_id").alias("o")).alias("r"), F.lit(0).alias("_q"))
     w = Window.partitionBy(*keys).orderBy("_t", "_q")
     rows = rows.unionByName(occ)
     rows = rows.withColumn("_p", F.last("r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first("r", True).over(w.rowsBetween(0, Window.unboundedFollowing)))

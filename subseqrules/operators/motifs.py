@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import MiningConfig
 from ..functions import kernels as K
 from ..functions import mining as M
+from ..functions import shapes as X
 from ..schemas import CLASSES, FORBIDDEN, OCCURRENCES
 from ..session import durable
 from . import intervals as I
@@ -92,9 +93,12 @@ def elbows(extents: DataFrame, alpha: float = 2.0, deviation: float = 1.0) -> Da
 def au_ef(extents: DataFrame) -> DataFrame:
     """(keys, m, au_ef): mean of the scaled extent function over finite entries; 1 when it is flat."""
     e = F.filter("extents", lambda x: x < float("inf"))
-    lo, r = F.array_min(e), F.array_max(e) - F.array_min(e)
-    area = F.aggregate(e, F.lit(0.0), lambda s, x: s + (x - lo) / r) / F.size(e)
-    return extents.select(*WK, "m", F.when((F.size(e) == 0) | (r == 0), 1.0).otherwise(area).alias("au_ef"))
+
+    def area(z):
+        total = F.aggregate(z["e"], F.lit(0.0), lambda s, x: s + (x - z["lo"]) / z["r"])
+        return F.when((F.size(z["e"]) == 0) | (z["r"] == 0), 1.0).otherwise(total / F.size(z["e"]))
+
+    return extents.select(*WK, "m", X.bound({"e": e, "lo": F.array_min(e), "r": X.span(e)}, area).alias("au_ef"))
 
 
 def best_length(areas: DataFrame) -> DataFrame:

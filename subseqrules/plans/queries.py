@@ -405,13 +405,13 @@ def a6_start_col_fit(spark, sf):
 
 
 def _members(spark, sf):
-    """A set of members for each series: every 20th start."""
+    """A set of members for each series: the windows that tile it, side by side."""
     packed = S.pack(fx.event_series(spark, sf))
-    pairs = N.subsequence_pairs(packed, 16, float("inf"), step=20)
-    return pairs, packed.where("n >= 16").select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 16, F.lit(20).cast("long"))).alias("pos"))
+    pairs = N.subsequence_pairs(packed, 16, float("inf"), step=16)
+    return pairs, packed.where("n >= 16").select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 16, F.lit(16).cast("long"))).alias("pos"))
 
 
-MEMBERS = distance_sql(EXPR["znormed_ed"], step=20)
+MEMBERS = distance_sql(EXPR["znormed_ed"], step=16)
 
 
 @query(MEMBERS + " SELECT series_id, round(max(dist), 4) AS extent FROM d GROUP BY 1")
@@ -554,11 +554,11 @@ def u2_fuse_scores(spark, sf):
 
 def _areas(spark, sf):
     ev = fx.event_series(spark, sf)
-    rows = ev.groupBy("series_id", "attr_id", (F.col("t") % 7).cast("int").alias("m")).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("t", "v"))), 1, 12), lambda x: x["v"]).alias("extents"))
+    rows = ev.groupBy("series_id", "attr_id", (F.col("t") % 7).cast("int").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("extents"))
     return M.au_ef(rows)
 
 
-AREAS = f"{fx.EVENTS}, ee AS (SELECT series_id, CAST(t % 7 AS INTEGER) AS m, list(v ORDER BY t)[1:12] AS e FROM fx GROUP BY ALL), ar AS (SELECT series_id, m, list_avg([(x - list_min(e)) / (list_max(e) - list_min(e)) FOR x IN e]) AS au_ef FROM ee)"
+AREAS = f"{fx.EVENTS}, ar AS (SELECT series_id, CAST(t % 7 AS INTEGER) AS m, (avg(v) - min(v)) / (max(v) - min(v)) AS au_ef FROM fx GROUP BY ALL)"
 
 
 @query(f"WITH {AREAS} SELECT series_id, m, round(au_ef, 6) AS au_ef FROM ar")
@@ -761,7 +761,7 @@ def u3_free_points(spark, sf):
 @query(sql.ELBOWS)
 def w13_elbow_points(spark, sf):
     ev = fx.event_series(spark, sf)
-    rows = ev.groupBy("series_id", "attr_id", (F.col("t") % 7).cast("int").alias("m")).agg(F.slice(F.array_sort(F.collect_set(F.abs("v"))), 1, 12).alias("extents"))
+    rows = ev.groupBy("series_id", "attr_id", (F.col("t") % 7).cast("int").alias("m")).agg(F.array_sort(F.collect_set(F.abs("v"))).alias("extents"))
     return M.elbows(rows).select("series_id", "m", F.concat_ws(",", F.col("elbows").cast("array<string>")).alias("elbows"))
 
 

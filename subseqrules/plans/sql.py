@@ -58,7 +58,7 @@ SELECT series_id, i, j, round(1 / (1 + d), 5) AS similarity FROM p WHERE 1 / (1
 
 
 #: The peaks of each row's extents from the fourth on; the highest is taken with its neighbours until none is over 2.
-ELBOWS = f"""WITH RECURSIVE {fx.EVENTS}, d AS (SELECT series_id, CAST(t % 7 AS INTEGER) AS m, list_slice(list_sort(list(DISTINCT abs(v))), 1, 12) AS d FROM fx GROUP BY ALL),
+ELBOWS = f"""WITH RECURSIVE {fx.EVENTS}, d AS (SELECT series_id, CAST(t % 7 AS INTEGER) AS m, list_sort(list(DISTINCT abs(v))) AS d FROM fx GROUP BY ALL),
 p AS (SELECT series_id, m, [CASE WHEN d[k + 1] > 0 AND d[k + 2] / d[k + 1] > 1 THEN (d[k + 2] - d[k + 1] + 1e-5) / (d[k + 1] - d[k] + 1e-5) ELSE 0 END FOR k IN range(3, len(d) - 1)] AS p FROM d),
 z AS (SELECT series_id, m, p, list_position(p, list_max(p)) AS top, CAST([] AS BIGINT[]) AS found FROM p
 UNION ALL SELECT series_id, m, q, list_position(q, list_max(q)), f FROM (SELECT series_id, m, [CASE WHEN abs(y - top) <= 1 THEN 0 ELSE p[y] END FOR y IN range(1, len(p) + 1)] AS q, list_append(found, top + 2) AS f FROM z WHERE p[top] > 2))
