@@ -60,14 +60,14 @@ def fit_class(v: np.ndarray, starts: list[int], m: int, cfg) -> tuple[dict, list
 
 
 def rows_error(s: np.ndarray, t: np.ndarray, w: int) -> np.ndarray:
-    """Alignment errors of each row of s against t, with window w."""
-    n = s.shape[1]
+    """Alignment errors of each row of s against t, or the same row of t, with window w."""
+    n, t = s.shape[1], np.atleast_2d(t)
     w = max(0, min(w, n - 1))
-    sp, tp = np.pad(s, ((0, 0), (w, w)), constant_values=np.inf), np.pad(t, w, constant_values=np.inf)
+    sp, tp = (np.pad(x, ((0, 0), (w, w)), constant_values=np.inf) for x in (s, t))
     one, two = np.full(s.shape, np.inf), np.full(s.shape, np.inf)
     for o in range(2 * w + 1):
         np.minimum(one, np.abs(sp[:, o : o + n] - t), out=one)
-        np.minimum(two, np.abs(s - tp[o : o + n]), out=two)
+        np.minimum(two, np.abs(s - tp[:, o : o + n]), out=two)
     return np.maximum(one, two)
 
 
@@ -219,35 +219,91 @@ def combinations(data: PairData, x: np.ndarray) -> np.ndarray:
     return combos
 
 
-def evaluate(data: PairData, coef: np.ndarray, combos: np.ndarray, *, epsilon_rate: float, rate: float, kind: str, supp: float = 0.0, fall_back: bool = False) -> dict | None:
-    """Chain the predictions that an occurrence of the right side bears out; None when too few can be made."""
-    if len(combos) < data.need():
-        return None
-    x = np.concatenate([o[combos[:, i]] for i, o in enumerate(data.lhs)], axis=1)
-    y = coef[0] + x @ coef[1:]
-    t2, d2 = np.rint(y[:, 0]).astype(int), np.rint(y[:, 1]).astype(int)
-    good = (t2 >= 0) & (d2 > 1) & (t2 + d2 <= len(data.v))
-    rows, over_any = [], []
-    for i in np.flatnonzero(good):
-        a, b = t2[i], t2[i] + d2[i]
-        over = np.minimum(b, data.rhs[:, 0] + data.rhs[:, 1]) - np.maximum(a, data.rhs[:, 0])
-        j = int(over.argmax())
-        actual = data.v[a:b]
-        size = actual.max() - actual.min()
-        if over[j] <= 0 or size <= 0:
-            continue
-        p = K.piecewise_predict(np.arange(d2[i]) / (d2[i] - 1), *data.shape) * y[i, 2] + data.v[a]
-        e = K.align_error(p, actual, min(int(d2[i] * rate), d2[i] - 1))
-        row = (i, j, float(over[j]), K.aggregate(e, kind), float(e.max()), float(e.mean()), float(size), int(d2[i]))
-        over_any.append(row)
-        if row[3] <= epsilon_rate * size:
-            rows.append(row)
-    used = rows or (over_any if fall_back else [])
-    pairs = np.array([[*combos[r[0]], r[1]] for r in used]).reshape(len(used), combos.shape[1] + 1)
-    chain = K.heaviest_chain(pairs, np.array([r[2] for r in used]))
-    score = len(chain)
-    out = {"score": score, "combos": len(combos), "supp": score / len(combos), "matches": pairs[chain], "eps_rate": max((used[c][3] / used[c][6] for c in chain), default=np.inf)}
-    enough = len(rows) >= data.need() and out["supp"] >= supp
-    out["epsilon"] = max(r[4] for r in rows) if enough else np.inf
-    out["avg_err"] = sum(r[5] * r[7] for r in rows) / sum(r[7] for r in rows) if enough else np.inf
+def longest_overlaps(a: np.ndarray, b: np.ndarray, occ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the occurrence (t1, delta, ...) that overlaps each [a, b) longest, the first on ties; the overlap, 0 if none does)."""
+    order = np.argsort(occ[:, 0], kind="stable")
+    start, end = occ[order, 0], occ[order, 0] + occ[order, 1]
+    lo, hi = np.searchsorted(np.maximum.accumulate(end), a, side="right"), np.searchsorted(start, b, side="left")
+    best, size = np.zeros(len(a), int), np.zeros(len(a))
+    rows, k = np.flatnonzero(lo < hi), 0
+    while len(rows):
+        at = lo[rows] + k
+        over = np.minimum(b[rows], end[at]) - np.maximum(a[rows], start[at])
+        better = (over > size[rows]) | ((over == size[rows]) & (over > 0) & (order[at] < best[rows]))
+        size[rows[better]], best[rows[better]] = over[better], order[at[better]]
+        k += 1
+        rows = rows[lo[rows] + k < hi[rows]]
+    return best, size
+
+
+def per_hypothesis(h: np.ndarray, columns: list[np.ndarray], n: int) -> np.ndarray:
+    """For each hypothesis the least over the columns of how many different values its rows have: no chain is longer."""
+    out = np.full(n, np.iinfo(np.int64).max)
+    for c in columns:
+        pair = np.unique(np.stack((h, c), axis=1), axis=0)[:, 0] if len(h) else h
+        out = np.minimum(out, np.bincount(pair, minlength=n))
     return out
+
+
+def forecast_errors(data: PairData, t2: np.ndarray, d2: np.ndarray, lam: np.ndarray, rate: float, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(largest, mean alignment error, range of the actual values) of the forecasts [t2, t2 + d2) of height lam, rows of equal length at once."""
+    top, mean, size = np.empty((3, len(t2)))
+    for d in np.unique(d2).tolist():
+        rows, w = np.flatnonzero(d2 == d), min(int(d * rate), d - 1)
+        unit = K.piecewise_predict(np.arange(d) / (d - 1), *data.shape)
+        for k in range(0, len(rows), max(1, cells // d)):
+            own = rows[k : k + max(1, cells // d)]
+            actual = sliding_window_view(data.v, d)[t2[own]]
+            e = rows_error(unit * lam[own][:, None] + actual[:, :1], actual, w)
+            top[own], mean[own], size[own] = e.max(axis=1), e.mean(axis=1), np.ptp(actual, axis=1)
+    return top, mean, size
+
+
+def best_of_draws(data: PairData, draws: dict[int, tuple[np.ndarray, np.ndarray]], *, epsilon_rate: float, rate: float, kind: str, floor: int = 0, fall_back: bool = False) -> tuple | None:
+    """(hypothesis, coefficients, its evaluation) of the best among draws (features, targets by hypothesis), None if none chains more
+    matches than there are left classes. All are fitted and predicted at once; hypotheses come in the order of how many matches
+    they could chain, counted by different occurrences in reach, and end where that is below the best score, `floor` included."""
+    if not draws:
+        return None
+    ids, n = list(draws), len(data.lhs)
+    coefs = K.least_squares(np.stack([draws[h][0] for h in ids]), np.stack([draws[h][1] for h in ids]))
+    combos = [combinations(data, draws[h][0]) for h in ids] if n > 1 else [combinations(data, draws[ids[0]][0])] * len(ids)
+    sizes = np.array(list(map(len, combos)))
+    h, c = np.repeat(np.arange(len(ids)), sizes), np.concatenate(combos)
+    x = np.concatenate([o[c[:, k]] for k, o in enumerate(data.lhs)], axis=1)
+    y = coefs[h, 0] + np.einsum("rf,rfk->rk", x, coefs[h, 1:]) if n > 1 else (coefs[:, :1] + x[: sizes[0]] @ coefs[:, 1:]).reshape(-1, 3)
+    whole = np.rint(np.clip(y[:, :2], -(2.0**52), 2.0**52)).astype(np.int64)
+    ok = (sizes[h] >= data.need()) & (whole[:, 0] >= 0) & (whole[:, 1] > 1) & (whole.sum(axis=1) <= len(data.v))
+    h, c, lam, t2, d2 = h[ok], c[ok], y[ok, 2], whole[ok, 0], whole[ok, 1]
+    j, over = longest_overlaps(t2, t2 + d2, data.rhs)
+    h, c, lam, t2, d2, j, over = (z[over > 0] for z in (h, c, lam, t2, d2, j, over))
+    reach = per_hypothesis(h, [*c.T, j], len(ids))
+    best, least = None, max(floor, n + 1)
+    order = np.argsort(-reach, kind="stable")
+    for k in range(0, len(order), 8):
+        some = order[k : k + 8][reach[order[k : k + 8]] >= least]
+        if not len(some):
+            break
+        rows = np.flatnonzero(np.isin(h, some))
+        top, mean, size = forecast_errors(data, t2[rows], d2[rows], lam[rows], rate)
+        err = top if kind == "max" else mean
+        good = err <= epsilon_rate * size
+        for g in some.tolist():
+            own = np.flatnonzero((h[rows] == g) & (size > 0))
+            fit = own[good[own]]
+            used = fit if len(fit) or not fall_back else own
+            pairs = np.concatenate((c[rows[used]], j[rows[used]][:, None]), axis=1)
+            if not len(used) or min(len(np.unique(z)) for z in pairs.T) < least:
+                continue
+            chain = K.heaviest_chain(pairs, over[rows[used]])
+            if (score := len(chain)) < least:
+                continue
+            at, enough = used[chain], len(fit) >= data.need()
+            e = {
+                "score": score, "combos": int(sizes[g]), "supp": score / sizes[g], "matches": pairs[chain], "eps_rate": float((err[at] / size[at]).max()),
+                "epsilon": float(top[fit].max()) if enough else np.inf, "avg_err": float((mean[fit] * d2[rows[fit]]).sum() / d2[rows[fit]].sum()) if enough else np.inf,
+            }
+            key = (-score, e["eps_rate"], e["epsilon"], e["avg_err"], ids[g])
+            if best is None or key < best[0]:
+                best, least = (key, ids[g], coefs[g], e), max(least, score)
+    return None if best is None else best[1:]

@@ -120,30 +120,24 @@ HYPS = PAIRS.replace("lhs struct<attr_id: int, class_id: int>", "lhs array<struc
 
 
 def evaluate_hypotheses(rows: DataFrame, cfg: MiningConfig, *, batch: int = 64, fall_back: bool = False) -> DataFrame:
-    """rows of with_sides with `wave` (hypothesis batch number): the best hypothesis of each batch, drawn with a seed of its own."""
+    """rows of with_sides with `wave` (hypothesis batch number) and `floor` (a score found already, below which nothing counts): the best
+    hypothesis of each batch. Each is drawn with a seed of its own; a batch is fitted, predicted and compared as arrays."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 data = M.PairData([np.array([list(x) for x in o]) for o in r.lhs_occ], np.array([list(x) for x in r.rhs_occ]), np.asarray(r.vals, float), (r.breaks, r.slopes, r.intercepts))
-                sides = [(s["attr_id"], s["class_id"]) for s in [*r.lhs, r.rhs]]
-                best, least = None, len(data.lhs)
-                for h in range(batch):
-                    hyp = int(r.wave) * batch + h
-                    rng = np.random.default_rng([cfg.seed, hyp, *(x for s in sides for x in s)])
-                    if (got := M.draw(data, rng)) is None:
+                sides = [x for s in [*r.lhs, r.rhs] for x in (s["attr_id"], s["class_id"])]
+                draws = {}
+                for hyp in range(int(r.wave) * batch, (int(r.wave) + 1) * batch):
+                    if (got := M.draw(data, np.random.default_rng([cfg.seed, hyp, *sides]))) is None:
                         break
-                    coef = K.least_squares(*got)
-                    e = M.evaluate(data, coef, M.combinations(data, got[0]), epsilon_rate=cfg.epsilon_rate, rate=cfg.window_rate, kind=cfg.error_kind, supp=0.0, fall_back=fall_back)
-                    if e is None or e["score"] <= least:
-                        continue
-                    key = (-e["score"], e["eps_rate"], e["epsilon"], e["avg_err"], hyp)
-                    if best is None or key < best[0]:
-                        best = (key, coef, e, hyp)
+                    draws[hyp] = got
+                best = M.best_of_draws(data, draws, epsilon_rate=cfg.epsilon_rate, rate=cfg.window_rate, kind=cfg.error_kind, floor=int(r.floor), fall_back=fall_back)
                 if best is None:
                     continue
-                (_, coef, e, hyp), null = best, lambda x: None if not np.isfinite(x) else float(x)
+                (hyp, coef, e), null = best, lambda x: None if not np.isfinite(x) else float(x)
                 out.append({
                     "series_id": r.series_id, "lhs": r.lhs, "rhs": r.rhs, "c_phi": e["score"], "supp": e["supp"] if len(data.lhs) > 1 else e["score"] / len(data.lhs[0]),
                     "coef_t1": coef[:, 0].tolist(), "coef_delta": coef[:, 1].tolist(), "coef_lam": coef[:, 2].tolist(), "avg_err": null(e["avg_err"]), "epsilon": null(e["epsilon"]),
@@ -175,7 +169,8 @@ def match_pairs(todo: DataFrame, occ: DataFrame, classes: DataFrame, packed: Dat
     open_, best, done, size = sides.select("series_id", "lhs", "rhs"), None, 0, max(1, 500 // batch)
     while done * batch < cfg.max_iter:
         waves = min(size, -(-cfg.max_iter // batch) - done)
-        rows = sides.join(open_, ["series_id", "lhs", "rhs"]).withColumn("wave", F.explode(F.sequence(F.lit(done), F.lit(done + waves - 1))))
+        known = open_.withColumn("floor", F.lit(0)) if best is None else open_.join(best.select("series_id", "lhs", "rhs", F.col("score").alias("floor")), ["series_id", "lhs", "rhs"], "left").fillna(0, ["floor"])
+        rows = sides.join(known, ["series_id", "lhs", "rhs"]).withColumn("wave", F.explode(F.sequence(F.lit(done), F.lit(done + waves - 1))))
         got = evaluate_hypotheses(rows.repartition(n, "series_id", "lhs", "rhs", "wave"), cfg, batch=batch, fall_back=fall_back)
         best = durable(best_hypothesis(got if best is None else best.unionByName(got), ["series_id", "lhs", "rhs"]), "best-pairs")
         done += waves
