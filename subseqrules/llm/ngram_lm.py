@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import beside, durable, partitions_of, read_table, scratch_path, text_slices
 
-ORDER, CHARS, PENDING = 2, 1 << 22, 1 << 21
+ORDER, CHARS, PENDING = 2, 1 << 21, 1 << 20
 KEY = np.uint64
 #: The multipliers of the splitmix64 finalizer, and its increment as the multiplier that appends a word.
 MIX1, MIX2, STEP = KEY(0xBF58476D1CE4E5B9), KEY(0x94D049BB133111EB), KEY(0x9E3779B97F4A7C15)
@@ -149,8 +149,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def gram_keys(ids: list[np.ndarray]) -> np.ndarray:
     if len(ids) == 1:
-        return mix(ids[0])
-    key = mix((ids[0] << KEY(32)) | ids[1])
+        return mix(ids[0].astype(KEY))
+    key = mix((ids[0].astype(KEY) << KEY(32)) | ids[1])
     for x in ids[2:]:
         key = mix(key * STEP + x)
     return key
@@ -179,7 +179,7 @@ def summed(keys: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
-    return keys[first], [c[order[first]] for c in columns], [np.add.reduceat(v[order], first) if len(keys) else v for v in values]
+    return keys[first], [c[order[first]] for c in columns], [np.add.reduceat(v[order], first, dtype=np.int64) if len(keys) else v for v in values]
 
 
 def blobs(level: int, kind: str, keys: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], bits: int) -> Iterator[dict]:
@@ -188,9 +188,9 @@ def blobs(level: int, kind: str, keys: np.ndarray, columns: list[np.ndarray], va
     used, first = np.unique(own, return_index=True)
     for b, lo, hi in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(own)]):
         part = [c[lo:hi] for c in columns]
-        order = np.argsort((part[0] << KEY(32)) | part[1] if len(part) > 1 else part[0])
+        order = np.lexsort(part[1::-1])
         part = [c[order] for c in part]
-        yield {"level": level, "bucket": b, "kind": kind, "blob": pack(np.diff(part[0], prepend=KEY(0)), *part[1:], *(v[lo:hi][order] for v in values))}
+        yield {"level": level, "bucket": b, "kind": kind, "blob": pack(np.diff(part[0].astype(KEY), prepend=KEY(0)), *part[1:], *(v[lo:hi][order] for v in values))}
 
 
 def opened(blob: bytes, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -212,7 +212,7 @@ class Tally:
         self.size, self.merged, self.width = 0, 0, columns
 
     def add(self, columns: list[np.ndarray], counts: np.ndarray) -> list[dict]:
-        self.held.append((columns, counts))
+        self.held.append((columns, counts.astype(np.uint32)))  # those of one run of texts
         self.size += len(counts)
         return self.merge(PENDING) if self.size - self.merged > PENDING else []
 
@@ -223,7 +223,7 @@ class Tally:
         columns = [np.concatenate([c[k] for c, _ in self.held]) for k in range(self.width)]
         keys = gram_keys(columns) if self.level else columns[0]  # level 0: words by their hash
         keys, columns, (counts,) = summed(keys, columns, [np.concatenate([n for _, n in self.held])])
-        self.held, self.size, self.merged = [(columns, counts)], len(counts), len(counts)
+        self.held, self.size, self.merged = [(columns, counts.astype(np.uint32) if len(counts) and counts.max() < 1 << 32 else counts)], len(counts), len(counts)
         if len(counts) <= most:
             return []
         self.held, self.size, self.merged = [], 0, 0
@@ -244,7 +244,7 @@ class NgramModel:
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of each word, one beyond that of the start if it is unknown; its count in the training texts)."""
         at, (count,) = find(self.folder, 0, self.bits, hashes, 1)
-        return np.where(at[1] < 0, self.words + 1, self.starts[at[0]] + at[1]).astype(KEY), count
+        return np.where(at[1] < 0, self.words + 1, self.starts[at[0]] + at[1]).astype(np.uint32), count
 
     def sequence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(numbers of all tokens with a start before each text; places since the start; tokens of each text; counts of tokens)."""
@@ -252,7 +252,7 @@ class NgramModel:
         number, count = self.numbers(hashes)
         begin = np.cumsum(sizes) - sizes
         place = np.arange(len(code) + len(sizes)) - np.repeat(begin + np.arange(len(sizes)), sizes + 1)
-        return np.insert(number[code], begin, KEY(self.words)), place, sizes, count[code]
+        return np.insert(number[code], begin, np.uint32(self.words)), place, sizes, count[code]
 
     def log10(self, seq: np.ndarray, place: np.ndarray) -> np.ndarray:
         """log10 probability of every token after its text's start, in order."""
