@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
@@ -17,26 +19,109 @@ def window_stats(v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return w.mean(axis=1), np.where(std < 1e-4, 0.1, std), (w * w).sum(axis=1), total[m - 1 :] - total[: len(v) - m + 1]
 
 
-def block_distances(v: np.ndarray, m: int, rows: np.ndarray, kind: str, stats=None) -> np.ndarray:
-    """Squared distances of the windows at `rows` to all windows."""
-    mean, std, sumsq, cplx = stats or window_stats(v, m)
-    w = sliding_window_view(v, m)
-    dot = w[rows] @ w.T
+class Windows:
+    """The windows of m values that start at the first `most` places, with their statistics."""
+
+    def __init__(self, v: np.ndarray, m: int, most: int | None = None):
+        self.m, self.n = m, min(len(v) - m + 1, len(v) if most is None else most)
+        v = v[: self.n + m - 1]
+        self.w = sliding_window_view(v, m)
+        self.mean, self.std, self.sumsq, self.cplx = window_stats(v, m)
+
+
+def tile_distances(a: Windows, rows: np.ndarray, b: Windows, kind: str) -> np.ndarray:
+    """Squared distances of the windows of a at `rows` to all windows of b."""
+    m, dot = a.m, a.w[rows] @ b.w.T
     if kind == "znormed_ed":
-        d = 2 * m * (1 - (dot - m * np.outer(mean[rows], mean)) / (m * np.outer(std[rows], std)))
+        d = 2 * m * (1 - (dot - m * np.outer(a.mean[rows], b.mean)) / (m * np.outer(a.std[rows], b.std)))
         return np.maximum(d, 0)
-    both = sumsq[rows][:, None] + sumsq[None]
+    both = a.sumsq[rows][:, None] + b.sumsq[None]
     if kind == "cosine":
         return 1 - np.divide(dot, both, out=np.zeros_like(dot), where=both != 0)
     d = both - 2 * dot
     if kind == "cid":
-        hi, lo = np.maximum(cplx[rows][:, None], cplx), np.minimum(cplx[rows][:, None], cplx)
+        hi, lo = np.maximum(a.cplx[rows][:, None], b.cplx), np.minimum(a.cplx[rows][:, None], b.cplx)
         d = d * np.where(lo > 0, np.divide(hi, lo, out=np.ones_like(d), where=lo > 0), np.where(hi > 0, np.inf, 1.0))
     elif kind != "euclidean":
         raise ValueError(f"unknown distance {kind}")
     return d
 
 
+def block_distances(v: np.ndarray, m: int, rows: np.ndarray, kind: str) -> np.ndarray:
+    """Squared distances of the windows at `rows` to all windows of the same values."""
+    own = Windows(v, m)
+    return tile_distances(own, rows, own, kind)
+
+
+class Nearest:
+    """Neighbours of a run of starts, fed tile by tile: of each start the (k - 1) * 2h + 1 nearest places so far are kept, which hold
+    its k nearest without overlap, as each of those takes at most 2h places from the rest."""
+
+    def __init__(self, lo: int, n: int, k: int, h: int):
+        self.lo, self.k, self.h, self.most = lo, k, h, (k - 1) * max(2 * h, 1) + 1
+        self.kept = [(np.zeros(1), np.array([lo + i])) for i in range(n)]  # itself, at distance 0
+        self.bound = np.full(n, np.inf)
+
+    def add(self, rows: np.ndarray, d: np.ndarray, at: int) -> None:
+        """Distances d of the starts lo + rows to the places from `at` on."""
+        for i, own in zip(rows.tolist(), d):  # its own zone
+            x = self.lo + i - at
+            own[max(0, x - self.h) : max(0, x + self.h, x + 1)] = np.inf
+        if d.shape[1] > self.most and np.isinf(self.bound[rows]).any():  # what is beyond the tile's own least goes at once
+            self.bound[rows] = np.minimum(self.bound[rows], np.partition(d, self.most - 1, axis=1)[:, self.most - 1])
+        for i, own in zip(rows.tolist(), d):
+            if len(c := np.flatnonzero((own <= self.bound[i]) & (own < np.inf))):
+                e, p = np.concatenate((self.kept[i][0], own[c])), np.concatenate((self.kept[i][1], at + c))
+                order = np.lexsort((p, e))[: self.most]
+                self.kept[i] = e[order], p[order]
+                if len(order) == self.most:
+                    self.bound[i] = min(self.bound[i], e[order[-1]])
+
+    def neighbours(self) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+        """(start, its nearest places that don't overlap each other and their distances)."""
+        for i, (d, p) in enumerate(self.kept):
+            out: list[tuple[int, float]] = []
+            for x, y in zip(d.tolist(), p.tolist()):
+                if len(out) == self.k:
+                    break
+                if all(not q - self.h <= y < max(q + self.h, q + 1) for q, _ in out):
+                    out.append((y, x))
+            yield self.lo + i, out
+
+
+class Centred:
+    """Windows that reach `radius` to either side of the first `most` centres from `lead` on, scaled to their own range; shorter at the
+    ends of v, in front aligned."""
+
+    def __init__(self, v: np.ndarray, lead: int, radius: int, most: int):
+        full = 2 * radius + 1
+        self.n = max(0, min(most, len(v) - lead))
+        centre = lead + np.arange(self.n)
+        a, b = np.maximum(0, centre - radius), np.minimum(len(v), centre + radius + 1)
+        self.size = b - a
+        self.w = np.zeros((self.n, full))
+        whole = np.flatnonzero(self.size == full)
+        if len(whole):
+            x = sliding_window_view(v, full)[a[whole]]
+            r = np.ptp(x, axis=1)[:, None]
+            self.w[whole] = np.divide(x - x[:, :1], r, out=np.zeros(x.shape), where=r != 0)
+        self.edge = np.flatnonzero(self.size < full)
+        for i in self.edge.tolist():
+            x = v[a[i] : b[i]]
+            self.w[i, : len(x)] = scaled(x, x[0])
+        self.sumsq = (self.w**2).sum(axis=1)
+
+    def distances(self, rows: np.ndarray, other: Centred) -> np.ndarray:
+        """Squared distances over the shorter length of each pair; only few windows, at the ends, are short."""
+        d = self.sumsq[rows][:, None] + other.sumsq[None] - 2 * self.w[rows] @ other.w.T
+        short = lambda x, y, n: np.cumsum((x - y) ** 2, axis=1)[np.arange(len(n)), n - 1]
+        for j in other.edge.tolist():
+            d[:, j] = short(self.w[rows], other.w[j], np.minimum(self.size[rows], other.size[j]))
+        for i in np.flatnonzero(self.size[rows] < self.w.shape[1]).tolist():
+            d[i] = short(other.w, self.w[rows[i]], np.minimum(other.size, self.size[rows[i]]))
+        return d
+
+
 def greedy_neighbours(d: np.ndarray, i: int, k: int, h: int) -> list[tuple[int, float]]:
     """The k nearest starts that don't overlap each other, the anchor first at 0; zones are [p - h, p + h)."""
     d = d.copy()

@@ -1,8 +1,10 @@
 """Nearest subsequences: non-overlapping neighbours, close pairs, and motifs defined by a range.
 
-A series is one packed row; its starts are cut into blocks, and each (series, block) row carries the vector. A task
-multiplies its block against the whole vector, so no pair of windows is ever shuffled. Blocks hold about CELLS window pairs,
-and LEAST starts at least: n points are shipped n / LEAST times."""
+No row carries a whole series: values lie in chunks of SIZE starts with a halo, and the window pairs of a series are tiles of two
+chunks. A task takes on strips, a chunk of starts against the chunks it is compared with, which come to it one after the other in order;
+only what a start still needs of the tiles seen is kept. n points are so shipped n / SIZE times, 8 n^2 / SIZE bytes in all, and strips
+are dealt out evenly however many series there are. Columns beside those named are ignored; series without a full window have
+no rows; values must not be null."""
 
 from __future__ import annotations
 
@@ -16,57 +18,84 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..session import durable
 from . import intervals as I
+from . import series as S
 
-CELLS, LEAST, TILE = 20_000_000, 2048, 256
+SIZE, TILE = 4096, 256
 WK = ["series_id", "attr_id"]
 
 
-def blocks(packed: DataFrame, lengths: list[int] | int, cells: int = CELLS) -> DataFrame:
-    """(series_id, attr_id, vals, m, lo, hi): the runs of starts a task takes on."""
-    lengths = [lengths] if isinstance(lengths, int) else lengths
-    rows = packed.withColumn("m", F.explode(F.array(*[F.lit(m) for m in lengths]))).withColumn("_starts", F.size("vals") - F.col("m") + 1).where("_starts > 0")
-    least = min(LEAST, cells)  # so that of a long series few copies of the vector are made
-    rows = rows.withColumn("_step", F.greatest(F.lit(least), F.floor(F.lit(cells) / F.col("_starts")).cast("int")))
-    rows = rows.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("_starts") - 1, F.col("_step"))))
-    rows = rows.withColumn("hi", F.least(F.col("lo") + F.col("_step"), F.col("_starts")))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.drop("_starts", "_step").repartition(n, *WK, "m", "lo")
-
-
-def subsequence_knn(packed: DataFrame, m: list[int] | int, k: int, distance: str = "znormed_ed", slack: float = 0.5, cells: int = CELLS) -> DataFrame:
-    """(keys, m, start, rank, nbr, dist): each start's k nearest starts that don't overlap, itself first at distance 0."""
+def strips(series: DataFrame, widths: list[int], *, before: int = 0, extra: int = 0, later_only: bool = False, size: int = SIZE) -> DataFrame:
+    """(series_id, attr_id, m, c, of, lo, part): for each width the chunks c of values part = [lo - before, lo + size + m - 1 + extra), each once
+    for every chunk `of` whose starts are compared with its own; with later_only no chunk comes before `of`. Rows of a strip are together
+    and in order, its own chunk first. series is packed or a row for each value."""
+    out = None
+    for m in widths:
+        own = S.chunks(series, size, before=before, after=m - 1 + extra).where(F.size("part") >= m + F.least("lo", F.lit(before))).withColumn("m", F.lit(m))
+        out = own if out is None else out.unionByName(own)
+    if later_only:
+        out = out.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), "c")))
+    else:
+        count = out.groupBy(*WK, "m").agg((F.max("c") + 1).alias("_k"))
+        out = out.join(count, [*WK, "m"]).withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).drop("_k")
+    n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, *WK, "m", "of").sortWithinPartitions(*WK, "m", "of", (F.col("c") != F.col("of")).cast("int"), "c")
+
+
+def tiles(batches: Iterator[pd.DataFrame], make) -> Iterator[tuple]:
+    """(row, what `make` makes of the strip's own chunk, of this chunk, whether the strip starts here) of the rows of strips."""
+    at = own = None
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            here = make(r)
+            new = (r.series_id, r.attr_id, r.m, r.of) != at
+            if new:
+                at, own = (r.series_id, r.attr_id, r.m, r.of), here
+            yield r, own, here, new
+
+
+def subsequence_knn(series: DataFrame, m: list[int] | int, k: int, distance: str = "znormed_ed", slack: float = 0.5, size: int = SIZE) -> DataFrame:
+    """(keys, m, start, rank, nbr, dist): each start's k nearest starts that don't overlap, itself at distance 0 among them; the
+    earlier start on ties. series is packed or a row for each value."""
+
+    def table(key, found):
+        rows = [(*key, i, n, p, x) for i, near in found for n, (p, x) in enumerate(near)]
+        return pd.DataFrame(rows, columns=[*WK, "m", "start", "rank", "nbr", "dist"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                v, h = np.asarray(r.vals, float), int(r.m * slack)
-                stats = K.window_stats(v, r.m)
-                for lo in range(r.lo, r.hi, TILE):
-                    rows = np.arange(lo, min(lo + TILE, r.hi))
-                    d = K.block_distances(v, r.m, rows, distance, stats)
-                    got = [(r.series_id, r.attr_id, r.m, i, n, p, x) for i, own in zip(rows.tolist(), d) for n, (p, x) in enumerate(K.greedy_neighbours(own, i, k, h))]
-                    yield pd.DataFrame(got, columns=[*WK, "m", "start", "rank", "nbr", "dist"])
-
-    return blocks(packed, m, cells).mapInPandas(run, "series_id string, attr_id int, m int, start long, rank int, nbr long, dist double")
-
-
-def subsequence_pairs(packed: DataFrame, m: int, max_dist: float, distance: str = "znormed_ed", slack: float = 0.5, cells: int = CELLS, step: int = 1) -> DataFrame:
-    """(keys, i, j, dist) of all pairs i < j of starts at multiples of `step` outside each other's zone with distance <= max_dist."""
+        held = key = None
+        for r, own, here, new in tiles(batches, lambda r: K.Windows(np.asarray(r.part, float), r.m, size)):
+            if new:
+                if held is not None:
+                    yield table(key, held.neighbours())
+                key, held = (r.series_id, r.attr_id, r.m), K.Nearest(int(r.lo), own.n, k, int(r.m * slack))
+            for lo in range(0, own.n, TILE):
+                rows = np.arange(lo, min(lo + TILE, own.n))
+                held.add(rows, K.tile_distances(own, rows, here, distance), int(r.c) * size)
+        if held is not None:
+            yield table(key, held.neighbours())
+
+    lengths = [m] if isinstance(m, int) else m
+    return strips(series, lengths, size=size).mapInPandas(run, "series_id string, attr_id int, m int, start long, rank int, nbr long, dist double")
+
+
+def subsequence_pairs(series: DataFrame, m: int, max_dist: float, distance: str = "znormed_ed", slack: float = 0.5, size: int = SIZE, step: int = 1) -> DataFrame:
+    """(keys, i, j, dist) of all pairs i < j of starts at multiples of `step` outside each other's zone with distance <= max_dist. series
+    is packed or a row for each value."""
+    h = max(int(m * slack), 1)
 
     def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                v, h = np.asarray(r.vals, float), int(m * slack)
-                stats = K.window_stats(v, m)
-                for lo in range(r.lo, r.hi, TILE):
-                    rows = np.arange(lo, min(lo + TILE, r.hi))
-                    if not len(rows := rows[rows % step == 0]):
-                        continue
-                    d = K.block_distances(v, m, rows, distance, stats)[:, ::step]
-                    i, j = np.nonzero((d <= max_dist) & (step * np.arange(d.shape[1])[None] >= np.maximum(rows + h, rows + 1)[:, None]))
-                    yield pd.DataFrame({"series_id": r.series_id, "attr_id": r.attr_id, "i": rows[i], "j": step * j, "dist": d[i, j]})
+        for r, own, here, _ in tiles(batches, lambda r: K.Windows(np.asarray(r.part, float), r.m, size)):
+            first, other = int(r.of) * size, int(r.c) * size
+            columns = np.flatnonzero((other + np.arange(here.n)) % step == 0)
+            for lo in range(0, own.n, TILE):
+                rows = np.arange(lo, min(lo + TILE, own.n))
+                if not len(rows := rows[(first + rows) % step == 0]):
+                    continue
+                d = K.tile_distances(own, rows, here, distance)[:, columns]
+                i, j = np.nonzero((d <= max_dist) & (other + columns[None] >= first + rows[:, None] + h))
+                yield pd.DataFrame({"series_id": r.series_id, "attr_id": r.attr_id, "i": first + rows[i], "j": other + columns[j], "dist": d[i, j]})
 
-    return blocks(packed, m, cells).mapInPandas(run, "series_id string, attr_id int, i long, j long, dist double")
+    return strips(series, [m], later_only=True, size=size).mapInPandas(run, "series_id string, attr_id int, i long, j long, dist double")
 
 
 def order_by_kth_distance(knn: DataFrame, k: int, bound: float | None = None) -> DataFrame:
@@ -78,45 +107,28 @@ def order_by_kth_distance(knn: DataFrame, k: int, bound: float | None = None) ->
     return kth.select(*WK, "m", "start", "dist", F.row_number().over(w).alias("place"))
 
 
-def similarity_pairs(packed: DataFrame, radius: int, least: float, skip: list[tuple[int, int]] | None = None, cells: int = CELLS) -> DataFrame:
+def similarity_pairs(series: DataFrame, radius: int, least: float, skip: list[tuple[int, int]] | None = None, size: int = SIZE) -> DataFrame:
     """(keys, i, j, similarity) of centred windows scaled to their own range: 1 / (1 + distance) >= least, i < j.
 
     Windows reach from i - radius to i + radius, less at the ends; pairs are compared over the shorter length. Centres in
-    the half-open `skip` regions stay out."""
+    the half-open `skip` regions stay out. series is packed or a row for each value."""
 
-    def window(v, i):
-        w = v[max(0, i - radius) : i + radius + 1]
-        return K.scaled(w, w[0])
+    def centred(r):
+        return K.Centred(np.asarray(r.part, float), min(int(r.c) * size, radius), radius, size)
 
     def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                v = np.asarray(r.vals, float)
-                full, n = 2 * radius + 1, len(v)
-                out = np.zeros(n, bool)
-                for a, b in skip or []:
-                    out[a:b] = True
-                w = np.zeros((n, full))
-                size = np.empty(n, int)
-                for i in range(n):
-                    x = window(v, i)
-                    w[i, : len(x)], size[i] = x, len(x)
-                sq = np.cumsum(w * w, axis=1)
-                edge = np.flatnonzero(size < full)
-                for lo in range(r.lo, r.hi, TILE):
-                    rows = np.arange(lo, min(lo + TILE, r.hi))
-                    d = sq[rows, -1][:, None] + sq[:, -1][None] - 2 * w[rows] @ w.T
-                    for j in edge:  # over the shorter length
-                        k = np.minimum(size[rows], size[j])
-                        d[:, j] = [((w[i, :x] - w[j, :x]) ** 2).sum() for i, x in zip(rows, k)]
-                    for a, i in enumerate(rows):
-                        if size[i] < full:
-                            d[a] = [((w[i, : min(size[i], s)] - w[j, : min(size[i], s)]) ** 2).sum() for j, s in enumerate(size)]
-                    s = 1 / (1 + np.sqrt(np.maximum(d, 0)))
-                    i, j = np.nonzero((s >= least) & (np.arange(n)[None] > rows[:, None]) & ~out[rows][:, None] & ~out[None])
-                    yield pd.DataFrame({"series_id": r.series_id, "attr_id": r.attr_id, "i": rows[i], "j": j, "similarity": s[i, j]})
-
-    return blocks(packed, 1, cells).mapInPandas(run, "series_id string, attr_id int, i long, j long, similarity double")
+        for r, own, here, _ in tiles(batches, centred):
+            first, other = int(r.of) * size, int(r.c) * size
+            i0, j0 = first + np.arange(own.n), other + np.arange(here.n)
+            out = lambda x: np.any([(x >= a) & (x < b) for a, b in skip or []] or [np.zeros(len(x), bool)], axis=0)
+            for lo in range(0, own.n, TILE):
+                rows = np.arange(lo, min(lo + TILE, own.n))
+                s = 1 / (1 + np.sqrt(np.maximum(own.distances(rows, here), 0)))
+                i, j = np.nonzero((s >= least) & (j0[None] > i0[rows][:, None]) & ~out(i0[rows])[:, None] & ~out(j0)[None])
+                yield pd.DataFrame({"series_id": r.series_id, "attr_id": r.attr_id, "i": i0[rows][i], "j": j0[j], "similarity": s[i, j]})
+
+    chunks = strips(series, [1], before=radius, extra=radius, later_only=True, size=size)
+    return chunks.mapInPandas(run, "series_id string, attr_id int, i long, j long, similarity double")
 
 
 def pair_motif(pairs: DataFrame) -> DataFrame:

@@ -94,5 +94,22 @@ def pack(series: DataFrame) -> DataFrame:
     return series.groupBy(*KEYS).agg(F.count("*").alias("n"), packed.alias("vals"))
 
 
+def chunks(series: DataFrame, size: int, *, before: int = 0, after: int = 0) -> DataFrame:
+    """(keys, c, lo, part): the values [c * size - before, (c + 1) * size + after) of each series, cut at its ends, in order; lo is c * size.
+    series is packed, or has a row for each value with t from 0 without gaps: then a value goes to the chunk it lies in and to
+    those whose halo it is in, and no row ever holds a whole series."""
+    if "vals" in series.columns:
+        cut = lambda c: F.struct(c.alias("c"), (c * size).alias("lo"), F.slice("vals", F.greatest(c * size - before, F.lit(0)) + 1, F.lit(size + after) + F.least(c * size, F.lit(before))).alias("part"))
+        some = series.where(F.size("vals") > 0).withColumn("_last", F.floor((F.size("vals") - 1) / size))
+        rows = some.select(*KEYS, F.inline(F.transform(F.sequence(F.lit(0), F.col("_last").cast("int")), cut)))
+        return rows.select(*KEYS, F.col("c").cast("long").alias("c"), F.col("lo").cast("long").alias("lo"), "part")
+    first, last = F.floor((F.col("t") - after) / size), F.floor((F.col("t") + before) / size)
+    near = F.sequence(F.greatest(first, F.lit(0)), last)
+    rows = series.select(*KEYS, "t", "v", F.explode(near).alias("c"))
+    part = F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"])
+    own = F.max((F.floor(F.col("t") / size) == F.col("c")).cast("int"))  # a chunk past the end would hold nothing but a halo
+    return rows.groupBy(*KEYS, "c").agg(part.alias("part"), own.alias("_own")).where("_own = 1").select(*KEYS, "c", (F.col("c") * size).alias("lo"), "part")
+
+
 def unpack(packed: DataFrame) -> DataFrame:
     return packed.select(*KEYS, F.posexplode("vals").alias("t", "v")).withColumn("t", F.col("t").cast("long"))

@@ -263,7 +263,7 @@ NEAR = {"znormed_ed": 6.0, "euclidean": 10800.0, "cosine": 0.559, "cid": 14500.0
 
 def _distances(kind, n):
     def run(spark, sf):
-        pairs = N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, NEAR[kind], kind)
+        pairs = N.subsequence_pairs(fx.event_series(spark, sf), 16, NEAR[kind], kind)
         return rounded(pairs.drop("attr_id"), "dist", n=n)
 
     return run
@@ -276,18 +276,18 @@ for _n, _k in (("j3_znormed_ed", "znormed_ed"), ("j4_euclidean", "euclidean"), (
 
 @query(distance_sql(EXPR["znormed_ed"]) + " SELECT series_id, i, j, round(dist, 4) AS dist FROM d WHERE dist <= 7.5")
 def j2_subsequence_pairs(spark, sf):
-    return rounded(N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 7.5).drop("attr_id"), "dist", n=4)
+    return rounded(N.subsequence_pairs(fx.event_series(spark, sf), 16, 7.5).drop("attr_id"), "dist", n=4)
 
 
 @query(distance_sql(EXPR["znormed_ed"]).replace("b.i >= a.i + 8", "(b.i >= a.i + 8 OR b.i < a.i - 8)") + " SELECT series_id, i AS start, round(min(dist), 4) AS dist FROM d GROUP BY ALL")
 def j1_subsequence_knn_nearest(spark, sf):
-    near = N.subsequence_knn(S.pack(fx.event_series(spark, sf)), 16, 2).where("rank = 1")
+    near = N.subsequence_knn(fx.event_series(spark, sf), 16, 2).where("rank = 1")
     return rounded(near.select("series_id", "start", "dist"), "dist", n=4)
 
 
 @query(sql.neighbours(20, 4) + " SELECT series_id, 0 AS attr_id, 20 AS m, start, CAST(rank AS INTEGER) AS rank, nbr, round(dist, 4) AS dist FROM nb")
 def j1_subsequence_knn(spark, sf):
-    return rounded(N.subsequence_knn(S.pack(fx.event_series(spark, sf)), 20, 4), "dist", n=4)
+    return rounded(N.subsequence_knn(fx.event_series(spark, sf), 20, 4), "dist", n=4)
 
 
 @query(f"""WITH {fx.ORDERS}, l AS (SELECT key, id, a AS at FROM oi WHERE id % 4 = 0), r AS (SELECT key, id AS occ_id, a AS t1 FROM oi WHERE id % 4 <> 0)
@@ -609,7 +609,7 @@ def a26_pair_motif(spark, sf):
 
 def _closest(spark, sf):
     """The closest pair of windows of 16 points in each series, by nearest neighbours."""
-    near = N.subsequence_knn(S.pack(fx.event_series(spark, sf)), 16, 2).where("rank = 1")
+    near = N.subsequence_knn(fx.event_series(spark, sf), 16, 2).where("rank = 1")
     return N.pair_motif(near.select(*WK, F.least("start", "nbr").alias("i"), F.greatest("start", "nbr").alias("j"), "dist").distinct())
 
 
@@ -625,7 +625,7 @@ tp AS (SELECT o.series_id, unnest([i, j]) AS p FROM o JOIN c ON c.series_id = o.
 hs AS (SELECT tp.series_id, p AS s FROM tp UNION SELECT o.series_id, CASE WHEN o.i = tp.p THEN o.j ELSE o.i END FROM o JOIN tp ON tp.series_id = o.series_id AND tp.p IN (o.i, o.j) JOIN c ON c.series_id = o.series_id WHERE o.dist <= 14 - c.md),
 """ + kept_sql("hs", "series_id") + """ SELECT kt.series_id, CAST(s AS BIGINT) AS start, round(c.md, 4) AS dist FROM kt JOIN c ON c.series_id = kt.series_id""")
 def a27_range_motif(spark, sf):
-    pairs = N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 14.0)
+    pairs = N.subsequence_pairs(fx.event_series(spark, sf), 16, 14.0)
     out = N.range_motif(pairs, 14.0, 16, _closest(spark, sf))
     return rounded(out.select("series_id", F.explode("motif").alias("start"), "dist"), "dist", n=4)
 
@@ -639,19 +639,19 @@ t AS (SELECT n.*, al.al, max(n) OVER (PARTITION BY n.series_id) AS most FROM n J
 u AS (SELECT *, min(start) OVER (PARTITION BY series_id) AS first FROM t WHERE n = most)
 SELECT series_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS matches, round(var, 4) AS var FROM u WHERE start = first OR al > most QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY var, start) = 1""")
 def a28_k_motifs(spark, sf):
-    pairs = N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 6.5)
+    pairs = N.subsequence_pairs(fx.event_series(spark, sf), 16, 6.5)
     return rounded(N.k_motifs(pairs, 6.5, 16).select("series_id", "start", F.size("matches").cast("long").alias("matches"), "var"), "var", n=4)
 
 
 @query()
 def a27_range_motif_ranged(spark, sf):
     """Sets for growing ranges, each without what lies near the ones before."""
-    return N.range_motif_ranged(N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 14.0), 14, 16).drop("attr_id")
+    return N.range_motif_ranged(N.subsequence_pairs(fx.event_series(spark, sf), 16, 14.0), 14, 16).drop("attr_id")
 
 
 @query()
 def a28_k_motifs_ranged(spark, sf):
-    pairs = N.subsequence_pairs(S.pack(fx.event_series(spark, sf)), 16, 7.0)
+    pairs = N.subsequence_pairs(fx.event_series(spark, sf), 16, 7.0)
     return N.k_motifs_ranged(pairs, 7, 16).drop("attr_id")
 
 
@@ -782,7 +782,7 @@ def t1_best_hypothesis(spark, sf):
 
 @query(sql.neighbours(20, 4) + " SELECT series_id, start, CAST(row_number() OVER (PARTITION BY series_id ORDER BY round(dist, 8), start) AS INTEGER) AS place FROM nb WHERE rank = 3 AND dist < 12.5")
 def t3_order_by_kth_distance(spark, sf):
-    near = N.subsequence_knn(S.pack(fx.event_series(spark, sf)), 20, 4)
+    near = N.subsequence_knn(fx.event_series(spark, sf), 20, 4)
     return N.order_by_kth_distance(near, 4, 12.5).select("series_id", "start", "place")
 
 
@@ -889,7 +889,7 @@ def f16_label_token(spark, sf):
 
 @query(sql.similarity(5, 0.6))
 def f18_similarity(spark, sf):
-    return rounded(N.similarity_pairs(S.pack(fx.event_series(spark, sf)), 5, 0.6).drop("attr_id"), "similarity", n=5)
+    return rounded(N.similarity_pairs(fx.event_series(spark, sf), 5, 0.6).drop("attr_id"), "similarity", n=5)
 
 
 # ---- ordered, greedy and iterative operators

@@ -44,10 +44,11 @@ def greedy(d, i, k, h):
     return taken
 
 
-def test_knn(packed):
+@pytest.mark.parametrize("size,long_form", [(4096, False), (13, False), (9, True), (5, False)])
+def test_knn(packed, size, long_form):
     m, k, h = 8, 4, 4
     got = {}
-    for r in N.subsequence_knn(packed, m, k).collect():
+    for r in N.subsequence_knn(S.unpack(packed) if long_form else packed, m, k, size=size).collect():
         got.setdefault((r.series_id, r.start), []).append((r["rank"], r.nbr, r.dist))
     for s in ("a", "b"):
         d = distances(WALKS[s], m)
@@ -165,9 +166,10 @@ def test_k_motiflets(packed):
                 assert abs(max(d[i][j] for i, j in itertools.combinations(got[s, k][1], 2)) - best) < 1e-6
 
 
-def test_similarity(packed):
+@pytest.mark.parametrize("size,long_form", [(4096, True), (13, False), (5, True), (2, False)])
+def test_similarity(packed, size, long_form):
     radius, least = 3, 0.45
-    got = {(r.series_id, r.i, r.j): r.similarity for r in N.similarity_pairs(packed, radius, least, skip=[(10, 20)]).collect()}
+    got = {(r.series_id, r.i, r.j): r.similarity for r in N.similarity_pairs(S.unpack(packed) if long_form else packed, radius, least, skip=[(10, 20)], size=size).collect()}
     want = {}
     for s, v in WALKS.items():
         w = []
@@ -309,6 +311,28 @@ def test_empty_series(spark, f):
     assert f(S.pack(spark.createDataFrame([], SERIES))).count() == 0
 
 
+@pytest.mark.parametrize("size", [7, 20, 64])
+def test_pairs_of_tiles(packed, size):
+    key = lambda r: (r.series_id, r.i, r.j)
+    whole = {key(r): r.dist for r in N.subsequence_pairs(packed, 8, 9.0, step=3).collect()}
+    for rows in (packed, S.unpack(packed)):
+        got = {key(r): r.dist for r in N.subsequence_pairs(rows, 8, 9.0, step=3, size=size).collect()}
+        assert got.keys() == whole.keys() and np.allclose([got[k] for k in whole], list(whole.values()), atol=1e-6)
+
+
+@pytest.mark.parametrize("before,after", [(0, 0), (3, 5), (0, 17), (9, 2)])
+def test_chunks(packed, before, after):
+    for rows in (packed, S.unpack(packed)):
+        got = {(r.series_id, r.c): (r.lo, list(r.part)) for r in S.chunks(rows, 8, before=before, after=after).collect()}
+        want = {(s, c): (8 * c, v[max(0, 8 * c - before) : 8 * c + 8 + after].tolist()) for s, v in WALKS.items() for c in range(-(-len(v) // 8))}
+        assert got == want
+
+
+def test_no_row_holds_a_series(spark):
+    rows = spark.range(5000).select(F.lit("s").alias("series_id"), F.lit(0).alias("attr_id"), F.col("id").alias("t"), F.sin("id").alias("v"))
+    assert N.strips(rows, [16], size=100).agg(F.max(F.size("part"))).first()[0] == 115
+
+
 def test_chain_in_spark(spark):
     rows = [(int(i % 3), int(a), int(b), i) for i, (a, b) in enumerate(R.integers(0, 9, (30, 2)))]
     got = {}

@@ -52,7 +52,7 @@ def test_knn_is_the_same_with_any_blocks(spark):
     data = [(k, 0, i, float(x + j)) for j, k in enumerate("ab") for i, x in enumerate(v)] + [("short", 0, 0, 1.0)]
     packed = S.pack(spark.createDataFrame(data, "series_id string, attr_id int, t long, v double"))
     cols = ("series_id", "start", "rank", "nbr")
-    one, many = (rows(N.subsequence_knn(packed, 10, 3, cells=c), *cols) for c in (10**9, 500))
+    one, many = (rows(N.subsequence_knn(packed, 10, 3, size=c), *cols) for c in (10**6, 37))
     assert one == many and not any(r[0] == "short" for r in one)
     h = 5
     for s, start, rank, nbr in one:
