@@ -11,8 +11,8 @@ Tokens without evidence all emit the same, so only tokens with evidence are visi
 of them is a power of one 2x2 matrix, by its two eigenvalues. That is exact, and a text costs what its evidence costs.
 
 It is fitted on at most FIT_ROWS labelled rows (a parameter; those with the smallest hash of doc_id) and at most `keys`
-words and beginnings (a parameter; those in most toxic rows). Of these rows the positions of evidence come to the driver,
-whole texts do not; scores cover all rows. Defined results: null and empty texts and texts without words get the score of no evidence; equal texts get equal
+words and beginnings (a parameter; those in most toxic rows). Of these rows the positions of evidence come to the driver, at most
+FIT_TOKENS in all (a parameter; a row that would go beyond it is not fitted), whole texts do not; scores cover all rows. Defined results: null and empty texts and texts without words get the score of no evidence; equal texts get equal
 scores; rows with equal or null ids a row each, ids as they are; labels with a null id or a null label are not used, nor are
 texts with a null id in fitting; extra columns are ignored; without any labelled row, or with labels of one kind only, all scores are that
 share of toxic rows (0 without rows).
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import beside, durable, read_table, values
 
-FIT_ROWS, THRESHOLD, STEPS = 12_000, 0.3, 40
+FIT_ROWS, FIT_TOKENS, THRESHOLD, STEPS = 12_000, 1 << 20, 0.3, 40
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -65,33 +65,37 @@ class ToxicModel:
         return np.array(at, np.int64), np.array([x[i] for i in at]), len(words)
 
     def marginals(self, at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-        """P(token is toxic) of the tokens with evidence, by forward-backward over them and powers of the plain step."""
+        """P(token is toxic) of the tokens with evidence, by forward-backward over them and powers of the plain step: of the largest
+        eigenvalue's share one, of the other's share its ratio to that, to the power of the plain tokens between."""
         if not len(at):
             return np.zeros(0)
-        bias, scale, up, down, stay = self.chain
+        bias, scale, up, down, stay = self.chain.tolist()
         move = np.array([[1.0, np.exp(up)], [np.exp(down), np.exp(stay)]])
-        plain = move * np.array([1.0, np.exp(bias)])[None, :]
-        values, vectors = np.linalg.eig(plain)
-        inverse = np.linalg.inv(vectors)
-        top = np.abs(values).max()
-
-        def power(k: int) -> np.ndarray:
-            return (vectors * (values / top) ** k) @ inverse
-
-        emit = np.stack((np.ones(len(at)), np.exp(np.clip(bias + scale * x, -30, 30))), axis=1)
-        ahead = np.empty((len(at), 2))
-        start = np.array([1.0, 0.0])  # before the text: plain
-        for k, (i, prev) in enumerate(zip(at.tolist(), [-1, *at[:-1].tolist()])):
-            start = (start @ power(i - prev - 1)) @ move * emit[k]
-            start = ahead[k] = start / start.sum()
-        after, out = power(n - 1 - int(at[-1])) @ np.ones(2), np.empty(len(at))
-        for k in range(len(at) - 1, -1, -1):
-            both = ahead[k] * after
-            out[k] = both[1] / both.sum()
-            if k:
-                after = power(int(at[k] - at[k - 1]) - 1) @ (move @ (emit[k] * after))
-                after = after / after.sum()
-        return np.clip(out, 0, 1)
+        values, vectors = np.linalg.eig(move * np.array([1.0, np.exp(bias)])[None, :])
+        order = np.argsort(-np.abs(values))
+        shares = [np.outer(vectors[:, k], np.linalg.inv(vectors)[k]) for k in order]
+        (p00, p01), (p10, p11) = shares[0].tolist()
+        (q00, q01), (q10, q11) = shares[1].tolist()
+        (m00, m01), (m10, m11) = move.tolist()
+        ratio = float(values[order[1]] / values[order[0]])
+        gaps = (ratio ** (np.diff(at, prepend=-1) - 1).astype(float)).tolist()
+        emit = np.exp(np.clip(bias + scale * x, -30, 30)).tolist()
+        ahead, s0, s1 = [], 1.0, 0.0  # before the text: plain
+        for r, e in zip(gaps, emit):
+            a, b = s0 * (p00 + r * q00) + s1 * (p10 + r * q10), s0 * (p01 + r * q01) + s1 * (p11 + r * q11)
+            s0, s1 = a * m00 + b * m10, (a * m01 + b * m11) * e
+            total = s0 + s1
+            s0, s1 = s0 / total, s1 / total
+            ahead.append((s0, s1))
+        r, out = ratio ** float(n - 1 - int(at[-1])), []
+        a0, a1 = p00 + p01 + r * (q00 + q01), p10 + p11 + r * (q10 + q11)
+        for (f0, f1), r, e in zip(reversed(ahead), reversed(gaps), reversed(emit)):
+            out.append(f1 * a1 / (f0 * a0 + f1 * a1))
+            b0, b1 = m00 * a0 + m01 * e * a1, m10 * a0 + m11 * e * a1
+            a0, a1 = (p00 + r * q00) * b0 + (p01 + r * q01) * b1, (p10 + r * q10) * b0 + (p11 + r * q11) * b1
+            total = a0 + a1
+            a0, a1 = a0 / total, a1 / total
+        return np.clip(np.array(out[::-1]), 0, 1)
 
     def features(self, m: np.ndarray, n: int) -> np.ndarray:
         return np.array([1.0, np.log1p(m.sum()), m.max(initial=0.0), 100 * m.sum() / max(50, n)])
@@ -112,25 +116,45 @@ class ToxicModel:
 
 @dataclass
 class TokenRows:
-    """Labelled token rows, by falling number of evidence tokens: plain tokens are known by their number only."""
+    """Labelled token rows end to end; plain tokens are known by their number only."""
 
-    gap: np.ndarray  # (rows, most): plain tokens between an evidence token and the one before it
-    x: np.ndarray  # (rows, most): evidence
-    count: np.ndarray  # evidence tokens of a row
-    rest: np.ndarray  # plain tokens after the last one
-    toxic: np.ndarray  # whether the row's evidence tokens have label 1; all other tokens have 0
+    gap: np.ndarray  # of an evidence token: plain tokens between it and the one before it
+    x: np.ndarray  # its evidence
+    row: np.ndarray  # its row, in rising order
+    toxic: np.ndarray  # whether its label is 1; all plain tokens have 0
+    rest: np.ndarray  # of a row: plain tokens after its last evidence token
 
     @classmethod
     def of(cls, tokens: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -> TokenRows:
-        order = sorted(range(len(tokens)), key=lambda i: -len(tokens[i][0]))
-        most = max(1, len(tokens[order[0]][0])) if order else 1
-        gap, x = np.zeros((len(order), most)), np.zeros((len(order), most))
-        count, rest = np.zeros(len(order), np.int64), np.zeros(len(order))
-        for r, i in enumerate(order):
-            at, own, n = tokens[i]
-            count[r], rest[r] = len(at), n - 1 - at[-1] if len(at) else n
-            gap[r, : len(at)], x[r, : len(at)] = np.diff(at, prepend=-1) - 1, own
-        return cls(gap, x, count, rest, np.asarray(toxic, bool)[order])
+        flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        gap = flat((np.diff(at, prepend=-1) - 1 for at, _, _ in tokens), float)
+        row = np.repeat(np.arange(len(tokens)), [len(at) for at, _, _ in tokens])
+        rest = np.array([n - 1 - at[-1] if len(at) else n for at, _, n in tokens], float)
+        return cls(gap, flat((x for _, x, _ in tokens), float), row, np.asarray(toxic, bool)[row], rest)
+
+    def size(self) -> float:
+        return len(self.x) + self.gap.sum() + self.rest.sum()
+
+    def products(self, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(first row of the product of each row's steps over its largest entry, log of that). A step is a 2x2 matrix, its entries in four
+        arrays. Neighbours are multiplied again and again, so a row of n steps takes log n rounds over all rows at once."""
+        out, logs = np.tile([1.0, 0.0], (len(self.rest), 1)), np.zeros(len(self.rest))
+        row, scale = self.row, np.zeros(len(self.row))
+        while len(row):
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            if len(first) == len(row):
+                out[row], logs[row] = np.stack(steps[:2], axis=1), scale
+                break
+            place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+            even = np.flatnonzero(place % 2 == 0)
+            single = np.append(row[1:] != row[:-1], True)[even]  # no neighbour left in its row
+            (a, b, c, d), (e, f, g, h) = ([x[k] for x in steps] for k in (even, np.minimum(even + 1, len(row) - 1)))
+            both = (a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h)
+            steps = [np.where(single, x, y) for x, y in zip((a, b, c, d), both)]
+            scale, row = scale[even] + np.where(single, 0.0, scale[np.minimum(even + 1, len(row) - 1)]), row[even]
+            top = np.maximum.reduce(steps)
+            steps, scale = [x / top for x in steps], scale + np.log(top)
+        return out, logs
 
     def likelihood(self, chain: np.ndarray) -> float:
         """Log likelihood of the labels of all tokens of all rows."""
@@ -139,27 +163,22 @@ class TokenRows:
         values, vectors = np.linalg.eig(move * np.array([1.0, np.exp(bias)])[None, :])
         inverse, top = np.linalg.inv(vectors), np.abs(values).max()
         ratio, deep = values / top, np.log(top)
-        ahead, z = np.tile([1.0, 0.0], (len(self.count), 1)), np.zeros(len(self.count))
-        for k in range(self.x.shape[1]):
-            n = int(np.searchsorted(-self.count, -k))  # rows with more than k evidence tokens stand in front
-            step = ((ahead[:n] @ vectors) * ratio[None, :] ** self.gap[:n, k, None]) @ inverse @ move
-            step[:, 1] *= np.exp(bias + scale * self.x[:n, k])
-            total = step.sum(axis=1)
-            ahead[:n], z[:n] = step / total[:, None], z[:n] + np.log(total) + self.gap[:n, k] * deep
-        last = (((ahead @ vectors) * ratio[None, :] ** self.rest[:, None]) @ inverse).sum(axis=1)
-        z += np.log(last) + self.rest * deep
-        own = (np.arange(self.x.shape[1])[None, :] < self.count[:, None]) & self.toxic[:, None]
-        follows = own & (self.gap == 0)
-        follows[:, :1] = False  # before the first token the state is plain
-        leaves = own & ~np.pad(follows[:, 1:], ((0, 0), (0, 1)))
-        leaves[np.arange(len(leaves)), np.maximum(self.count - 1, 0)] &= self.rest > 0
-        gold = (own * (bias + scale * self.x)).sum() + up * (own & ~follows).sum() + stay * follows.sum() + down * leaves.sum()
-        return float(gold - z.sum())
+        emit, powers, right = np.exp(bias + scale * self.x), [r**self.gap for r in ratio], inverse @ move
+        entry = lambda i, j: vectors[i, 0] * right[0, j] * powers[0] + vectors[i, 1] * right[1, j] * powers[1]
+        whole, logs = self.products([entry(0, 0), entry(0, 1) * emit, entry(1, 0), entry(1, 1) * emit])
+        after = ((vectors[None] * (ratio[None, :] ** self.rest[:, None])[:, None, :]) @ inverse).sum(axis=2)
+        z = np.log((whole * after).sum(axis=1)).sum() + logs.sum() + deep * (self.rest.sum() + self.gap.sum())  # before the text: plain
+        inside = np.concatenate(([False], self.row[1:] == self.row[:-1]))[: len(self.row)] & (self.gap == 0)
+        follows = self.toxic & inside  # right after an evidence token; the first token of a row comes after plain
+        last = np.concatenate((self.row[1:] != self.row[:-1], [True]))[: len(self.row)]
+        leaves = self.toxic & ~np.concatenate((inside[1:], [False]))[: len(self.row)] & (~last | (self.rest[self.row] > 0))
+        gold = (self.toxic * (bias + scale * self.x)).sum() + up * (self.toxic & ~follows).sum() + stay * follows.sum() + down * leaves.sum()
+        return float(gold - z)
 
 
 def fit_chain(rows: TokenRows, steps: int) -> np.ndarray:
     """Quasi-Newton steps on the mean log likelihood of a token, with a small pull to zero."""
-    n = max(1.0, rows.count.sum() + rows.rest.sum() + rows.gap.sum())
+    n = max(1.0, rows.size())
 
     def loss(c: np.ndarray) -> float:
         return -rows.likelihood(c) / n + 0.5e-6 * c @ c
@@ -221,7 +240,7 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "toxic int, key string")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, least_docs: int = 3, lift: float = 5.0, keys: int = 4096, steps: int = STEPS) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, tokens: int = FIT_TOKENS, least_docs: int = 3, lift: float = 5.0, keys: int = 4096, steps: int = STEPS) -> ToxicModel:
     """Learn evidence, chain and score from labelled rows."""
     train = durable(training_rows(docs, labels, rows), "toxic-train")
     counts = {int(r.toxic > 0): r.n for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
@@ -239,12 +258,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, least_docs:
             out = [model.active(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": [a for a, _, _ in out], "x": [x for _, x, _ in out], "n": [n for _, _, n in out]})
 
-    data = train.select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic int, at array<long>, x array<double>, n long").toPandas()
-    data = data.sort_values(["doc_id", "toxic", "n"], kind="stable").reset_index(drop=True)
+    data = train.select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic int, at array<long>, x array<double>, n long")
+    data = durable(data.withColumn("r", F.monotonically_increasing_id()), "toxic-evidence")
+    order, used, chosen = ["doc_id", "toxic", "n", "evidence"], 0, []
+    sizes = data.select("r", "doc_id", "toxic", "n", F.size("at").alias("evidence")).orderBy(F.xxhash64("doc_id"), *order).limit(rows).collect()
+    for r in sizes:  # a row that would go beyond the bound is left out as a whole
+        if used + r.evidence <= tokens:
+            used += r.evidence
+            chosen.append((r.r,))
+    picked = docs.sparkSession.createDataFrame(chosen, "r long")
+    data = data.join(F.broadcast(picked), "r").toPandas()  # at most `rows` rows and `tokens` positions
+    data = data.sort_values(["doc_id", "toxic", "n", "r"], kind="stable").reset_index(drop=True)
     y = (data["toxic"] > 0).to_numpy(float)
-    tokens = [(np.asarray(a, int), np.asarray(x, float), n) for a, x, n in zip(data["at"], data["x"], data["n"])]
-    model.chain = fit_chain(TokenRows.of(tokens, y), steps)
-    f = np.array([model.features(model.marginals(*t), t[2]) for t in tokens])
+    own = [(np.asarray(a, int), np.asarray(x, float), n) for a, x, n in zip(data["at"], data["x"], data["n"])]
+    model.chain = fit_chain(TokenRows.of(own, y), steps)
+    f = np.array([model.features(model.marginals(*t), t[2]) for t in own])
     model.score = fit_logistic(f, y)
     return model
 
