@@ -47,6 +47,13 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, made longer until no column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def partitions_of(df: DataFrame) -> int:
     """Input partitions of a plan, which grow with the data."""
     return max(1, df.rdd.getNumPartitions())

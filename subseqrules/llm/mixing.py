@@ -6,7 +6,8 @@ coprime to N), and maps each point through the cumulative slot counts of the sou
 once, each source gets exactly its number of slots, spread evenly. The r-th slot of a source takes its r-th block.
 
 Prefix sums and ranks are taken in two levels (buckets of a source, then rows of a bucket), so a source that holds most
-rows is spread over as many tasks as it has buckets.
+rows is spread over as many tasks as it has buckets. Buckets are ranges of a hash of id and text. The sources themselves, few by
+nature, are ranked in one task.
 
 Defined results: null or empty texts have size 0 and take nothing; a null source is a source of its own, after all
 others; rows with equal ids keep one output row each; an empty table gives an empty result.
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read_table, running_start, word_count
+from .common import durable, read_table, running_start, unused, word_count
 
 WEIGHTS, SHARE, REPEATS, BLOCK, BUCKET_ROWS, CHUNK = (3, 1, 2), 1.5, 2, 1024, 4096, 8192
 
@@ -54,13 +55,13 @@ def mix_sources(docs: DataFrame, *, weights=WEIGHTS, share=SHARE, repeats=REPEAT
     Columns: doc_id, source, size, source_size, target, bucket, seq (these two tell rows with equal ids apart), turn
     (0: first time through the source), slot (place in the mix), from_word, words, and those named in carry. A block has
     `block` words, more where the mix would have over 2^30 blocks, so that places fit 64 bits when they are multiplied."""
-    h = (F.col("doc_id") % 2147483647 * 1103515245 + 12345) % 2147483648
-    h = F.pmod(F.coalesce(h, F.xxhash64("text")), F.lit(2147483648))  # null ids are spread by their texts
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    h = F.conv(F.substring(F.md5(whole), 1, 8), 16, 10).cast("long")  # ids of any pattern, and equal ones, are spread
     base = durable(docs.select("doc_id", "source", word_count("text").alias("size"), h.alias("h"), *carry), "mix-sizes")
     n_docs, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(block, math.ceil(total * share / 2**30))
     buckets = max(1, -(-n_docs // bucket_rows))
-    base = base.withColumn("bucket", F.col("h") % buckets)
+    base = base.withColumn("bucket", F.shiftright(F.col("h") * buckets, 32))
 
     parts = durable(base.groupBy("source", "bucket").agg(F.sum("size").alias("part_size")), "mix-parts")
     src = source_targets(parts, weights=weights, share=share, repeats=repeats)
@@ -106,14 +107,15 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix with the columns they have: a row for each turn a document is taken in, its text cut after
     the words taken where the source's target ends inside it. docs has columns doc_id, text, source, n_chars; rows with null or equal ids are rows of their own."""
     columns = docs.columns
-    docs = durable(docs.withColumn("row", F.monotonically_increasing_id()), "mix-rows")  # written: the numbers stay
-    mix = mix_sources(docs, carry=["row"], **how).where("slot is not null")
-    taken = mix.groupBy("row", "turn").agg(F.sum("words").alias("words_"), F.max("size").alias("size_"))
-    out = docs.join(taken, "row")
+    row, words, size = (unused(c, columns) for c in ("row_", "words_", "size_"))
+    docs = durable(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")  # written: the numbers stay
+    mix = mix_sources(docs, carry=[row], **how).where("slot is not null")
+    taken = mix.groupBy(row, "turn").agg(F.sum("words").alias(words), F.max("size").alias(size)).drop("turn")
+    out = docs.join(taken, row)
     pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # each a word and the white space behind it
     lead = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
-    first = F.array_join(F.slice(pieces, 1, F.col("words_").cast("int") + lead), "")
-    out = out.withColumn("text", F.when(F.col("words_") < F.col("size_"), first).otherwise(F.col("text")))
+    first = F.array_join(F.slice(pieces, 1, F.col(words).cast("int") + lead), "")
+    out = out.withColumn("text", F.when(F.col(words) < F.col(size), first).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
 
 
@@ -125,16 +127,15 @@ def op1_mixing(spark, sf_dir):
 
 OP1_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-                  (coalesce(doc_id, 0) % 2147483647 * 1103515245 + 12345) % 2147483648 AS h FROM documents),
-nb AS (SELECT greatest(1, (count(*) + 4095) // 4096) AS nb FROM d),
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 8))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
 w AS (SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight, source_size * 2.0::DOUBLE AS most FROM s),
 v AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY most / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
 t AS (SELECT source, source_size, least(most, max(lv) OVER () * weight) AS target FROM v),
 o AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS quota,
-      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h % nb.nb, d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source CROSS JOIN nb)
+      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + size + source_size, quota) - start - source_size))::BIGINT AS taken FROM o
 """
