@@ -4,7 +4,7 @@ State is a folder of committed batches. A batch is a set of signed changes (+1 i
 delete of the old and an insert of the new), summed by (source, lang, tokenizer version) before it is written, so the
 state grows with batches times groups, never with documents. Totals are additive: the sum over committed batches.
 
-A commit is idempotent. A batch is written as one Parquet folder named by its id; then a mark, a table of one row, is
+A commit is idempotent. A batch is written as one Parquet folder named by a hash of its id; then a mark, a table of one row, is
 written, and only with its mark a batch counts. A batch with a mark is not applied again; one without is what a lost job
 left, and is overwritten. `compact` writes the sum of batches as a new batch whose mark names them: from then on they count
 through it only, and as their marks stay, a replay of one of them is without effect.
@@ -16,6 +16,8 @@ extra columns are ignored; batches that are named but not committed count nothin
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +30,19 @@ KEYS = ("source", "lang", "tokenizer")
 MARK, STATE = "batch string, folded array<string>", "source string, lang string, tokenizer string, docs long, tokens long"
 
 
-def marks(spark: SparkSession, folder: str, batch: str = "*") -> list:
-    """The marks (batch, folded) of committed batches, one small row for each."""
+def place(batch: str) -> str:
+    """The folder name of a batch: ids may hold any characters, paths not."""
+    return hashlib.sha256(batch.encode()).hexdigest()
+
+
+def marks(spark: SparkSession, folder: str, batch: str | None = None) -> list:
+    """The marks (batch, folded) of committed batches, or of one, one small row for each."""
     try:
-        return spark.read.schema(MARK).parquet(f"{folder}/marks/{batch}").distinct().collect()
-    except AnalysisException:  # no such path: nothing is committed
-        return []
+        return spark.read.schema(MARK).parquet(f"{folder}/marks/{'*' if batch is None else place(batch)}").distinct().collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []  # nothing is committed
 
 
 def changes(docs: DataFrame, tokenizer: str, tokens, sign: int = 1) -> DataFrame:
@@ -48,8 +57,8 @@ def commit(folder: str, batch: str, delta: DataFrame, folded: list[str] | None =
     if marks(spark, folder, batch):
         return False
     sums = delta.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-    sums.write.mode("overwrite").parquet(f"{folder}/batches/{batch}")
-    spark.createDataFrame([(batch, folded or [])], MARK).coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/{batch}")
+    sums.write.mode("overwrite").parquet(f"{folder}/batches/{place(batch)}")
+    spark.createDataFrame([(batch, folded or [])], MARK).coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/{place(batch)}")
     return True
 
 
@@ -58,7 +67,7 @@ def totals(spark: SparkSession, folder: str, batches: list[str] | None = None) -
     into another that counts too counts once."""
     named = [r for r in marks(spark, folder) if batches is None or r.batch in batches]
     within = {b for r in named for b in r.folded}
-    here = [f"{folder}/batches/{r.batch}" for r in named if r.batch not in within]
+    here = [f"{folder}/batches/{place(r.batch)}" for r in named if r.batch not in within]
     rows = spark.read.schema(STATE).parquet(*here) if here else spark.createDataFrame([], STATE)
     return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
