@@ -11,9 +11,12 @@ values may be of any length; equal values give equal results.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -91,11 +94,11 @@ def gif(b: bytes, at: int) -> int:
     return 0
 
 
-def jpeg(b: bytes, at: int) -> int:
+def jpeg(b: bytes, at: int, after: Callable[[bytes, int], int]) -> int:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         if b[p + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", p)
+            end = after(b"\xff\xd9", p)
             return end + 2 - at if end > 0 else 0
         if not 0xC0 <= b[p + 1] <= 0xFE:
             return 0
@@ -112,13 +115,13 @@ def bmp(b: bytes, at: int) -> int:
     return n if ok else 0
 
 
-def pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at) if b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at) > 0 else -1
+def pdf(b: bytes, at: int, after: Callable[[bytes, int], int]) -> int:
+    end = after(b"%%EOF", at) if b[at + 5 : at + 6].isdigit() and after(b"startxref", at) > 0 else -1
     return end + 5 - at if end > 0 else 0
 
 
-def zipped(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def zipped(b: bytes, at: int, after: Callable[[bytes, int], int]) -> int:
+    end = after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b) or len(b) - at < 30:
         return 0
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
@@ -149,7 +152,24 @@ def gzipped(b: bytes, at: int) -> int:
     return 0
 
 
-VALID = {"audio/wav": wav, "image/png": png, "image/gif": gif, "image/jpeg": jpeg, "image/bmp": bmp, "application/pdf": pdf, "application/zip": zipped, "audio/ogg": ogg, "application/gzip": gzipped}
+VALID = {"audio/wav": wav, "image/png": png, "image/gif": gif, "image/bmp": bmp, "audio/ogg": ogg, "application/gzip": gzipped}
+#: These look for an end mark behind the magic bytes.
+SEEKING = {"image/jpeg": jpeg, "application/pdf": pdf, "application/zip": zipped}
+
+
+class Marks:
+    """Where marks are in a value: each kind is looked for once, however many hits ask for it."""
+
+    def __init__(self, value: bytes):
+        self.value, self.known = value, {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place from `at` on, -1 if there is none."""
+        if mark not in self.known:
+            self.known[mark] = array("q", (m.start() for m in re.finditer(re.escape(mark), self.value)))
+        places = self.known[mark]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
 
 
 @cache
@@ -166,10 +186,11 @@ def automaton():
 def media_in(value: bytes | None) -> list[tuple[str, int, int]]:
     """(type, offset, length) of every valid medium in the value, by offset."""
     value = value or b""
-    found = []
+    found, marks = [], Marks(value)
     for end, (size, kind) in automaton().iter(value.decode("latin-1")):
-        if n := VALID[kind](value, end + 1 - size):
-            found.append((kind, end + 1 - size, n))
+        at = end + 1 - size
+        if n := VALID[kind](value, at) if kind in VALID else SEEKING[kind](value, at, marks.after):
+            found.append((kind, at, n))
     return sorted(found, key=lambda x: (x[1], -x[2]))
 
 
@@ -211,16 +232,17 @@ def store_texts(docs: DataFrame, folder: str) -> None:
     docs.select("doc_id", F.lit(OTHER).alias("declared"), n.alias("n_bytes"), media.alias("media")).write.option("compression", "zstd").parquet(folder)
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, media_type string, wrong_type boolean, n_embedded long"
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """What the stored bytes hold, read back through the sniffer and the validators."""
+    """What the stored bytes hold, read back through the sniffer and the validators: the type found beside the declared one, and how
+    many media are embedded in what was stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, n, b in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), values(batch["media"])):
+            for i, n, said, b in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), batch["declared"].to_pylist(), values(batch["media"])):
                 found = media_in(b)
                 if not found or found[0][:2] != ("audio/wav", 0):
                     raise ValueError(f"the stored medium of document {i} is damaged")
@@ -229,11 +251,11 @@ def media_features(stored: DataFrame) -> DataFrame:
                 x = np.frombuffer(payload, np.uint8)
                 crossings = int(np.count_nonzero(np.diff(x >= 128)))
                 text = f"{found[0][0]};rate={RATE};samples={size};sum={int(x.sum(dtype=np.int64))};crossings={crossings};embedded={len(found) - 1}"
-                rows.append((i, n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(b), hashlib.sha256(b).hexdigest(), text))
+                rows.append((i, n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(b), hashlib.sha256(b).hexdigest(), text, said, found[0][0], said != found[0][0], len(found) - 1))
             names = [c.split()[0] for c in FEATURES.split(", ")][2:]
             yield beside(batch, ["doc_id", "n_bytes"], **dict(zip(names, zip(*[r[2:] for r in rows]))))
 
-    return stored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "media").mapInArrow(run, FEATURES)
+    return stored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "declared", "media").mapInArrow(run, FEATURES)
 
 
 def op3_media(spark, sf_dir):

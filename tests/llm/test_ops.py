@@ -139,7 +139,7 @@ def test_media(docs, none, tmp_path):
     media.store_texts(docs, f"file://{tmp_path}/m")
     got = sorted(tuple(r) for r in media.media_features(docs.sparkSession.read.parquet(f"file://{tmp_path}/m")).collect())
     assert len(got) == len(ROWS)
-    for i, n, size, sha, tail, stored, _, feature in got:
+    for i, n, size, sha, tail, stored, _, feature, *_ in got:
         fits = [p for j, t, *_ in ROWS if j == i and len(b := (t or "").encode()) == n for p in [b + b"\xff" * (-len(b) % 576 if b else 576)]]
         assert any((size, sha, tail, stored) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(p) + 44) for p in fits)
         assert feature.startswith("audio/wav")
