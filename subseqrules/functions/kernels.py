@@ -269,6 +269,46 @@ def least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(np.concatenate((np.ones((*x.shape[:-1], 1)), x), axis=-1)) @ y
 
 
+def from_moments(means: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Least squares (1 + features, targets), intercept first, of minimum norm, from the means of features and targets and the
+    centred products of the features with all of them."""
+    n = len(cross)
+    xx, xy = cross[:, :n], cross[:, n:]
+    size = np.sqrt(np.maximum(np.diag(xx), 0))
+    scale = np.where(size > 1e-13 * np.maximum(1, np.abs(means[:n])), size, 0.0)
+    inside = np.divide(1, scale, out=np.zeros(n), where=scale > 0)
+    values, vectors = np.linalg.eigh(xx * np.outer(inside, inside))
+    good = values > 1e-12 * max(values.max(initial=0), 1e-300)
+    if good.all():
+        b = inside[:, None] * (vectors / values) @ vectors.T @ (inside[:, None] * xy)
+        return np.vstack((means[n:] - means[:n] @ b, b))
+    kept = (inside[:, None] * vectors[:, good] / np.sqrt(values[good])).T if good.any() else np.zeros((0, n))
+    b = kept.T @ (kept @ xy)  # one solution; to it what no feature can tell apart, as the norm wants it
+    basis = np.linalg.svd((scale[:, None] * vectors[:, good]).T, full_matrices=True)[2][good.sum() :].T
+    b = b - basis @ (basis.T @ b)
+    v = basis.T @ means[:n]
+    b = b + np.outer(basis @ v, (means[n:] - means[:n] @ b) / (1 + v @ v))
+    return np.vstack((means[n:] - means[:n] @ b, b))
+
+
+def orbit(t: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """For each of the ascending places t the next one taken after it, the first at or beyond its reach; len(t) if there is none."""
+    return np.maximum(np.searchsorted(t, reach), np.arange(1, len(t) + 1))
+
+
+def orbit_exits(t: np.ndarray, reach: np.ndarray, until: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What becomes of a greedy pick that enters these places at `until` or before: (place it enters by, reach of the last one taken, how
+    many are taken) for each place up to the first one from `until` on; entries next to each other that end alike are one, the last."""
+    follow, out, count = orbit(t, reach).tolist(), reach.tolist(), [1] * len(t)
+    for i in range(len(t) - 1, -1, -1):
+        if (j := follow[i]) < len(t):
+            out[i], count[i] = out[j], count[j] + 1
+    n = min(len(t), int(np.searchsorted(t, until)) + 1)
+    t, out, count = t[:n], np.array(out[:n], np.int64), np.array(count[:n], np.int64)
+    last = np.flatnonzero(np.append((out[1:] != out[:-1]) | (count[1:] != count[:-1]), True)) if n else np.zeros(0, int)
+    return t[last], out[last], count[last]
+
+
 def elbow_points(d: np.ndarray, alpha: float = 2.0, deviation: float = 1.0) -> list[int]:
     """Places k where the extent function bends up most; each takes its neighbours with it; [2] if there is none."""
     n, peaks = len(d), np.zeros(len(d))

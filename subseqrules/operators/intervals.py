@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
+from ..session import durable
+
 
 def mask_to_intervals(points: DataFrame, keys: list[str], mask: Column) -> DataFrame:
     """(keys, a, b) of the runs of consecutive t where mask is true."""
@@ -39,8 +44,8 @@ def subtract_intervals(ranges: DataFrame, blocked: DataFrame, keys: list[str]) -
 def longest_free_run(ranges: DataFrame, blocked: DataFrame, keys: list[str], least: int) -> DataFrame:
     """The longest free part of each range, the earliest on ties, and whether it is shorter than `least`."""
     free = subtract_intervals(ranges, blocked, keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.col("b") - F.col("a")), "a")
-    top = free.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    top = free.groupBy(*keys).agg(F.max(F.struct((F.col("b") - F.col("a")).alias("_n"), (-F.col("a")).alias("_a"))).alias("_t"))
+    top = top.select(*keys, (-F.col("_t._a")).alias("a"), (F.col("_t._n") - F.col("_t._a")).alias("b"))
     return top.withColumn("too_short", F.col("b") - F.col("a") < least)
 
 
@@ -81,6 +86,67 @@ def greedy_starts(starts: Column, gap: float | int, strict: bool) -> Column:
     return F.aggregate(F.array_sort(starts), zero, lambda acc, x: F.when((F.size(acc) == 0) | far(x, F.element_at(acc, -1)), F.concat(acc, F.array(x))).otherwise(acc))
 
 
+def _exits(t: pd.Series, reach: pd.Series, until: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([[x.tolist() for x in K.orbit_exits(np.asarray(a, np.int64), np.asarray(b, np.int64), c)] for a, b, c in zip(t, reach, until)], columns=["last", "out", "count"])
+
+
+def _entries(parts: pd.Series) -> pd.Series:
+    """From the exits of all chunks of a key, in order, where the pick enters each and how many are taken before it."""
+
+    def walk(chunks):
+        out, at, taken = [], -(2**63), 0
+        for c in chunks:
+            last = c["s"]["last"]
+            j = int(np.searchsorted(last, at))
+            if j < len(last):
+                out.append({"chunk": c["_c"], "entry": at, "base": taken})
+                at, taken = int(c["s"]["out"][j]), taken + int(c["s"]["count"][j])
+        return out
+
+    return parts.map(walk)
+
+
+def _picks(t: pd.Series, reach: pd.Series, entry: pd.Series) -> pd.Series:
+    def walk(t, reach, at):
+        t = np.asarray(t, np.int64)
+        follow, out, i = K.orbit(t, np.asarray(reach, np.int64)).tolist(), [], int(np.searchsorted(t, at))
+        while i < len(t):
+            out.append(i)
+            i = follow[i]
+        return out
+
+    return pd.Series([walk(*x) for x in zip(t, reach, entry)], dtype=object)
+
+
+def greedy_rows(rows: DataFrame, keys: list[str], order: list[str], gap: Column, width: int = 1 << 16) -> DataFrame:
+    """The rows that an ascending pick takes of each key, and their number `place` from 0: the first in `order` (a whole-numbered column
+    first), then always the next that is at least `gap` after the last one taken.
+
+    A pick depends on what came before only by how far the last one reaches, so chunks of `width` are solved apart: each says how a pick
+    leaves it for every way to enter; these short tables are followed in order for each key, and then each chunk
+    takes its rows. Long keys are many tasks, and no chunk holds more than the rows of `width` places. Null keys are a key; rows
+    with a null place or gap are left out; equal rows are taken at most once unless the gap is 0."""
+    at = F.col(order[0]).cast("long")
+    rows = rows.withColumn("_at", at).withColumn("_reach", at + gap.cast("long")).where("_at is not null and _reach is not null")
+    item = F.struct(*order, "_at", "_reach", F.struct(*[c for c in rows.columns if c not in ("_at", "_reach")]).alias("row"))
+    chunks = rows.groupBy(*keys, F.floor(F.col("_at") / width).alias("_c")).agg(F.array_sort(F.collect_list(item)).alias("x"), F.max(F.col("_reach") - F.col("_at")).alias("_g"))
+    chunks = durable(chunks, "greedy-chunks")
+    chunks = chunks.crossJoin(F.broadcast(chunks.agg(F.greatest(F.max("_g"), F.lit(0)).alias("_top"))))  # one row
+    leave = F.pandas_udf(_exits, "last array<bigint>, out array<bigint>, count array<bigint>")
+    enter = F.pandas_udf(_entries, "array<struct<chunk: bigint, entry: bigint, base: bigint>>")
+    pick = F.pandas_udf(_picks, "array<int>")
+    t, reach = F.transform("x", lambda e: e["_at"]), F.transform("x", lambda e: e["_reach"])
+    exits = chunks.select(*keys, "_c", leave(t, reach, F.col("_c") * width + F.col("_top")).alias("s"))
+    ways = exits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "s"))).alias("parts"))
+    ways = ways.select(*[F.col(k).alias(f"_{k}") for k in keys], F.inline(enter("parts")))
+    same = F.col("_c") == F.col("chunk")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    found = chunks.join(ways, same).withColumn("picks", pick(t, reach, F.col("entry")))
+    found = found.select("base", "x", F.posexplode("picks").alias("_p", "_i")).select((F.col("base") + F.col("_p")).alias("place"), F.get("x", F.col("_i"))["row"].alias("row"))
+    return found.select("row.*", "place")
+
+
 def filter_close_starts(starts: Column, m: int, minimum_interval: float = 1.0) -> Column:
     return greedy_starts(starts, int(m * minimum_interval), strict=False)
 
@@ -93,13 +159,15 @@ def companion_join(first: DataFrame, others: DataFrame, coef: DataFrame, width:
     """Extend each first-side occurrence (occ_id, t1) by one occurrence of every other side (pos, occ_id, t1, delta): the side's
     start is predicted as slope * t1 + intercept (coef: pos, slope, intercept) and the occurrence that overlaps
     [start, start + delta) longest is taken; a first occurrence that lacks any side goes. Returns (occ_id, occs)."""
-    pred = first.select(F.col("occ_id").alias("pred_id"), "t1").crossJoin(F.broadcast(coef))  # a row for each other side
+    sides = coef.count()
+    if sides > 1000:
+        raise ValueError("a rule has at most 1000 sides")
     length = others.groupBy("pos").agg(F.max("delta").alias("_len"))
+    coef = coef.join(length, "pos")  # a row for each other side
     start = F.rint(F.col("slope") * F.col("t1") + F.col("intercept")).cast("long")
-    pred = pred.join(F.broadcast(length), "pos").select("pos", "pred_id", start.alias("a"), (start + F.col("_len")).alias("b"))
+    pred = first.select(F.col("occ_id").alias("pred_id"), "t1").crossJoin(F.broadcast(coef)).select("pos", "pred_id", start.alias("a"), (start + F.col("_len")).alias("b"))
     occ = others.select("pos", "occ_id", F.col("t1").alias("c"), (F.col("t1") + F.col("delta")).alias("d"))
     found = max_overlap_join(pred, occ, ["pos"], width)
-    sides = coef.select("pos").distinct().count()
     got = found.groupBy("pred_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "occ_id"))), lambda x: x["occ_id"]).alias("rest"), F.count("*").alias("_n"))
     return got.where(F.col("_n") == sides).select(F.col("pred_id").alias("occ_id"), F.concat(F.array("pred_id"), "rest").alias("occs"))
 

@@ -141,12 +141,14 @@ def scan_occurrences(packed: DataFrame, classes: DataFrame, forbidden: DataFrame
     """Occurrences of each class: per free start the longest delta that fits, then an ascending sweep of those that don't overlap.
 
     Chunks of starts carry the values up to delta_hi beyond them and the forbidden intervals that meet them."""
-    rows = packed.join(classes, WK).withColumn("lo", F.explode(F.sequence(F.lit(0), F.size("vals") - 1, F.lit(chunk))))
-    rows = rows.withColumn("part", F.slice("vals", F.col("lo") + 1, F.lit(chunk) + F.col("delta_hi")))
+    most = F.col("delta_hi")  # slices first: no copy of a series is made for each of its chunks
+    parts = F.transform(F.sequence(F.lit(0), F.size("vals") - 1, F.lit(chunk)), lambda lo: F.struct(lo.alias("lo"), F.slice("vals", lo + 1, F.lit(chunk) + most).alias("part")))
+    rows = packed.where(F.size("vals") > 0).join(classes, WK)
+    rows = rows.select(*[c for c in rows.columns if c != "vals"], F.inline(parts))
     gaps = forbidden.groupBy(*WK).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gaps"))
     rows = rows.join(gaps, WK, "left").withColumn("gaps", F.filter("gaps", lambda g: (g["b"] > F.col("lo")) & (g["a"] < F.col("lo") + chunk)))
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.drop("vals").repartition(n, *WK, "class_id", "lo")
+    rows = rows.repartition(n, *WK, "class_id", "lo")
 
     def run(batches):
         for pdf in batches:
@@ -167,19 +169,12 @@ def spaced(starts, gap):
     return I.greedy_starts(starts, F.floor(gap), False)
 
 
-def sweep(found: DataFrame, keys: list[str], minimum_interval: float = 1.0) -> DataFrame:
-    """Ascending: keep a start at least int(delta * minimum_interval) + 1 after the last kept; occ_id numbers the kept."""
-    items = F.array_sort(F.collect_list(F.struct("t1", "delta", "lam")))
-    rows = found.groupBy(*keys).agg(items.alias("x"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        free = (F.size(acc) == 0) | (x["t1"] >= last["t1"] + F.floor(last["delta"] * F.lit(float(minimum_interval))) + 1)
-        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
-
-    kept = F.aggregate("x", F.slice("x", 1, 0), step)
-    out = rows.select(*keys, F.posexplode(kept).alias("occ_id", "o"))
-    return out.select(*keys, "occ_id", "o.t1", "o.delta", "o.lam")
+def sweep(found: DataFrame, keys: list[str], minimum_interval: float = 1.0, width: int = 1 << 16) -> DataFrame:
+    """Ascending: keep a start at least int(delta * minimum_interval) + 1 after the last kept; occ_id numbers the kept. Chunks of `width`
+    starts are swept apart."""
+    gap = F.floor(F.col("delta") * F.lit(float(minimum_interval))) + 1
+    kept = I.greedy_rows(found.select(*keys, "t1", "delta", "lam"), keys, ["t1", "delta", "lam"], gap, width)
+    return kept.select(*keys, F.col("place").cast("int").alias("occ_id"), "t1", "delta", "lam")
 
 
 def fit_motif_class(packed: DataFrame, motifs: DataFrame, cfg: MiningConfig) -> DataFrame:

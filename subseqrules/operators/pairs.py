@@ -78,25 +78,29 @@ def ordered_chain(rows: DataFrame, keys: list[str], positions: list[str], order:
 
 
 def multi_output_lstsq(rows: DataFrame, keys: list[str], features: list[str], targets: list[str]) -> DataFrame:
-    """(keys, coef): for each target its intercept and the weights of the features, of minimum norm."""
+    """(keys, coef): for each target its intercept and the weights of the features, of minimum norm. Means and centred products are
+    added up in Spark, so no group of rows is in one task; a key's own small system is solved at the end. Rows with a null among
+    the columns named are left out."""
+    rows = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in [*features, *targets]]).dropna(subset=[*features, *targets])
+    n, both = len(features), [*features, *targets]
+    means = F.array(*[F.avg(c) for c in both]).alias("means")
+    cross = F.array(*[F.covar_pop(f, c) for f in features for c in both]).alias("cross")  # merged as deviations from means
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c = K.least_squares(pdf[features].to_numpy(float), pdf[targets].to_numpy(float))
-        return pd.DataFrame([[*key, c.T.tolist()]], columns=[*keys, "coef"])
+    def run(batches):
+        for pdf in batches:
+            coef = [K.from_moments(np.array(m), np.array(c).reshape(n, -1)).T.tolist() for m, c in zip(pdf["means"], pdf["cross"])]
+            yield pdf[keys].assign(coef=coef)
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, coef array<array<double>>")
+    return rows.groupBy(*keys).agg(means, cross).mapInPandas(run, f"{kinds}, coef array<array<double>>")
 
 
 def poly_fit(rows: DataFrame, keys: list[str], degree: int = 3, y: str = "y", x: str = "x") -> DataFrame:
     """(keys, coef): least squares of y on the powers of x, lowest first."""
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.vander(pdf[x].to_numpy(float), degree + 1, increasing=True)
-        return pd.DataFrame([[*key, np.linalg.lstsq(v, pdf[y].to_numpy(float), rcond=None)[0].tolist()]], columns=[*keys, "coef"])
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, coef array<double>")
+    powers = [F.pow(F.col(x).cast("double"), F.lit(k)).alias(f"_x{k}") for k in range(1, degree + 1)]
+    own = rows.select(*keys, *powers, F.col(y).alias("_y"))
+    fit = multi_output_lstsq(own, keys, [f"_x{k}" for k in range(1, degree + 1)], ["_y"])
+    return fit.withColumn("coef", F.get("coef", F.lit(0)))
 
 
 def start_col_fit(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["series_id", "attr_id"]
 
 
+CHUNK = 1 << 16
+
+
 def by_key(df: DataFrame, *order: str):
     return Window.partitionBy(*[c for c in KEYS if c in df.columns]).orderBy(*(order or ("t",)))
 
@@ -41,17 +44,31 @@ def stride(series: DataFrame, factor: int) -> DataFrame:
     return series.where(F.col("t") % factor == 0).withColumn("t", F.floor(F.col("t") / factor))
 
 
+def with_statistics(rows: DataFrame, **stats: Column) -> DataFrame:
+    """rows with aggregates of their series beside them. Series of more than a thousandth of all rows, a thousand of them at most, are
+    broadcast and so stay where they are; the others meet their statistics by sort and merge. No task holds a whole long series."""
+    keys = [c for c in KEYS if c in rows.columns]
+    table = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(F.count("*").alias("_n"), *[v.alias(k) for k, v in stats.items()])
+    all_rows = table.agg((F.sum("_n") / 1000).alias("_most"))  # one row
+    table = table.join(F.broadcast(all_rows), F.lit(True))
+    hot, cold = F.broadcast(table.where("_n > _most")), table.where("_n <= _most")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    names = [*rows.columns, *stats]
+    return rows.join(hot, same).select(names).unionByName(rows.join(hot, same, "left_anti").join(cold.hint("merge"), same).select(names))
+
+
 def downsample_to(series: DataFrame, target_n: int) -> DataFrame:
     """Every i-th point, i = n // target_n where n is over it."""
-    rows = series.withColumn("_f", F.greatest(F.lit(1), F.floor(F.count("*").over(whole(series)) / target_n)))
+    rows = with_statistics(series, _f=F.greatest(F.lit(1), F.floor(F.count("*") / target_n)))
     return rows.where(F.col("t") % F.col("_f") == 0).withColumn("t", F.floor(F.col("t") / F.col("_f"))).drop("_f")
 
 
 def zscore(series: DataFrame) -> DataFrame:
     """Population z-score of each series; flat ones become 0."""
-    w = whole(series)
-    sd = F.stddev_pop("v").over(w)
-    return series.withColumn("v", F.when(sd == 0, 0.0).otherwise((F.col("v") - F.avg("v").over(w)) / sd))
+    rows = with_statistics(series, _mean=F.avg("v"), _sd=F.stddev_pop("v"))
+    return rows.withColumn("v", F.when(F.col("_sd") == 0, 0.0).otherwise((F.col("v") - F.col("_mean")) / F.col("_sd"))).drop("_mean", "_sd")
 
 
 def paa(series: DataFrame, size: int) -> DataFrame:
@@ -60,17 +77,21 @@ def paa(series: DataFrame, size: int) -> DataFrame:
     return series.groupBy(*keys, F.floor(F.col("t") / size).alias("segment")).agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
 
 
-def sliding(series: DataFrame, m: int) -> DataFrame:
-    """For each full window of m points from t: mean, std (under 1e-4: 0.1), sumsq and complexity (sum of squared steps)."""
-    w = by_key(series)
+def sliding(series: DataFrame, m: int, chunk: int = CHUNK) -> DataFrame:
+    """For each full window of m points from t: mean, std (under 1e-4: 0.1), sumsq and complexity (sum of squared steps). t rises by
+    one from point to point; a run of `chunk` windows with its m - 1 points behind is a partition, so one series is many tasks."""
+    keys = [c for c in KEYS if c in series.columns]
+    here = F.floor(F.col("t") / chunk)
+    rows = series.withColumn("_c", F.explode(F.sequence(F.floor((F.col("t") - (m - 1)) / chunk), here)))
+    w = Window.partitionBy(*keys, "_c").orderBy("t")
     full, inner = w.rowsBetween(0, m - 1), w.rowsBetween(0, max(0, m - 2))
-    rows = series.withColumn("_step", F.lead("v").over(w) - F.col("v"))
+    rows = rows.withColumn("_step", F.lead("v").over(w) - F.col("v"))
     sd = F.stddev_pop("v").over(full)
     rows = rows.select(
-        *[c for c in KEYS if c in series.columns], "t", F.count("*").over(full).alias("_n"), F.avg("v").over(full).alias("mean"),
+        *keys, "t", "_c", F.count("*").over(full).alias("_n"), F.avg("v").over(full).alias("mean"),
         F.when(sd < 1e-4, 0.1).otherwise(sd).alias("std"), F.sum(F.col("v") * F.col("v")).over(full).alias("sumsq"),
         (F.sum(F.col("_step") ** 2).over(inner) if m > 1 else F.lit(0.0)).alias("complexity"))
-    return rows.where(F.col("_n") == m).drop("_n")
+    return rows.where((F.col("_n") == m) & (F.col("_c") == here)).drop("_n", "_c")
 
 
 def amplitude(series: DataFrame) -> DataFrame:
@@ -79,13 +100,14 @@ def amplitude(series: DataFrame) -> DataFrame:
 
 def clip_percentile(series: DataFrame, p: float) -> DataFrame:
     """Values capped at their series' p quantile."""
-    return series.withColumn("v", F.least("v", F.percentile("v", F.lit(p)).over(whole(series))))
+    rows = with_statistics(series, _top=F.percentile("v", F.lit(p)))
+    return rows.withColumn("v", F.least("v", "_top")).drop("_top")
 
 
 def clip_two_sided(series: DataFrame, r: float) -> DataFrame:
     """Values held between the quantiles r and 1 - r."""
-    w = whole(series)
-    return series.withColumn("v", F.greatest(F.least("v", F.percentile("v", F.lit(1 - r)).over(w)), F.percentile("v", F.lit(r)).over(w)))
+    rows = with_statistics(series, _low=F.percentile("v", F.lit(r)), _top=F.percentile("v", F.lit(1 - r)))
+    return rows.withColumn("v", F.greatest(F.least("v", "_top"), "_low")).drop("_low", "_top")
 
 
 def pack(series: DataFrame) -> DataFrame:
