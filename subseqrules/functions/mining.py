@@ -10,10 +10,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from . import kernels as K
 
 
-def set_extent(v: np.ndarray, m: int, starts: np.ndarray, kind: str) -> np.ndarray:
-    """extent[k - 1]: the largest distance among the first k starts."""
-    w = np.stack([v[s : s + m] for s in starts])
-    n = len(starts)
+def set_distances(w: np.ndarray, kind: str) -> np.ndarray:
+    """Distances between the windows in the rows of w; the diagonal is -inf."""
+    m = w.shape[1]
     mean, std, sq = w.mean(axis=1), w.std(axis=1), (w * w).sum(axis=1)
     std = np.where(std < 1e-4, 0.1, std)
     dot = w @ w.T
@@ -29,6 +28,17 @@ def set_extent(v: np.ndarray, m: int, starts: np.ndarray, kind: str) -> np.ndarr
             hi, lo = np.maximum(c[:, None], c), np.minimum(c[:, None], c)
             d = d * np.where(lo > 0, hi / np.where(lo > 0, lo, 1), np.where(hi > 0, np.inf, 1.0))
     np.fill_diagonal(d, -np.inf)
+    return d
+
+
+def extent_of(w: np.ndarray, kind: str) -> float:
+    """The largest distance among the windows in the rows of w."""
+    return float(set_distances(w, kind).max()) if len(w) > 1 else 0.0
+
+
+def set_extent(v: np.ndarray, m: int, starts: np.ndarray, kind: str) -> np.ndarray:
+    """extent[k - 1]: the largest distance among the first k starts."""
+    d, n = set_distances(np.stack([v[s : s + m] for s in starts]), kind), len(starts)
     top = np.maximum.accumulate(np.array([d[i, :i].max() if i else -np.inf for i in range(n)]))
     return np.where(np.isfinite(top) | (np.arange(n) > 0), top, 0.0)
 

@@ -47,30 +47,49 @@ def mask_forbidden(knn: DataFrame, forbidden: DataFrame) -> DataFrame:
     return knn.join(first, [*WK, "m", "start"], "left").where("_cut is null or rank < _cut").drop("_cut")
 
 
-def k_motiflets(packed: DataFrame, knn: DataFrame, k_max: int, slack: float = 0.5, distance: str = "znormed_ed", block: int = 2048) -> DataFrame:
-    """(keys, m, k, extent, kth_dist, start, members): for each k the anchor whose first k neighbours have the least extent, then the
-    nearest k-th one, then the first start; distances count to TIE digits."""
-    own = knn.groupBy(*WK, "m", "start").agg(F.array_sort(F.collect_list(F.struct("rank", "nbr", "dist"))).alias("near"))
-    rows = own.groupBy(*WK, "m", F.floor(F.col("start") / block).alias("_b")).agg(F.collect_list(F.struct("start", F.col("near.nbr").alias("nbr"), F.col("near.dist").alias("dist"))).alias("anchors"))
-    copies = packed.select(*WK, "vals", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size("vals") - 1) / block))).alias("_b"))
-    rows = rows.join(copies.where(F.size("vals") > 0), [*WK, "_b"])  # on the block too: one series is many tasks
+def set_extents(sets: DataFrame, lists: DataFrame, series: DataFrame, distance: str, size: int = N.SIZE) -> DataFrame:
+    """sets (keys, m, k, start, kth_dist) with `extent`, the largest distance among the first k places of the start's list, and these as
+    `members`. lists: keys, m, start, near (array of place and distance). Only the windows of the members are fetched, from chunks."""
+    one = sets.join(lists, [*WK, "m", "start"]).select(*WK, "m", "k", "start", "kth_dist", F.posexplode(F.slice("near", 1, F.col("k"))).alias("rank", "e"))
+    one = one.select(*WK, "m", "k", "start", "kth_dist", "rank", F.col("e.nbr").alias("p"), F.floor(F.col("e.nbr") / size).alias("c"))
+    longest = lists.agg(F.max("m")).first()[0] or 1
+    chunks = S.chunks(series, size, after=longest - 1)
+    window = F.slice("part", (F.col("p") - F.col("lo") + 1).cast("int"), F.col("m"))
+    one = one.join(chunks, [*WK, "c"]).select(*WK, "m", "k", "start", "kth_dist", "rank", "p", window.alias("w"))
+    rows = one.groupBy(*WK, "m", "k", "start", "kth_dist").agg(F.array_sort(F.collect_list(F.struct("rank", "p", "w"))).alias("x"))
+    rows = rows.select(*WK, "m", "k", "start", "kth_dist", F.transform("x", lambda e: e["p"]).alias("members"), F.flatten(F.transform("x", lambda e: e["w"])).alias("flat"))
 
     def run(batches):
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                v, best = np.asarray(r.vals, float), {}
-                most = max(3, min(int(len(v) // (r.m * slack)), k_max))
-                for a in r.anchors:
-                    nbr, dist = np.asarray(a["nbr"], int), np.asarray(a["dist"], float)
-                    extent = M.set_extent(v, r.m, nbr[:most], distance)
-                    for k in range(2, min(most - 1, len(nbr)) + 1):
-                        row = (round(float(extent[k - 1]), TIE), round(float(dist[k - 1]), TIE), int(a["start"]), nbr[:k].tolist())
-                        best[k] = min(best.get(k, row), row)
-                yield pd.DataFrame([(r.series_id, r.attr_id, r.m, k, *x) for k, x in best.items()], columns=[*WK, "m", "k", "extent", "kth_dist", "start", "members"])
-
-    out = rows.mapInPandas(run, "series_id string, attr_id int, m int, k int, extent double, kth_dist double, start long, members array<long>")
-    w = Window.partitionBy(*WK, "m", "k").orderBy("extent", "kth_dist", "start")
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+            extent = [M.extent_of(np.asarray(x, float).reshape(k, m), distance) for x, k, m in zip(pdf["flat"], pdf["k"], pdf["m"])]
+            yield pdf.drop(columns="flat").assign(extent=extent)
+
+    return rows.mapInPandas(run, "series_id string, attr_id int, m int, k int, start long, kth_dist double, members array<long>, extent double")
+
+
+def k_motiflets(packed: DataFrame, knn: DataFrame, k_max: int, slack: float = 0.5, distance: str = "znormed_ed", first: int = 64) -> DataFrame:
+    """(keys, m, k, extent, kth_dist, start, members): for each k the anchor whose first k neighbours have the least extent, then the
+    nearest k-th one, then the first start; distances count to TIE digits.
+
+    An extent is at least the k-th distance. So the `first` anchors with the nearest k-th ones are tried, and then only those whose
+    k-th distance is not beyond the best extent found."""
+    near = F.array_sort(F.collect_list(F.struct("rank", "nbr", "dist")))
+    lists = knn.groupBy(*WK, "m", "start").agg(F.transform(near, lambda e: F.struct(e["nbr"].alias("nbr"), e["dist"].alias("dist"))).alias("near"))
+    lists = durable(lists, "neighbour-lists")
+    most = F.greatest(F.lit(3), F.least(F.floor(F.col("n") / (F.col("m") * F.lit(float(slack)))), F.lit(k_max)))
+    kth = lists.join(packed.select(*WK, F.size("vals").alias("n")), WK).withColumn("_most", most)
+    kth = kth.select(*WK, "m", "start", "_most", F.posexplode("near").alias("_rank", "e")).withColumn("k", (F.col("_rank") + 1).cast("int"))
+    kth = kth.where((F.col("k") >= 2) & (F.col("k") < F.col("_most"))).select(*WK, "m", "k", "start", F.col("e.dist").alias("kth_dist"))
+    near_first = Window.partitionBy(*WK, "m", "k").orderBy("kth_dist", "start")
+    tried = kth.withColumn("_r", F.row_number().over(near_first)).where(F.col("_r") <= first).drop("_r")
+    best = durable(set_extents(tried, lists, packed, distance), "set-extents")
+    bound = best.groupBy(*WK, "m", "k").agg(F.min("extent").alias("_bound"))
+    rest = kth.join(bound, [*WK, "m", "k"]).where(F.col("kth_dist") <= F.col("_bound") + F.lit(1e-6) * (1 + F.abs("_bound"))).drop("_bound")
+    rest = rest.join(best.select(*WK, "m", "k", "start"), [*WK, "m", "k", "start"], "left_anti")
+    every = best.unionByName(set_extents(rest, lists, packed, distance))
+    rounded = [F.round(c, TIE).alias(c) for c in ("extent", "kth_dist")]
+    top = every.groupBy(*WK, "m", "k").agg(F.min(F.struct(*rounded, "start", "members")).alias("s"))
+    return top.select(*WK, "m", "k", "s.extent", "s.kth_dist", "s.start", "s.members")
 
 
 def extent_function(sets: DataFrame) -> DataFrame:

@@ -924,7 +924,7 @@ def _mined(spark, sf):
     """Fixed classes of the event series: the best three windows of 24 points, fitted."""
     from ..config import MiningConfig
 
-    cfg = MiningConfig(epsilon_m=0.3, delta_lo=16, delta_hi=40, gamma_penalty=0.0, double_step=4, k_max=6, error_kind="mean", max_iter=500, supp=0.1)
+    cfg = MiningConfig(epsilon_m=0.3, delta_lo=16, delta_hi=40, gamma_penalty=0.0, double_step=4, k_max=6, error_kind="mean", supp=0.1)
     ev = fx.event_series(spark, sf)
     packed = durable(S.pack(ev), "mined-series")
     sets = M.k_motiflets(packed, N.subsequence_knn(packed, 24, cfg.k_max), cfg.k_max)
@@ -1124,7 +1124,7 @@ def j12_prediction_actual_join(spark, sf):
 def _daily(spark, sf):
     from ..config import MiningConfig
 
-    cfg = MiningConfig(epsilon_m=0.3, delta_lo=28, delta_hi=60, double_step=8, gamma_penalty=0.0, k_max=6, error_kind="mean", max_iter=500, supp=0.1, min_count=3)
+    cfg = MiningConfig(epsilon_m=0.3, delta_lo=28, delta_hi=60, double_step=8, gamma_penalty=0.0, k_max=6, error_kind="mean", supp=0.1, min_count=3)
     return fx.daily(spark, sf).withColumn("v", F.coalesce("v", F.lit(0.0))), cfg
 
 
@@ -1166,7 +1166,7 @@ def _sample_rules(spark, sf, mine=True):
     from ..config import MiningConfig
     from .jobs import mine_sample_rules
 
-    cfg = MiningConfig(epsilon_m=0.5, delta_lo=6, delta_hi=12, length_step=2, double_step=2, gamma_penalty=0.0, k_max=5, error_kind="mean", max_iter=500, supp=0.5, min_count=2, n_segments=4)
+    cfg = MiningConfig(epsilon_m=0.5, delta_lo=6, delta_hi=12, length_step=2, double_step=2, gamma_penalty=0.0, k_max=5, error_kind="mean", supp=0.5, min_count=2, n_segments=4)
     train = fx.samples(spark, sf).where("split = 'train'")
     return mine_sample_rules(train, cfg) if mine else None, train, cfg
 

@@ -156,8 +156,8 @@ def test_k_motiflets(packed):
     lists = {}
     for r in sorted(near.collect(), key=lambda r: r["rank"]):
         lists.setdefault((r.series_id, r.start), []).append(r.nbr)
-    for block in (2048, 7):
-        got = {(r.series_id, r.k): (r.extent, sorted(r.members)) for r in M.k_motiflets(packed, near, k_max, block=block).collect()}
+    for first in (2048, 7, 1):
+        got = {(r.series_id, r.k): (r.extent, sorted(r.members)) for r in M.k_motiflets(packed, near, k_max, first=first).collect()}
         for s in ("a", "b"):
             d = distances(WALKS[s], m)
             for k in range(2, k_max):
