@@ -245,22 +245,57 @@ def trim_flat_ends(v: np.ndarray, epsilon: float, delta_lo: int, monotone: int =
     return max(left - 1, 0), min(n - right + 1, n)
 
 
+class PrefixBest:
+    """The greatest total among ranks below a given one, and the first index that has it; ranks from 1."""
+
+    def __init__(self, n: int):
+        self.total, self.index = [-np.inf] * (n + 1), [-1] * (n + 1)
+
+    def put(self, rank: int, total: float, index: int) -> None:
+        while rank < len(self.total):
+            if total > self.total[rank] or total == self.total[rank] and index < self.index[rank]:
+                self.total[rank], self.index[rank] = total, index
+            rank += rank & -rank
+
+    def below(self, rank: int) -> tuple[float, int]:
+        total, index, rank = -np.inf, -1, rank - 1
+        while rank > 0:
+            if self.total[rank] > total or self.total[rank] == total and self.index[rank] < index:
+                total, index = self.total[rank], self.index[rank]
+            rank -= rank & -rank
+        return total, index
+
+
 def heaviest_chain(pairs: np.ndarray, weights: np.ndarray) -> list[int]:
-    """Indexes of the heaviest run of rows, in their order, that rise strictly in every column; the first on ties."""
+    """Indexes of the heaviest run of rows, in their order, that rise strictly in every column; the first on ties. Rows of one column, or
+    of two with the first in order, take n log n steps: ranks of the last column hold the best total so far, and rows of equal first
+    column are asked before any of them is put in. Other rows are compared with all before them."""
     n = len(pairs)
     if not n:
         return []
-    total, back = weights.astype(float).copy(), np.full(n, -1)
-    for i in range(1, n):
-        under = np.flatnonzero((pairs[:i] < pairs[i]).all(axis=1))
-        if len(under):
-            j = under[total[under].argmax()]
-            if total[j] > 0:
-                total[i], back[i] = weights[i] + total[j], j
-    out, i = [], int(total.argmax())
+    total, back = weights.astype(float).tolist(), [-1] * n
+    width, lead = pairs.shape[1], pairs[:, 0]
+    if width == 1 or width == 2 and (lead[1:] >= lead[:-1]).all():
+        values, rank = np.unique(pairs[:, -1], return_inverse=True)
+        rank, tree = (rank.reshape(-1) + 1).tolist(), PrefixBest(len(values))
+        new = np.arange(n) if width == 1 else np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), n]):
+            for i in range(a, b):
+                t, j = tree.below(rank[i])
+                if t > 0:
+                    total[i], back[i] = total[i] + t, j
+            for i in range(a, b):
+                tree.put(rank[i], total[i], i)
+    else:
+        total = np.array(total)
+        for i in range(1, n):
+            under = np.flatnonzero((pairs[:i] < pairs[i]).all(axis=1))
+            if len(under) and total[j := under[total[under].argmax()]] > 0:
+                total[i], back[i] = weights[i] + total[j], int(j)
+    out, i = [], int(np.argmax(total))
     while i >= 0:
         out.append(i)
-        i = int(back[i])
+        i = back[i]
     return out[::-1]
 
 

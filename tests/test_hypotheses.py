@@ -1,10 +1,15 @@
 """Batches of sampled fits against hypotheses evaluated one by one."""
 
+import time
+
 import numpy as np
 import pytest
 
+from subseqrules.config import MiningConfig
 from subseqrules.functions import kernels as K
 from subseqrules.functions import mining as H
+from subseqrules.operators import pairs as P
+from subseqrules.schemas import CLASSES, OCCURRENCES, PACKED
 
 
 def slow_evaluate(data: H.PairData, coef: np.ndarray, combos: np.ndarray, *, epsilon_rate: float, rate: float, kind: str, supp: float = 0.0, fall_back: bool = False) -> dict | None:
@@ -103,6 +108,70 @@ def test_longest_overlaps():
         assert (j[size > 0] == over.argmax(axis=1)[size > 0]).all()
 
 
+def slow_chain(pairs, weights):
+    total, back = weights.astype(float).copy(), np.full(len(pairs), -1)
+    for i in range(1, len(pairs)):
+        under = np.flatnonzero((pairs[:i] < pairs[i]).all(axis=1))
+        if len(under) and total[j := under[total[under].argmax()]] > 0:
+            total[i], back[i] = weights[i] + total[j], j
+    out, i = [], int(total.argmax()) if len(total) else -1
+    while i >= 0:
+        out.append(i)
+        i = int(back[i])
+    return out[::-1]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+@pytest.mark.parametrize("ordered", [True, False])
+def test_chains(width, ordered):
+    r = np.random.default_rng(width)
+    for n in (0, 1, 2, 30, 200):
+        for weights in (np.ones(n), r.integers(-2, 5, n).astype(float)):
+            pairs = r.integers(0, max(1, n // 2), (n, width))
+            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")] if ordered else pairs
+            assert K.heaviest_chain(pairs, weights) == slow_chain(pairs, weights)
+
+
+def test_long_chain_is_fast():
+    r = np.random.default_rng(2)
+    pairs = np.stack((np.arange(100_000), r.integers(0, 100_000, 100_000)), axis=1)
+    began = time.time()
+    chain = K.heaviest_chain(pairs, np.ones(100_000))
+    assert time.time() - began < 20 and (np.diff(pairs[chain, 1]) > 0).all() and 550 < len(chain) < 700  # near 2 sqrt(n)
+
+
+def test_match_all_pairs(spark):
+    """Every pair of classes against hypotheses drawn with the same seeds and evaluated one by one."""
+    cfg = MiningConfig(max_iter=128, supp=0.1, epsilon_rate=0.9, window_rate=0.1, error_kind="mean", seed=3)
+    v = {a: series(300, 20 + a) for a in range(3)}
+    occ = {(a, c): occurrences(300, 14, 10 * a + c) for a in range(3) for c in range(2)}
+    occ[2, 0] = occ[0, 0] + [9, 0, 0.1]
+    occ = {k: o[o[:, 0] + o[:, 1] < 300] for k, o in occ.items()}
+    shape = ([0.0, 0.4, 1.0], [1.5, -1.0], [0.0, 1.0])
+    rows = [("s", a, c, i, int(t), int(d), float(x)) for (a, c), o in occ.items() for i, (t, d, x) in enumerate(o)]
+    table = spark.createDataFrame(rows, OCCURRENCES)
+    classes = spark.createDataFrame([("s", a, c, "piecewise", *shape, [], 0.5, 0.1, 5, 40, 0.1) for a, c in occ], CLASSES)
+    packed = spark.createDataFrame([("s", a, 300, x.tolist()) for a, x in v.items()], PACKED)
+    got = {(tuple(r.lhs), tuple(r.rhs)): r for r in P.match_all_pairs(table, classes, packed, cfg).collect()}
+    seen = 0
+    for left in occ:
+        for right in occ:
+            if left == right or len(occ[left]) <= 2 or len(occ[right]) / len(occ[left]) < cfg.supp:
+                assert (left, right) not in got
+                continue
+            data = H.PairData([occ[left]], occ[right], v[right[0]], shape)
+            draws = {h: H.draw(data, np.random.default_rng([cfg.seed, h, *left, *right])) for h in range(128)}
+            want = slow_best(data, draws, False, epsilon_rate=0.9, rate=0.1, kind="mean") if draws[0] is not None else None
+            assert (want is None) == ((left, right) not in got)
+            if want:
+                seen += 1
+                r, e = got[left, right], want[1]
+                assert (r.c_phi, [(*m.lhs_occ, m.rhs_occ) for m in r.matches]) == (e["score"], [tuple(m) for m in e["matches"].tolist()])
+                assert r.supp == pytest.approx(e["supp"]) and r.min_eps_rate == pytest.approx(e["eps_rate"])
+                assert np.allclose(np.stack((r.coef_t1, r.coef_delta, r.coef_lam), axis=1), K.least_squares(*draws[want[0][-1]]))
+    assert seen > 10
+
+
 def test_no_draws():
     data = H.PairData([occurrences(200, 5, 1)], occurrences(200, 5, 2), series(200, 3), ([0.0, 1.0], [1.0], [0.0]))
     assert H.best_of_draws(data, {}, epsilon_rate=1, rate=0.1, kind="max") is None
