@@ -67,7 +67,7 @@ def set_extents(sets: DataFrame, lists: DataFrame, series: DataFrame, distance:
     return rows.mapInPandas(run, "series_id string, attr_id int, m int, k int, start long, kth_dist double, members array<long>, extent double")
 
 
-def k_motiflets(packed: DataFrame, knn: DataFrame, k_max: int, slack: float = 0.5, distance: str = "znormed_ed", first: int = 64) -> DataFrame:
+def k_motiflets(packed: DataFrame, knn: DataFrame, k_max: int, slack: float = 0.5, distance: str = "znormed_ed", first: int = 16) -> DataFrame:
     """(keys, m, k, extent, kth_dist, start, members): for each k the anchor whose first k neighbours have the least extent, then the
     nearest k-th one, then the first start; distances count to TIE digits.
 
@@ -297,37 +297,8 @@ def discover_motifs(series: DataFrame, cfg: MiningConfig, *, lengths: list[int]
     return durable(all_classes, "motif-classes"), durable(all_occ, "motif-occurrences")
 
 
-def discover_motifs_short(packed: DataFrame, cfg: MiningConfig, m: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The result of discover_motifs for packed rows that a task handles whole, all rounds of a row in one go: for very many
-    short series, where a round of all would wait for the longest one."""
-    fields = [c.strip() for c in CLASSES.split(", ")][2:]
-    row = ", ".join(f"{c.split(' ', 1)[0]}: {c.split(' ', 1)[1]}" for c in fields)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                v = np.nan_to_num(np.asarray(r.vals, float), nan=0.0)
-                rounds = [x for x in M.all_rounds(v, cfg, m) if len(x[1]) >= cfg.min_count]
-                classes = [{**row, "class_id": k} for k, (row, _) in enumerate(rounds)]
-                occ = [{"class_id": k, "occ_id": i, "t1": t, "delta": d, "lam": x} for k, (_, found) in enumerate(rounds) for i, (t, d, x) in enumerate(found)]
-                out.append((r.series_id, r.attr_id, classes, occ))
-            yield pd.DataFrame(out, columns=[*WK, "classes", "occ"])
-
-    kind = f"series_id string, attr_id int, classes array<struct<{row}>>, occ array<struct<class_id: int, occ_id: int, t1: long, delta: int, lam: double>>"
-    found = durable(packed.select(*WK, "vals").where(F.size("vals") > 0).mapInPandas(run, kind), "short-motifs")
-    classes = found.select(*WK, F.explode("classes").alias("c")).select(*WK, "c.*")
-    return classes, found.select(*WK, F.explode("occ").alias("o")).select(*WK, "o.*")
-
-
-def discover_motifs_per_sample(samples: DataFrame, cfg: MiningConfig, *, short: int = 4096, m: int | None = None, **how) -> tuple[DataFrame, DataFrame]:
-    """Each sample is a series of its own, attribute 0; series_id is the sample_id. Samples of more than `short` values, if there
-    are any, go through discover_motifs, and so do all if its other parameters are given."""
-    own = samples.select(F.col("sample_id").cast("string").alias("series_id"), F.lit(0).alias("attr_id"), "vals")
-    few = own.where(F.size("vals") <= short) if not how else own.limit(0)
-    classes, occ = discover_motifs_short(few, cfg, m)
-    rest = own.where(F.size("vals") > short) if not how else own
-    if not rest.isEmpty():
-        more = discover_motifs(rest.select(*WK, F.posexplode("vals").alias("t", "v")).withColumn("t", F.col("t").cast("long")), cfg, m=m, **how)
-        classes, occ = classes.unionByName(more[0]), occ.unionByName(more[1])
-    return classes, occ
+def discover_motifs_per_sample(samples: DataFrame, cfg: MiningConfig, **how) -> tuple[DataFrame, DataFrame]:
+    """Each sample is a series of its own, attribute 0; series_id is the sample_id. All go through the same rounds, and one that has
+    no free run left takes no part in the next ones. Samples with a null id, or the same one as another, are not told apart."""
+    own = samples.select(F.col("sample_id").cast("string").alias("series_id"), F.lit(0).alias("attr_id"), F.posexplode("vals").alias("t", "v"))
+    return discover_motifs(own.withColumn("t", F.col("t").cast("long")), cfg, **how)

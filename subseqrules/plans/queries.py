@@ -1134,18 +1134,22 @@ def r1_mine_rules(spark, sf):
     from .jobs import mine_rules
 
     series, cfg = _daily(spark, sf)
+    return _rule_rows(mine_rules(series, cfg)["rules"])
+
+
+def _rule_rows(rules):
     sides = F.concat_ws("+", F.transform("lhs", lambda x: F.concat_ws("/", x["attr_id"].cast("string"), x["class_id"].cast("string")))).alias("lhs")
-    rules = mine_rules(series, cfg)["rules"].select("series_id", sides, F.col("rhs.attr_id").alias("rhs_attr"), F.col("rhs.class_id").alias("rhs_class"), "c_phi", "supp", "avg_err")
-    return rounded(rules, "supp", "avg_err", n=4)
+    rows = rules.select("series_id", sides, F.col("rhs.attr_id").alias("rhs_attr"), F.col("rhs.class_id").alias("rhs_class"), "c_phi", "supp", "avg_err", "epsilon", F.size("lhs_combinations").alias("combos"))
+    return rounded(rows, "supp", "avg_err", "epsilon", n=4)
 
 
 @query()
 def r1_mine_two_sided_rules(spark, sf):
-    """The same with up to two left sides; a row with the number of rules and their mean error."""
+    """The same with up to two left sides."""
     from .jobs import mine_rules
 
     series, cfg = _daily(spark, sf)
-    return rounded(mine_rules(series, cfg.but(max_lhs_len=2, supp=0.9))["summary"], "avg_err", n=4)
+    return _rule_rows(mine_rules(series, cfg.but(max_lhs_len=2, supp=0.9))["rules"])
 
 
 @query()

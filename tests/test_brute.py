@@ -14,6 +14,7 @@ from subseqrules.operators import pairs as P
 from subseqrules.operators import series as S
 from subseqrules.operators.rules import predict_rhs
 
+import one_series
 from test_kernels import slow_distance
 
 SERIES = "series_id string, attr_id int, t long, v double"
@@ -374,19 +375,24 @@ def test_two_sided_rule_is_mined(spark):
     assert all(len(x.lhs) == 1 for x in narrow)
 
 
-def test_short_series_have_the_same_rounds(spark):
-    """All rounds of a series in one task give what the rounds over all series give."""
+def test_rounds_of_each_series(spark):
+    """The rounds over all series give what all rounds of each series alone give."""
     from subseqrules.config import MiningConfig
 
     rows = [(k, R.normal(size=40).cumsum().tolist()) for k in range(4)] + [(7, np.tile([0.0, 1, 3, 1, 0, -1], 7).tolist()), (8, [1.0, 2.0]), (9, [])]
     df = spark.createDataFrame(rows, "sample_id long, vals array<double>")
-    cfg = MiningConfig(epsilon_m=0.5, delta_lo=5, delta_hi=10, length_step=2, gamma_penalty=0.0, k_max=5, error_kind="mean", min_count=1, n_segments=4)
+    cfg = MiningConfig(epsilon_m=0.5, delta_lo=5, delta_hi=10, length_step=2, gamma_penalty=0.0, k_max=5, error_kind="mean", min_count=2, n_segments=4)
     for m in (None, 6):
-        one, two = (M.discover_motifs_per_sample(df, cfg, short=s, m=m) for s in (100, 0))
-        plain = lambda r: tuple(np.round(x, 6).tolist() if isinstance(x, (float, list)) else x for x in r)
-        for a, b in zip(one, two):
-            assert sorted(map(plain, a.select(*b.columns).collect()), key=str) == sorted(map(plain, b.collect()), key=str)
-        assert one[1].count() > 5
+        classes, occ = M.discover_motifs_per_sample(df, cfg, m=m)
+        got = sorted((r.series_id, r.class_id, r.occ_id, r.t1, r.delta, round(r.lam, 6)) for r in occ.collect())
+        shapes = {(r.series_id, r.class_id): (round(r.epsilon, 6), r.delta_lo, r.delta_hi, np.round(r.breaks, 6).tolist()) for r in classes.collect()}
+        want, kept = [], {}
+        for i, v in rows:
+            rounds = [x for x in one_series.all_rounds(np.array(v), cfg, m) if len(x[1]) >= cfg.min_count] if v else []
+            for c, (row, found) in enumerate(rounds):
+                kept[str(i), c] = (round(row["epsilon"], 6), row["delta_lo"], row["delta_hi"], np.round(row["breaks"], 6).tolist())
+                want += [(str(i), c, k, t, d, round(x, 6)) for k, (t, d, x) in enumerate(found)]
+        assert got == sorted(want) and shapes == kept and len(got) > 5
 
 
 def slow_matches(v, free, shape, cfg, row):

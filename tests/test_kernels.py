@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import one_series
 import pytest
 
 from subseqrules.functions import kernels as K
@@ -33,8 +34,8 @@ def test_block_distances(kind):
 
 def test_greedy_neighbours_take_the_nearest_free_start():
     d = np.array([5.0, 1, 2, 9, 9, 0.5, 7, 3])
-    assert K.greedy_neighbours(d, 0, 4, 2) == [(0, 0.0), (5, 0.5), (2, 2.0), (7, 3.0)]
-    assert len(K.greedy_neighbours(d[:3], 0, 5, 2)) == 2
+    assert one_series.greedy_neighbours(d, 0, 4, 2) == [(0, 0.0), (5, 0.5), (2, 2.0), (7, 3.0)]
+    assert len(one_series.greedy_neighbours(d[:3], 0, 5, 2)) == 2
 
 
 def test_align_error_against_the_definition():
@@ -83,7 +84,7 @@ def test_elbows():
 def test_set_extent():
     v = np.random.default_rng(3).normal(size=80)
     s = np.array([3, 20, 41, 60])
-    e = M.set_extent(v, 10, s, "euclidean")
+    e = one_series.set_extent(v, 10, s, "euclidean")
     d = [[slow_distance(v[a : a + 10], v[b : b + 10], "euclidean") for a in s] for b in s]
     assert np.allclose(e[1:], [max(d[i][j] for i in range(k) for j in range(i)) for k in (2, 3, 4)])
 
