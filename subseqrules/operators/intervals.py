@@ -11,23 +11,47 @@ from ..functions import kernels as K
 from ..session import durable
 
 
-def mask_to_intervals(points: DataFrame, keys: list[str], mask: Column) -> DataFrame:
-    """(keys, a, b) of the runs of consecutive t where mask is true."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    run = points.where(mask).select(*keys, "t", (F.col("t") - F.row_number().over(w)).alias("_run"))
-    return run.groupBy(*keys, "_run").agg(F.min("t").alias("a"), (F.max("t") + 1).alias("b")).drop("_run")
-
-
-def missing_segments(points: DataFrame, keys: list[str]) -> DataFrame:
-    return mask_to_intervals(points, keys, F.col("v").isNull())
-
-
-def merge_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping and touching intervals become one; empty ones go."""
-    w = Window.partitionBy(*keys).orderBy("a", "b")
-    before = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.where("b > a").select(*keys, "a", "b", F.when(F.col("a") <= before, 0).otherwise(1).alias("_new"))
-    rows = rows.withColumn("_island", F.sum("_new").over(w))
+def mask_to_intervals(points: DataFrame, keys: list[str], mask: Column, width: int | None = None) -> DataFrame:
+    """(keys, a, b) of the runs of consecutive t where mask is true. With a width, runs are found in chunks of so many t and then joined
+    where they touch, so that a long key is many tasks. Null keys are a key."""
+    cell = [] if width is None else [F.floor(F.col("t") / width).alias("_c")]
+    rows = points.where(mask).select(*keys, "t", *cell)
+    by = [*keys, *(["_c"] if cell else [])]
+    run = rows.withColumn("_run", F.col("t") - F.row_number().over(Window.partitionBy(*by).orderBy("t")))
+    out = run.groupBy(*by, "_run").agg(F.min("t").alias("a"), (F.max("t") + 1).alias("b")).select(*keys, "a", "b")
+    return out if width is None else merge_intervals(out, keys, width)
+
+
+def missing_segments(points: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+    return mask_to_intervals(points, keys, F.col("v").isNull(), width)
+
+
+def carried(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows (keys, _c, ...) and `_before`, the largest value in the earlier cells _c of their key; only cells are put in order."""
+    cells = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_c").alias("_cell")).agg(F.max(value).alias("_most"))
+    earlier = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.max("_most").over(earlier)).drop("_most")
+    same = F.col("_c") == F.col("_cell")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(cells, same).select(*rows.columns, "_before")
+
+
+def merge_intervals(rows: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+    """Overlapping and touching intervals become one; empty ones go. With a width, only intervals that start within so many places are put
+    in order in one task, and how far earlier ones reach and where their islands start are carried from cell to cell."""
+    rows = rows.where("b > a").select(*keys, "a", "b")
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy("a", "b")
+        rows = rows.withColumn("_before", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        rows = rows.withColumn("_island", F.sum(F.when(F.col("a") <= F.col("_before"), 0).otherwise(1)).over(w))
+    else:
+        rows = carried(rows.withColumn("_c", F.floor(F.col("a") / width)), keys, "b")
+        w = Window.partitionBy(*keys, "_c").orderBy("a", "b")
+        reach = F.greatest("_before", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        rows = rows.withColumn("_reach", reach).withColumn("_start", F.when(F.col("a") <= F.col("_reach"), None).otherwise(F.col("a")))
+        rows = carried(rows.drop("_before"), keys, "_start")
+        rows = rows.withColumn("_island", F.greatest("_before", F.max("_start").over(w)))  # starts rise: the last one is the largest
     return rows.groupBy(*keys, "_island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_island")
 
 

@@ -718,6 +718,12 @@ def w8_mask_to_intervals(spark, sf):
     return I.mask_to_intervals(fx.hourly(spark, sf), ["attr_id"], F.col("v") > 50)
 
 
+@query(ORACLE["w8_mask_to_intervals"])
+def w8_mask_to_intervals_in_chunks(spark, sf):
+    """Chunks of a day."""
+    return I.mask_to_intervals(fx.hourly(spark, sf), ["attr_id"], F.col("v") > 50, width=24)
+
+
 @query(f"WITH {fx.HOURLY}, m AS (SELECT attr_id, t, t - row_number() OVER (PARTITION BY attr_id ORDER BY t) AS g FROM hx WHERE v IS NULL) SELECT attr_id, min(t) AS a, max(t) + 1 AS b FROM m GROUP BY attr_id, g")
 def w9_missing_segments(spark, sf):
     return I.missing_segments(fx.hourly(spark, sf), ["attr_id"])
@@ -731,6 +737,11 @@ def w10_merge_intervals(spark, sf):
     return I.merge_intervals(fx.order_intervals(spark, sf), ["key"])
 
 
+@query(ORACLE["w10_merge_intervals"])
+def w10_merge_intervals_in_chunks(spark, sf):
+    return I.merge_intervals(fx.order_intervals(spark, sf), ["key"], width=100)
+
+
 FREE = MERGED + ", ck AS (SELECT key, greatest(a, 100) AS a, least(b, 2000) AS b FROM mg WHERE b > 100 AND a < 2000), hd AS (SELECT key, coalesce(lag(b) OVER (PARTITION BY key ORDER BY a), 100) AS a, a AS b FROM ck), tl AS (SELECT k.key, coalesce(max(ck.b), 100) AS a, 2000 AS b FROM (SELECT DISTINCT key FROM oi) k LEFT JOIN ck ON ck.key = k.key GROUP BY k.key), fr AS (SELECT * FROM (SELECT * FROM hd UNION ALL SELECT * FROM tl) WHERE b > a)"
 
 
@@ -920,6 +931,12 @@ def q3_sweep(spark, sf):
     return M.sweep(o, ["key"]).select("key", "t1", "delta")
 
 
+@query(ORACLE["q3_sweep"])
+def q3_sweep_in_chunks(spark, sf):
+    o = fx.order_intervals(spark, sf).groupBy("key", F.col("a").alias("t1")).agg(F.max(F.col("b") - F.col("a")).cast("int").alias("delta")).withColumn("lam", F.lit(1.0))
+    return M.sweep(o, ["key"], width=64).select("key", "t1", "delta")
+
+
 def _mined(spark, sf):
     """Fixed classes of the event series: the best three windows of 24 points, fitted."""
     from ..config import MiningConfig

@@ -119,3 +119,27 @@ def test_longest_free_run_takes_the_first(spark):
     ranges = spark.createDataFrame([("k", 0, 30)], "k string, lo long, hi long")
     blocked = spark.createDataFrame([("k", 10, 20)], "k string, a long, b long")
     assert [tuple(r) for r in I.longest_free_run(ranges, blocked, ["k"], 11).collect()] == [("k", 0, 10, True)]
+
+
+@pytest.mark.parametrize("width", [1, 5, 40, 10**6])
+def test_intervals_in_chunks(spark, width):
+    data = [(k, int(a), int(a + n)) for k, m, top in (("a", 80, 300), ("b", 60, 60), (None, 20, 100)) for a, n in zip(R.integers(-20, top, m), R.integers(0, 12, m))] + [("long", 0, 500), ("long", 499, 501), ("long", 502, 502), ("long", 501, 510), ("long", 600, 601)]
+    rows = spark.createDataFrame(data, "k string, a long, b long").repartition(3)
+    one, many = ([tuple(r) for r in I.merge_intervals(rows, ["k"], w).collect()] for w in (None, width))
+    want = []
+    for k in ("a", "b", None, "long"):
+        own = []
+        for _, a, b in sorted((x for x in data if x[0] == k and x[2] > x[1]), key=lambda x: x[1:]):
+            if own and a <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], b)
+            else:
+                own.append([a, b])
+        want += [(k, *x) for x in own]
+    key = lambda r: (str(r[0]), *r[1:])
+    assert sorted(one, key=key) == sorted(many, key=key) == sorted(want, key=key)
+    mask = R.random(200) < 0.8
+    points = spark.createDataFrame([(None, t, bool(m), "clash") for t, m in enumerate(mask)], "k string, t long, m boolean, a string")
+    got = sorted((r.a, r.b) for r in I.mask_to_intervals(points, ["k"], F.col("m"), width).collect())
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(int), [0]))))
+    assert got == list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+    assert I.merge_intervals(rows.limit(0), ["k"], width).count() == 0
