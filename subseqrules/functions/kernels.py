@@ -64,14 +64,18 @@ class Nearest:
 
     def add(self, rows: np.ndarray, d: np.ndarray, at: int) -> None:
         """Distances d of the starts lo + rows to the places from `at` on."""
-        for i, own in zip(rows.tolist(), d):  # its own zone
-            x = self.lo + i - at
-            own[max(0, x - self.h) : max(0, x + self.h, x + 1)] = np.inf
+        first = self.lo + int(rows[0]) - at
+        if first - self.h < d.shape[1] and first + len(rows) + self.h > 0:  # own zones reach into the tile
+            for i, own in zip(rows.tolist(), d):
+                x = self.lo + i - at
+                own[max(0, x - self.h) : max(0, x + self.h, x + 1)] = np.inf
         if d.shape[1] > self.most and np.isinf(self.bound[rows]).any():  # what is beyond the tile's own least goes at once
             self.bound[rows] = np.minimum(self.bound[rows], np.partition(d, self.most - 1, axis=1)[:, self.most - 1])
-        for i, own in zip(rows.tolist(), d):
-            if len(c := np.flatnonzero((own <= self.bound[i]) & (own < np.inf))):
-                e, p = np.concatenate((self.kept[i][0], own[c])), np.concatenate((self.kept[i][1], at + c))
+        hit, place = np.nonzero((d <= self.bound[rows][:, None]) & (d < np.inf))
+        cuts = np.searchsorted(hit, np.arange(len(rows) + 1))
+        for k, i in enumerate(rows.tolist()):
+            if len(c := place[cuts[k] : cuts[k + 1]]):
+                e, p = np.concatenate((self.kept[i][0], d[k, c])), np.concatenate((self.kept[i][1], at + c))
                 order = np.lexsort((p, e))[: self.most]
                 self.kept[i] = e[order], p[order]
                 if len(order) == self.most:
