@@ -126,6 +126,21 @@ class Centred:
         return d
 
 
+def greedy_neighbours(d: np.ndarray, i: int, k: int, h: int) -> list[tuple[int, float]]:
+    """The k nearest starts that don't overlap each other, the anchor first at 0; zones are [p - h, p + h)."""
+    d = d.copy()
+    d[max(0, i - h) : i + h] = np.inf
+    d[i] = 0.0
+    out = []
+    for _ in range(k):
+        p = int(d.argmin())
+        if not np.isfinite(d[p]):
+            break
+        out.append((p, float(d[p])))
+        d[max(0, p - h) : max(p + h, p + 1)] = np.inf
+    return out
+
+
 def align_error(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
     """Per place the larger of the two smallest differences within the window."""
     n = min(len(a), len(b))
