@@ -383,7 +383,7 @@ def test_rounds_of_each_series(spark):
     df = spark.createDataFrame(rows, "sample_id long, vals array<double>")
     cfg = MiningConfig(epsilon_m=0.5, delta_lo=5, delta_hi=10, length_step=2, gamma_penalty=0.0, k_max=5, error_kind="mean", min_count=2, n_segments=4)
     for m in (None, 6):
-        classes, occ = M.discover_motifs_per_sample(df, cfg, m=m)
+        classes, occ = M.discover_motifs_per_sample(df, cfg, short=0, m=m)
         got = sorted((r.series_id, r.class_id, r.occ_id, r.t1, r.delta, round(r.lam, 6)) for r in occ.collect())
         shapes = {(r.series_id, r.class_id): (round(r.epsilon, 6), r.delta_lo, r.delta_hi, np.round(r.breaks, 6).tolist()) for r in classes.collect()}
         want, kept = [], {}
