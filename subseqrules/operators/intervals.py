@@ -90,9 +90,19 @@ def max_overlap_join(pred: DataFrame, occ: DataFrame, keys: list[str], width: in
 
 
 def points_outside(points: DataFrame, blocked: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
-    """Points (keys, t) that lie in no interval."""
-    hit = overlapping(points.select(*keys, F.col("t").alias("a"), (F.col("t") + 1).alias("b")), blocked.select(*keys, F.col("a").alias("c"), F.col("b").alias("d")), keys, width)
-    return points.join(hit.select(*keys, F.col("a").alias("t")).distinct(), [*keys, "t"], "left_anti")
+    """Points (keys, t) that lie in no interval. Points and intervals are put in order together, in cells of `width` places: a point is free
+    unless an interval that starts at or before it reaches beyond it, so no pairs are made. Null keys meet nothing."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    a = blocked.where("b > a").where(whole)
+    cut = F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width)))
+    a = a.groupBy(*keys, F.col("a").cast("long").alias("a")).agg(F.max(F.col("b").cast("long")).alias("b")).select(*keys, "a", "b", cut.alias("_c"))
+    a = a.select(*keys, "_c", F.greatest("a", F.col("_c") * width).alias("_t"), F.col("b").alias("_b"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    p = points.select(*keys, F.floor(F.col("t") / width).alias("_c"), F.col("t").cast("long").alias("_t"), F.lit(None).cast("long").alias("_b"), F.struct(*points.columns).alias("_row"))
+    w = Window.partitionBy(*keys, "_c").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = p.unionByName(a).withColumn("_reach", F.max("_b").over(w))
+    return rows.where(F.col("_row").isNotNull() & (F.col("_reach").isNull() | (F.col("_reach") <= F.col("_t")))).select("_row.*")
 
 
 def starts_outside(starts: DataFrame, blocked: DataFrame, keys: list[str], m: int, column: str = "start", width: int = 64) -> DataFrame:
