@@ -67,14 +67,40 @@ def best_hypothesis(hyps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ordered_chain(rows: DataFrame, keys: list[str], positions: list[str], order: str, weight: str | None = None) -> DataFrame:
-    """The heaviest chain of rows strictly rising in every position, for each key; rows of a key are taken in `order`."""
+    """The heaviest chain of rows strictly rising in every position, for each key; rows of a key are taken in `order`. Keys come to a task
+    one after the other in batches, so that many small ones cost no call each."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, *positions])
+    def chains(pdf: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
         w = pdf[weight].to_numpy(float) if weight else np.ones(len(pdf))
-        return pdf.iloc[K.heaviest_chain(pdf[positions].to_numpy(), w)]
+        at = pdf[positions].to_numpy()
+        return pdf.iloc[[a + i for a, b in zip(starts, [*starts[1:], len(pdf)]) for i in K.heaviest_chain(at[a:b], w[a:b])]]
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    def run(batches):
+        held = []  # what has come of a key that may go on
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            own = pd.concat([held[-1][keys].tail(1), pdf[keys]]) if held else pdf[keys]
+            last = own.shift()
+            new = ~((own == last) | (own.isna() & last.isna())).all(axis=1).to_numpy()
+            new = new[1:] if held else np.append(True, new[1:])
+            starts = np.flatnonzero(new).tolist()
+            if starts:
+                if starts[0]:
+                    held.append(pdf.iloc[: starts[0]])
+                if held:
+                    yield chains(pd.concat(held, ignore_index=True), [0])
+                if len(starts) > 1:
+                    yield chains(pdf.iloc[starts[0] : starts[-1]], [x - starts[0] for x in starts[:-1]])
+                held = [pdf.iloc[starts[-1] :]]
+            else:
+                held.append(pdf)
+        if held:
+            yield chains(pd.concat(held, ignore_index=True), [0])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(n, *keys).sortWithinPartitions(*keys, *[F.asc_nulls_last(c) for c in (order, *positions)])
+    return placed.mapInPandas(run, rows.schema)
 
 
 def multi_output_lstsq(rows: DataFrame, keys: list[str], features: list[str], targets: list[str]) -> DataFrame:
