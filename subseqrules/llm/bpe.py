@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, read_table, text_slices, values
+from .common import beside, read_table, takes_over, text_slices, values
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 MEMO, PAIRS = 1 << 27, 1 << 19
@@ -201,7 +201,8 @@ _LOADED: dict[tuple[str, str, int], PrefixBPE] = {}
 
 
 def loaded(path: str, pattern: str, memory: int = MEMO) -> PrefixBPE:
-    """One encoder for each worker process."""
+    """One encoder for each worker process, until a task of another operator comes to it."""
+    takes_over("bpe", _LOADED.clear)
     if (path, pattern, memory) not in _LOADED:
         _LOADED[path, pattern, memory] = PrefixBPE(path, pattern, memory)
     return _LOADED[path, pattern, memory]

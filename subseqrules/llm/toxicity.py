@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, durable, read_table, values
+from .common import beside, durable, read_table, takes_over, text_slices, values
 
 FIT_ROWS, FIT_TOKENS, THRESHOLD, STEPS = 12_000, 1 << 20, 0.3, 40
 WORDS = re.compile(r"[^\W\d_]+")
@@ -232,6 +233,7 @@ def keyed(rows: DataFrame) -> DataFrame:
     """Distinct (doc_id, toxic, key) of the words and beginnings of the training texts."""
 
     def run(batches):
+        takes_over("toxicity")
         for pdf in batches:
             for i, t, y in zip(pdf["doc_id"], pdf["text"], pdf["toxic"]):
                 found = sorted({k for w in {*WORDS.findall((t or "").lower())} for k in keys_of(w)})
@@ -284,8 +286,9 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("toxicity")
         m = shared.value
-        for batch in batches:
+        for batch in chain.from_iterable(map(text_slices, batches)):
             rows = [m.judge(t) for t in values(batch["text"])]
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in rows], kind)
             yield beside(batch, ["doc_id"], score=np.array([x for x, _ in rows], float), offending=spans)
@@ -299,8 +302,9 @@ def reject(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        takes_over("toxicity")
         m = shared.value
-        for batch in batches:
+        for batch in chain.from_iterable(map(text_slices, batches)):
             yield batch.filter(pa.array([m.score_of(*m.active(t)) < threshold for t in values(batch["text"])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
