@@ -56,13 +56,21 @@ def merge_intervals(rows: DataFrame, keys: list[str], width: int | None = None)
 
 
 def subtract_intervals(ranges: DataFrame, blocked: DataFrame, keys: list[str]) -> DataFrame:
-    """The free parts of ranges (keys, lo, hi) outside blocked (keys, a, b). ranges has one row for each key."""
-    merged = merge_intervals(blocked, keys).join(ranges, keys).where("b > lo and a < hi")
-    w = Window.partitionBy(*keys).orderBy("a")
-    cut = merged.select(*keys, "lo", "hi", F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
-    head = cut.select(*keys, F.coalesce(F.lag("b").over(w), F.col("lo")).alias("x"), F.col("a").alias("y"))
-    tail = ranges.join(cut.groupBy(*keys).agg(F.max("b").alias("_end")), keys, "left").select(*keys, F.coalesce("_end", "lo").alias("x"), F.col("hi").alias("y"))
-    return head.unionByName(tail).where("y > x").select(*keys, F.col("x").alias("a"), F.col("y").alias("b"))
+    """The free parts of ranges (keys, lo, hi) outside blocked (keys, a, b). ranges has one row for each key.
+
+    A range's ends are put in order with the blocked intervals, lo first; a free part lies between a start and how far all before it reach. So a
+    key is sorted once, and nothing is merged, joined or held in a hash table. Null keys meet nothing."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    rows = blocked.where("b > a").where(whole).select(*keys, F.lit(1).alias("_k"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.lit(None).cast("long").alias("_hi"))
+    lo, hi, none = F.col("lo").cast("long"), F.col("hi").cast("long"), F.lit(None).cast("long")
+    first = F.struct(F.lit(0).alias("_k"), lo.alias("a"), lo.alias("b"), hi.alias("_hi"))
+    last = F.struct(F.lit(1).alias("_k"), hi.alias("a"), hi.alias("b"), none.alias("_hi"))
+    rows = rows.unionByName(ranges.where("lo < hi").select(*keys, F.inline(F.array(first, last))))
+    before = Window.partitionBy(*keys).orderBy("_k", "a").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_reach", F.max("b").over(before)).withColumn("_end", F.max("_hi").over(before))
+    return rows.where("_end is not null and least(a, _end) > _reach").select(*keys, F.col("_reach").alias("a"), F.least("a", "_end").alias("b"))
 
 
 def longest_free_run(ranges: DataFrame, blocked: DataFrame, keys: list[str], least: int) -> DataFrame:
