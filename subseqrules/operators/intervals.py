@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,36 +131,90 @@ def greedy_starts(starts: Column, gap: float | int, strict: bool) -> Column:
     return F.aggregate(F.array_sort(starts), zero, lambda acc, x: F.when((F.size(acc) == 0) | far(x, F.element_at(acc, -1)), F.concat(acc, F.array(x))).otherwise(acc))
 
 
-def _exits(t: pd.Series, reach: pd.Series, until: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([[x.tolist() for x in K.orbit_exits(np.asarray(a, np.int64), np.asarray(b, np.int64), c)] for a, b, c in zip(t, reach, until)], columns=["last", "out", "count"])
-
-
-def _entries(parts: pd.Series) -> pd.Series:
-    """From the exits of all chunks of a key, in order, where the pick enters each and how many are taken before it."""
-
-    def walk(chunks):
-        out, at, taken = [], -(2**63), 0
-        for c in chunks:
-            last = c["s"]["last"]
-            j = int(np.searchsorted(last, at))
-            if j < len(last):
-                out.append({"chunk": c["_c"], "entry": at, "base": taken})
-                at, taken = int(c["s"]["out"][j]), taken + int(c["s"]["count"][j])
-        return out
-
-    return parts.map(walk)
-
-
-def _picks(t: pd.Series, reach: pd.Series, entry: pd.Series) -> pd.Series:
-    def walk(t, reach, at):
-        t = np.asarray(t, np.int64)
-        follow, out, i = K.orbit(t, np.asarray(reach, np.int64)).tolist(), [], int(np.searchsorted(t, at))
-        while i < len(t):
-            out.append(i)
-            i = follow[i]
-        return out
-
-    return pd.Series([walk(*x) for x in zip(t, reach, entry)], dtype=object)
+def _begins(batch: pa.RecordBatch, keys: list[str], last: pa.RecordBatch | None) -> np.ndarray:
+    """Where rows differ from the one before them in a key; the first one from `last`, a row or nothing. Null and NaN are equal to themselves."""
+    rows = pa.Table.from_batches([batch] if last is None else [last, batch]).select(keys).combine_chunks()
+    new = np.zeros(rows.num_rows, bool)
+    for k in keys:
+        column = rows[k].combine_chunks() if isinstance(rows[k], pa.ChunkedArray) else rows[k]
+        x, y = column[:-1], column[1:]
+        same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(x.is_null(nan_is_null=pa.types.is_floating(x.type)), y.is_null(nan_is_null=pa.types.is_floating(x.type))))
+        new[1:] |= ~same.to_numpy(zero_copy_only=False)
+    new[0] = True
+    return new if last is None else new[1:]
+
+
+def _exits(batches: Iterator[pa.RecordBatch], by: list[str], width: int) -> Iterator[pa.RecordBatch]:
+    """(by, last, out, count) of each chunk, its rows coming one after the other and in order: many chunks are solved at once, and only
+    the last one of a batch waits for more."""
+
+    def solved(rows: pa.Table) -> pa.RecordBatch:
+        batch = rows.combine_chunks().to_batches()[0]
+        t, reach, until, c = (batch[k].to_numpy() for k in ("_at", "_reach", "_until", "_c"))
+        first = np.flatnonzero(_begins(batch, by, None))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+        keep, out, count = K.orbit_exits_of_chunks(of, t - c * width, np.clip(reach - c * width, 0, width), reach, until - c * width, width)
+        return pa.RecordBatch.from_arrays([*[batch[k].take(pa.array(keep)) for k in by], *map(pa.array, (t[keep], out, count))], [*by, "last", "out", "count"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < 1 << 16:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        start = int(np.flatnonzero(_begins(rows.to_batches()[0], by, None))[-1])
+        if start:
+            yield solved(rows.slice(0, start))
+        held, n = [x for x in rows.slice(start).to_batches() if x.num_rows], 0
+    held = [x for x in held if x.num_rows]
+    if held:
+        yield solved(pa.Table.from_batches(held))
+
+
+def _entries(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """(keys, _c, entry, base): where the pick enters each chunk and how many are taken before it, from the exits of all chunks of a key, which
+    come one after the other and in order."""
+    last, chunk, at, taken, served = None, None, 0, 0, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keep, entry, base = [], [], []
+        columns = [batch[k].to_pylist() for k in ("_c", "last", "out", "count")]
+        for i, (new, c, x, out, count) in enumerate(zip(_begins(batch, keys, last).tolist(), *columns)):
+            if new:
+                at, taken = -(2**63), 0
+            if new or c != chunk:
+                chunk, served = c, False
+            if not served and x >= at:
+                served = True
+                keep.append(i)
+                entry.append(at)
+                base.append(taken)
+                at, taken = out, taken + count
+        last = batch.slice(batch.num_rows - 1)
+        yield pa.RecordBatch.from_arrays([*[batch[k].take(pa.array(keep, pa.int64())) for k in [*keys, "_c"]], pa.array(entry, pa.int64()), pa.array(base, pa.int64())], [*keys, "_c", "entry", "base"])
+
+
+def _picks(batches: Iterator[pa.RecordBatch], by: list[str], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows taken of each chunk and their places; a chunk begins with the row (_k 0) that says where it is entered, if it is at all."""
+    last, at, place = None, 2**63, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keep, places = [], []
+        for i, (new, k, t, reach) in enumerate(zip(_begins(batch, by, last).tolist(), *[batch[c].to_pylist() for c in ("_k", "_at", "_reach")])):
+            if new:
+                at = 2**63
+            if k == 0:
+                at, place = t, reach
+            elif t >= at:
+                keep.append(i)
+                places.append(place)
+                at, place = reach, place + 1
+        last = batch.slice(batch.num_rows - 1)
+        taken = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([*[batch[c].take(taken) for c in columns], pa.array(places, pa.int64())], [*columns, "place"])
 
 
 def greedy_rows(rows: DataFrame, keys: list[str], order: list[str], gap: Column, width: int = 1 << 16) -> DataFrame:
@@ -166,27 +223,25 @@ def greedy_rows(rows: DataFrame, keys: list[str], order: list[str], gap: Column,
 
     A pick depends on what came before only by how far the last one reaches, so chunks of `width` are solved apart: each says how a pick
     leaves it for every way to enter; these short tables are followed in order for each key, and then each chunk
-    takes its rows. Long keys are many tasks, and no chunk holds more than the rows of `width` places. Null keys are a key; rows
-    with a null place or gap are left out; equal rows are taken at most once unless the gap is 0."""
+    takes its rows. Long keys are many tasks, a task holds no more than the rows of `width` places beyond a batch, and chunks stay rows, so that
+    many small ones cost no call each. Null keys are a key; rows with a null place or gap are left out; equal rows are taken at most once
+    unless the gap is 0."""
+    columns, by = rows.columns, [*keys, "_c"]
     at = F.col(order[0]).cast("long")
     rows = rows.withColumn("_at", at).withColumn("_reach", at + gap.cast("long")).where("_at is not null and _reach is not null")
-    item = F.struct(*order, "_at", "_reach", F.struct(*[c for c in rows.columns if c not in ("_at", "_reach")]).alias("row"))
-    chunks = rows.groupBy(*keys, F.floor(F.col("_at") / width).alias("_c")).agg(F.array_sort(F.collect_list(item)).alias("x"), F.max(F.col("_reach") - F.col("_at")).alias("_g"))
-    chunks = durable(chunks, "greedy-chunks")
-    chunks = chunks.crossJoin(F.broadcast(chunks.agg(F.greatest(F.max("_g"), F.lit(0)).alias("_top"))))  # one row
-    leave = F.pandas_udf(_exits, "last array<bigint>, out array<bigint>, count array<bigint>")
-    enter = F.pandas_udf(_entries, "array<struct<chunk: bigint, entry: bigint, base: bigint>>")
-    pick = F.pandas_udf(_picks, "array<int>")
-    t, reach = F.transform("x", lambda e: e["_at"]), F.transform("x", lambda e: e["_reach"])
-    exits = chunks.select(*keys, "_c", leave(t, reach, F.col("_c") * width + F.col("_top")).alias("s"))
-    ways = exits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "s"))).alias("parts"))
-    ways = ways.select(*[F.col(k).alias(f"_{k}") for k in keys], F.inline(enter("parts")))
-    same = F.col("_c") == F.col("chunk")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    found = chunks.join(ways, same).withColumn("picks", pick(t, reach, F.col("entry")))
-    found = found.select("base", "x", F.posexplode("picks").alias("_p", "_i")).select((F.col("base") + F.col("_p")).alias("place"), F.get("x", F.col("_i"))["row"].alias("row"))
-    return found.select("row.*", "place")
+    rows = durable(rows.withColumn("_c", F.floor(F.col("_at") / width)), "greedy-rows")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    fields = lambda names: ", ".join(f"`{c}` {kind[c]}" for c in names)
+    top = rows.agg(F.greatest(F.max(F.col("_reach") - F.col("_at")), F.lit(0)).alias("_top"))  # one row
+    own = rows.select(*by, "_at", "_reach", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]).crossJoin(F.broadcast(top))
+    own = own.withColumn("_until", F.col("_c") * width + F.col("_top")).drop("_top")
+    exits = own.repartition(*by).sortWithinPartitions(*by, *[f"_o{i}" for i in range(len(order))]).drop(*[f"_o{i}" for i in range(len(order))])
+    exits = exits.mapInArrow(lambda b: _exits(b, by, width), f"{fields(by)}, last long, out long, count long")
+    ways = exits.repartition(*keys).sortWithinPartitions(*by, "last").mapInArrow(lambda b: _entries(b, keys), f"{fields(by)}, entry long, base long")
+    enter = ways.select(*by, F.lit(0).alias("_k"), F.col("entry").alias("_at"), F.col("base").alias("_reach"))
+    both = rows.withColumn("_k", F.lit(1)).unionByName(enter, allowMissingColumns=True)
+    placed = both.repartition(*by).sortWithinPartitions(*by, "_k", *order)
+    return placed.mapInArrow(lambda b: _picks(b, by, columns), f"{fields(columns)}, place long")
 
 
 def filter_close_starts(starts: Column, m: int, minimum_interval: float = 1.0) -> Column:
