@@ -255,18 +255,25 @@ def drop_trivial_matches(starts: Column, m: int) -> Column:
 def companion_join(first: DataFrame, others: DataFrame, coef: DataFrame, width: int = 64) -> DataFrame:
     """Extend each first-side occurrence (occ_id, t1) by one occurrence of every other side (pos, occ_id, t1, delta): the side's
     start is predicted as slope * t1 + intercept (coef: pos, slope, intercept) and the occurrence that overlaps
-    [start, start + delta) longest is taken; a first occurrence that lacks any side goes. Returns (occ_id, occs)."""
+    [start, start + delta) longest is taken; a first occurrence that lacks any side goes. Returns (occ_id, occs).
+
+    Predictions of equal starts t1 are alike, and of occurrences at one place the lowest id is taken: only different starts meet different
+    places, however many rows share them."""
     sides = coef.count()
     if sides > 1000:
         raise ValueError("a rule has at most 1000 sides")
     length = others.groupBy("pos").agg(F.max("delta").alias("_len"))
     coef = coef.join(length, "pos")  # a row for each other side
     start = F.rint(F.col("slope") * F.col("t1") + F.col("intercept")).cast("long")
-    pred = first.select(F.col("occ_id").alias("pred_id"), "t1").crossJoin(F.broadcast(coef)).select("pos", "pred_id", start.alias("a"), (start + F.col("_len")).alias("b"))
+    pred = first.select("t1").distinct().crossJoin(F.broadcast(coef)).select("pos", F.col("t1").alias("pred_id"), start.alias("a"), (start + F.col("_len")).alias("b"))
     occ = others.select("pos", "occ_id", F.col("t1").alias("c"), (F.col("t1") + F.col("delta")).alias("d"))
+    occ = occ.groupBy("pos", "c", "d").agg(F.min(F.struct("occ_id")).alias("_x")).select("pos", "c", "d", "_x.occ_id")
     found = max_overlap_join(pred, occ, ["pos"], width)
-    got = found.groupBy("pred_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "occ_id"))), lambda x: x["occ_id"]).alias("rest"), F.count("*").alias("_n"))
-    return got.where(F.col("_n") == sides).select(F.col("pred_id").alias("occ_id"), F.concat(F.array("pred_id"), "rest").alias("occs"))
+    best = found.groupBy(F.col("pred_id").alias("t1")).agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("overlap")).alias("_o"), "occ_id"))).alias("_x"))
+    got = first.select(F.col("occ_id").alias("pred_id"), "t1").join(best, "t1")
+    got = got.groupBy("pred_id").agg(F.array_sort(F.flatten(F.collect_list("_x"))).alias("_x"))  # an id with several starts: of each side the best
+    got = got.withColumn("_x", F.filter("_x", lambda x, i: (i == 0) | (x["pos"] != F.get("_x", F.greatest(i - 1, F.lit(0)))["pos"])))
+    return got.where(F.size("_x") == sides).select(F.col("pred_id").alias("occ_id"), F.concat(F.array("pred_id"), F.transform("_x", lambda x: x["occ_id"])).alias("occs"))
 
 
 def nearest_start(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
